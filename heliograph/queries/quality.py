@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.operators import orphans
+from heliograph.operators import eager, merkle, orphans, recover
 from heliograph.queries.common import query
 from heliograph.runtime import table
 
@@ -86,3 +86,83 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     refs = _references(spark, d)
     return orphans.orphan_report(refs, orphans.orphan_references(refs, _parents(spark, d)))
+
+
+# ---------------------------------------------------------------- p2
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return recover.rejected(recover.parse_lines(table(spark, d, "cdxj_lines"))).select("line_id", "reason")
+
+
+@query("p2_loaded")
+def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return recover.loaded(recover.parse_lines(table(spark, d, "cdxj_lines")))
+
+
+@query("p2_report")
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per file: lines loaded, and lines rejected by reason."""
+    parsed = recover.parse_lines(table(spark, d, "cdxj_lines")).where("not recovered")
+    by_reason = [F.count_if(F.col("reason") == r).alias(f"bad_{r}") for r in recover.REASONS]
+    return parsed.groupBy("src_path").agg(F.count_if(F.col("reason").isNull()).alias("loaded"), *by_reason)
+
+
+# ---------------------------------------------------------------- p3
+
+_P3_SQL = """
+with now as (
+  select warc_path, arg_max({'c': cdxj_path, 's': warc_sha}, {'t': seen_at, 'i': list_id}) as x
+  from warc_listing where warc_path is not null group by warc_path
+), indexed as (
+  select warc_path, cdxj_path, arg_max({'s': warc_sha}, {'f': finished_at, 'l': logged_at, 'i': log_id}) as y
+  from index_log join index_runs using (run_id)
+  where run_state = 'ok' and outcome = 'ok' and cdxj_path is not null group by all
+)
+select now.warc_path, x.c as cdxj_path from now
+left join indexed on now.warc_path = indexed.warc_path and x.c = indexed.cdxj_path
+where x.s is not null and (y is null or y.s is distinct from x.s)
+"""
+
+
+@query("p3_found", _P3_SQL)
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pending = merkle.pending_files(table(spark, d, "warc_listing"), table(spark, d, "index_log"), table(spark, d, "index_runs"))
+    return pending.select("warc_path", "cdxj_path")
+
+
+# ---------------------------------------------------------------- p4
+
+
+def _key_statistics(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "captures").select("surt_key", "ts", "json_data")
+    return eager.key_statistics(rows, "surt_key", F.get_json_object("json_data", "$.digest"), "ts")
+
+
+@query("p4_found", "select surt_key from captures where surt_key is not null group by 1 having count(*) >= 0.01 * (select count(*) from captures)")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    total = table(spark, d, "captures").count()
+    return eager.heavy_keys(_key_statistics(spark, d), "surt_key", total, 0.01).select("surt_key")
+
+
+@query(
+    "p4_key_stats",
+    """select surt_key, count(*) as n_rows, count(distinct json_extract_string(json_data, '$.digest')) as n_distinct,
+    min(ts) as first, max(ts) as last from captures group by 1""",
+)
+def p4_key_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _key_statistics(spark, d)
+
+
+@query(
+    "p4_pairs_by_host",
+    """select split_part(surt_key, ')', 1) as host, cast(sum(n * m) as bigint) as pairs, cast(sum(n) as bigint) as held
+    from (select surt_key, count(*) as n from captures group by 1)
+    join (select surt_key, count(*) as m from incoming_captures group by 1) using (surt_key) group by 1""",
+)
+def p4_pairs_by_host(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of held and incoming captures of the same key, rolled up to hosts."""
+    states = eager.eager_join(table(spark, d, "captures"), table(spark, d, "incoming_captures"), ["surt_key"])
+    named = states.where("surt_key is not null").select(F.split_part("surt_key", F.lit(")"), F.lit(1)).alias("host"), F.col("joined_rows").alias("pairs"), F.col("left_rows").alias("held"))
+    return eager.roll_up(named, ["host"], {"pairs": "sum", "held": "sum"})
