@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.operators import eager, merkle, orphans, recover
+from heliograph.operators import drift, eager, merkle, orphans, recover
 from heliograph.queries.common import query
 from heliograph.runtime import table
 
@@ -166,3 +166,68 @@ def p4_pairs_by_host(spark: SparkSession, d: str) -> DataFrame:
     states = eager.eager_join(table(spark, d, "captures"), table(spark, d, "incoming_captures"), ["surt_key"])
     named = states.where("surt_key is not null").select(F.split_part("surt_key", F.lit(")"), F.lit(1)).alias("host"), F.col("joined_rows").alias("pairs"), F.col("left_rows").alias("held"))
     return eager.roll_up(named, ["host"], {"pairs": "sum", "held": "sum"})
+
+
+# ---------------------------------------------------------------- p5
+
+_P5_NAMES = """
+with members as (
+  select *, lower(regexp_replace(name, '[\\s._-]', '', 'g')) as plain
+  from (select capture_id, src_path, json_data, unnest(json_keys(json_data)) as name from captures where json_valid(json_data))
+), known as (
+  select capture_id, src_path, name, json_data -> ('$."' || name || '"') as value,
+         case when plain in ({status}) then 'status' when plain in ({collection}) then 'collection' end as field_name
+  from members
+), typed as (
+  select *, case json_type(value) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array'
+         when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as kind
+  from known where field_name is not null
+)
+""".format(**{k: ", ".join(f"'{x}'" for x in v) for k, v in drift.FIELD_NAMES.items()})
+_P5_SQL = (
+    _P5_NAMES
+    + """, by_name as (
+  select src_path, field_name, arg_max(name, {'n': n, 'x': name}) as name from
+  (select src_path, field_name, name, count(*) as n from typed where kind is not null group by all) group by all
+), by_kind as (
+  select src_path, field_name, arg_max(kind, {'n': n, 'x': kind}) as kind from
+  (select src_path, field_name, kind, count(*) as n from typed where kind is not null group by all) group by all
+), places as (
+  select src_path, field_name, lag(src_path) over (partition by field_name, regexp_extract(src_path, '^(.*)/[^/]*$', 1)
+    order by regexp_extract(src_path, '([0-9]{5})(?:\\.[A-Za-z][^/]*)?$', 1), src_path) as before
+  from (select distinct src_path from captures) cross join (values ('status'), ('collection')) f(field_name)
+), beside as (
+  select p.src_path, p.field_name, a.name as n0, b.name as n1, k.kind as k0, l.kind as k1 from places p
+  left join by_name a on a.src_path = p.before and a.field_name = p.field_name
+  left join by_name b on b.src_path = p.src_path and b.field_name = p.field_name
+  left join by_kind k on k.src_path = p.before and k.field_name = p.field_name
+  left join by_kind l on l.src_path = p.src_path and l.field_name = p.field_name
+  where p.before is not null
+)
+select src_path, field_name, 'added' as change_kind from beside where n0 is null and n1 is not null
+union all select src_path, field_name, 'removed' from beside where n0 is not null and n1 is null
+union all select src_path, field_name, 'renamed' from beside where n0 <> n1
+union all select src_path, field_name, 'retyped' from beside where k0 <> k1
+"""
+)
+
+
+@query("p5_found", _P5_SQL)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(spark, d, "captures")).select("src_path", "field_name", "change_kind")
+
+
+@query(
+    "p5_table",
+    _P5_NAMES
+    + """, texts as (
+  select capture_id, field_name, case kind when 'array' then array_to_string(cast(value as varchar[]), ',')
+    when 'object' then value ->> '$.name' else value ->> '$' end as text
+  from typed where kind is not null
+)
+select c.capture_id, c.surt_key, c.ts, s.text as status, k.text as collection from captures c
+left join texts s on s.capture_id = c.capture_id and s.field_name = 'status'
+left join texts k on k.capture_id = c.capture_id and k.field_name = 'collection'""",
+)
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent_table(table(spark, d, "captures")).select("capture_id", "surt_key", "ts", "status", "collection")
