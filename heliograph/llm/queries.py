@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.page import page_key, seconds
-from heliograph.llm import neighbourhood, topk
+from heliograph.llm import neighbourhood, tokens, topk
 from heliograph.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,19 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Per batch: rows, accepted and repeats."""
     counted = _screened(spark, d).groupBy(F.col("batch").alias("batch_no"))
     return counted.agg(F.count("*").alias("n_rows"), F.count_if("accepted").alias("n_accepted"), F.count_if(~F.col("accepted")).alias("n_repeats"))
+
+
+# ---------------------------------------------------------------- p8
+
+
+@query("p8_ids")
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+@query("p8_roundtrip", "select doc_id, coalesce(text, '') as text from documents")
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    tokenizer = tokens.Tokenizer()
+    encoded = tokens.encode_documents(table(spark, d, "documents").select("doc_id", "text"), tokenizer)
+    return encoded.select("doc_id", tokenizer.decode(F.col("ids")).alias("text"))
