@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.page import page_key, seconds
-from heliograph.llm import neighbourhood, tokens, topk
+from heliograph.llm import mixture, neighbourhood, tokens, topk
 from heliograph.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,26 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     tokenizer = tokens.Tokenizer()
     encoded = tokens.encode_documents(table(spark, d, "documents").select("doc_id", "text"), tokenizer)
     return encoded.select("doc_id", tokenizer.decode(F.col("ids")).alias("text"))
+
+
+# ---------------------------------------------------------------- p9
+
+
+def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
+    documents = tokens.encode_documents(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return mixture.Mixture(documents.withColumn("n_tokens", F.size("ids")), table(spark, d, "mix_targets"))
+
+
+@query("p9_uses")
+def p9_uses(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).uses()
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
+@query("p9_shuffled")
+def p9_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shuffled()
