@@ -120,7 +120,7 @@ def _changes(before: tuple | None, after: tuple | None) -> list[tuple]:
 
 
 def _plain(name) -> F.Column:
-    return F.lower(F.regexp_replace(name, r"[\s._-]", ""))
+    return F.translate(F.lower(name), "._- ", "")
 
 
 def _field_of(name) -> F.Column:
@@ -130,33 +130,33 @@ def _field_of(name) -> F.Column:
     return found
 
 
-def _members() -> F.Column:
-    """Of a payload, the members that carry a known field: ``field_name, name, kind, text``.
+def _with_members(captures: DataFrame, *keep: str) -> DataFrame:
+    """``captures`` with ``members``: of each payload those that carry a known field, as
+    ``field_name, name, kind, text``, in order of names.
 
-    Reads ``names`` (the known names it has) and ``payload`` (the payload as variant).
+    The payload is parsed once to a map of variants; only its few known members are
+    looked at further.
     """
+    whole = F.try_variant_get(F.try_parse_json("json_data"), "$", "map<string,variant>")
+    known = F.map_entries(F.map_filter(whole, lambda name, _: _plain(name).isin(*ALL_NAMES)))
 
-    def member(name: F.Column) -> F.Column:
-        path = F.concat(F.lit("$['"), name, F.lit("']"))
-        shape = F.schema_of_variant(F.try_variant_get("payload", path, "variant"))
+    def member(entry: F.Column) -> F.Column:
+        name, value = entry["key"], entry["value"]
+        shape = F.schema_of_variant(value)
         kind = (
             F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape.startswith("ARRAY"), "array")
             .when(shape.startswith("OBJECT"), "object").when(shape != "VOID", "number")
         )
-        whole = F.try_variant_get("payload", path, "string")
+        written = F.try_variant_get(value, "$", "string")
         text = (
-            F.when(shape.startswith("ARRAY"), F.array_join(F.try_variant_get("payload", path, "array<string>"), ","))
-            .when(shape.startswith("OBJECT"), F.coalesce(F.try_variant_get("payload", F.concat(path, F.lit(".name")), "string"), whole))
-            .otherwise(whole)
+            F.when(shape.startswith("ARRAY"), F.array_join(F.try_variant_get(value, "$", "array<string>"), ","))
+            .when(shape.startswith("OBJECT"), F.coalesce(F.try_variant_get(value, "$.name", "string"), written))
+            .otherwise(written)
         )
         return F.struct(_field_of(name).alias("field_name"), name.alias("name"), kind.alias("kind"), text.alias("text"))
 
-    return F.filter(F.transform("names", member), lambda m: m["kind"].isNotNull())
-
-
-def _with_members(captures: DataFrame, *keep: str) -> DataFrame:
-    known = F.filter(F.json_object_keys("json_data"), lambda k: _plain(k).isin(*ALL_NAMES))
-    return captures.select(*keep, F.try_parse_json("json_data").alias("payload"), known.alias("names")).select(*keep, _members().alias("members"))
+    members = F.filter(F.transform(known, member), lambda m: m["kind"].isNotNull())
+    return captures.select(*keep, members.alias("members"))
 
 
 def file_schemas(captures: DataFrame) -> DataFrame:
