@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.page import page_key, seconds
-from heliograph.llm import mixture, neighbourhood, tokens, topk
+from heliograph.llm import mixture, neighbourhood, tokens, topk, truncation
 from heliograph.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_shuffled")
 def p9_shuffled(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shuffled()
+
+
+# ---------------------------------------------------------------- p10
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_texts(table(spark, d, "documents")).select("doc_id")
+
+
+@query("p10_report")
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return truncation.truncation_report(documents, truncation.truncated_texts(documents))
