@@ -25,8 +25,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the pattern that splits a text before merging, as its vocabulary's makers state it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of the literal word map, whatever the size of the corpus.
-DICTIONARY_WORDS, DICTIONARY_BYTES = 1 << 15, 48
-SLOTS = 1 << 15
+DICTIONARY_WORDS, DICTIONARY_BYTES = 1 << 14, 48
+SLOTS = 1 << 14
+#: Printed plans are cut here: the literals would fill the driver's list of queries.
+PLAN_TEXT = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -112,10 +114,14 @@ class Tokenizer:
         At most DICTIONARY_WORDS words of at most DICTIONARY_BYTES bytes come to the
         driver; it saves time only and changes no result.
         """
+        limit = "spark.sql.maxPlanStringLength"
+        spark = documents.sparkSession
+        if spark.conf.get(limit).startswith(str(2**31 - 16)):  # nobody has set it
+            spark.conf.set(limit, PLAN_TEXT)
         keys = documents.select(F.explode(self.words(F.col(text_col))).alias("word")).select(F.hex("word").alias("key"))
         counted = keys.where(F.length("key") <= 2 * DICTIONARY_BYTES).groupBy("key").agg(F.count("*").alias("n"))
         frequent = counted.orderBy(F.desc("n"), "key").limit(DICTIONARY_WORDS).select("key")
-        folded = frequent.repartition(documents.sparkSession.sparkContext.defaultParallelism, "key").select("key", self.fold(F.col("key")).alias("ids"))
+        folded = frequent.repartition(spark.sparkContext.defaultParallelism, "key").select("key", self.fold(F.col("key")).alias("ids"))
         self._words = _slots({r.key: r.ids for r in folded.collect()})
 
     def encode(self, text: Column) -> Column:
