@@ -80,8 +80,9 @@ class Mixture:
         self.targets = {r.source: (float(r.share or 0), int(r.repeats or 0)) for r in wanted.collect()}  # a row per source
         order = F.xxhash64(F.lit(seed), F.col("id")).bitwiseAND(F.lit((1 << ORDER_BITS) - 1))
         usable = documents.select(F.col(id_col).alias("id"), trimmed_lower(F.col("source")).alias("source"), F.col(tokens_col).cast("long").alias("tokens"))
-        usable = usable.where(F.col("source").isin(*self.targets) & (F.col("tokens") > 0)).withColumn("order", order)
-        self.documents = materialise(usable.withColumn("block", F.shiftright("order", ORDER_BITS - BLOCK_BITS).cast("int")), "mixture")
+        usable = usable.where(F.col("source").isin(*self.targets)).withColumn("order", order)
+        counted = materialise(usable.withColumn("block", F.shiftright("order", ORDER_BITS - BLOCK_BITS).cast("int")), "mixture")
+        self.documents = counted.where("tokens > 0")  # only now: tokens may be costly to compute twice
         sums = self.documents.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).collect()  # at most 2 ** BLOCK_BITS rows a source
         self.blocks: dict[str, dict[int, int]] = {s: {} for s in self.targets}
         for r in sums:
