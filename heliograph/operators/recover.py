@@ -205,8 +205,9 @@ def parse_record(line: str, start: int = 0) -> Record | Fault | None:
 def parse_text(text: str) -> Iterator[Record | Fault]:
     """Every record of a text of many lines, and every located fault.
 
-    After a fault inside a payload the parser looks for an anchor behind the fault: one
-    on the same line begins a record that was glued to the broken one.  It counts only
+    After a fault inside a payload the parser looks for an anchor on the same line, where a
+    record was glued to the broken one.  A broken quote may have swallowed the anchor
+    before the fault shows, so the search starts with the payload; an anchor counts only
     if a whole record parses from it.
     """
     at = 0
@@ -215,12 +216,13 @@ def parse_text(text: str) -> Iterator[Record | Fault]:
         if found is not None:
             yield found
             if isinstance(found, Fault) and found.reason == "json":
-                yield from _resumed(line, at, found.place - at)
+                yield from _resumed(line, at)
         at += len(line)
 
 
-def _resumed(line: str, start: int, behind: int) -> Iterator[Record]:
-    while anchor := ANCHOR.search(line, max(behind, 1)):
+def _resumed(line: str, start: int) -> Iterator[Record]:
+    behind = line.index("{")
+    while anchor := ANCHOR.search(line, behind):
         found = parse_record(line[anchor.start() :], start + anchor.start())
         if isinstance(found, Record):
             yield found
@@ -276,7 +278,7 @@ def _one(line: str) -> Iterator[Record | Fault]:
     if found is not None:
         yield found
         if isinstance(found, Fault) and found.reason == "json":
-            yield from _resumed(line, 0, found.place)
+            yield from _resumed(line, 0)
 
 
 def rejected(parsed: DataFrame, id_col: str = "line_id") -> DataFrame:
