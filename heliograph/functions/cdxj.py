@@ -56,7 +56,12 @@ def payload_is_object(json) -> F.Column:
 
 
 def field_path(name: str) -> str:
-    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """JSON path of a top-level member, in whichever of its two spellings can hold the name."""
+    if name and not set(name) & set("'?"):
+        return f"$['{name}']"
+    if name and not set(name) & set(".["):
+        return f"$.{name}"
+    raise ValueError(f"a JSON path cannot name the field {name!r}")
 
 
 def field_text(json, name: str) -> F.Column:

@@ -83,7 +83,7 @@ def to_jvm(pattern: str, unicode: bool = True) -> str:
     for name, own in POSIX.items():
         pattern = pattern.replace(name, own)
     pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\\k<{m[1].replace('_', '')}>", pattern)
+    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", pattern)
     pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern)
     return "(?U)" + pattern if unicode and re.search(r"\\[dwsbDWSB]", pattern) else pattern
 

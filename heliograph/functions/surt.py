@@ -35,7 +35,9 @@ def url_to_surt(url, strip_www: bool = True) -> F.Column:
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: ~p.rlike(SESSION))), "&")
     key = F.concat(labels, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), F.lit(")"), path)
     key = F.when(F.coalesce(kept, F.lit("")) == "", key).otherwise(F.concat(key, F.lit("?"), kept))
-    return F.when(host != "", key)
+    # Text such as urn:a:b or mailto:a@b names no host; host:port does.
+    opaque = text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!//)(?![0-9]+(?:[/?#]|$))")
+    return F.when((host != "") & ~opaque, key)
 
 
 def surt_parts(surt) -> dict[str, F.Column]:

@@ -45,7 +45,7 @@ def excessive_auto(captures: DataFrame, threshold: int = DEFAULT_THRESHOLD, key:
 def threshold_sweep(captures: DataFrame, thresholds: list[int], key: str = "surt") -> DataFrame:
     """``threshold, n_keys, n_captures`` above each threshold, from one count per key."""
     counts = key_counts(captures, key)
-    levels = F.array(*(F.lit(t) for t in sorted(thresholds)))
+    levels = F.array(*(F.lit(t) for t in sorted(set(thresholds))))
     passed = counts.select("count", F.explode(F.filter(levels, lambda t: F.col("count") > t)).alias("threshold"))
     found = passed.groupBy("threshold").agg(F.count("*").alias("n_keys"), F.sum("count").alias("n_captures"))
     every = captures.sparkSession.createDataFrame([(t,) for t in sorted(set(thresholds))], "threshold int")

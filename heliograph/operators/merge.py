@@ -36,7 +36,7 @@ def order_violations(lines: DataFrame, order: list[str], column: str = "value")
     part, place = order[0], order[1:]
     if not place:
         raise ValueError("an order needs a part and a place within it")
-    rows = lines.select(F.col(part).alias("part"), F.struct(*place).alias("place"), F.col(column).alias("line"))
+    rows = lines.select(F.col(part).cast("string").alias("part"), F.struct(*place).alias("place"), F.col(column).alias("line"))
     ranged = rows.repartitionByRange("part", "place").sortWithinPartitions("part", "place").withColumn("task", F.spark_partition_id())
 
     def walk(batches):

@@ -105,5 +105,6 @@ class Collection:
     def build(self, output_dir: str, *, blocklist: Blocklist | None = None, threshold: int = DEFAULT_THRESHOLD, **zipnum) -> tuple[DataFrame, DataFrame]:
         """Writes the cluster of all captures; returns its index and the report of stages."""
         stages = process(self.captures(), collection=self.name, blocklist=blocklist, threshold=threshold)
-        index = write_zipnum(stages.captures, output_dir, **zipnum)
+        # Stored before it is ordered: finding range borders would run, and count, it twice.
+        index = write_zipnum(materialise(stages.captures, "finished"), output_dir, **zipnum)
         return index, stages.report(self.spark)

@@ -24,7 +24,7 @@ def fill_shards(sizes: list[int], shard_bytes: float) -> list[tuple[int, int]]:
     none is left empty."""
     placed, shard, offset = [], 1, 0
     for size in sizes:
-        if offset >= shard_bytes:
+        if offset and offset >= shard_bytes:
             shard, offset = shard + 1, 0
         placed.append((shard, offset))
         offset += size
