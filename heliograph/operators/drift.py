@@ -58,13 +58,14 @@ def _kind(arrow_type) -> str:
 
 
 def _headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
+    from heliograph.sources.paths import filesystem
+
     for frame in frames:
         rows = []
         for order, path in zip(frame["file_order"], frame["path"]):
-            system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+            system, inner = filesystem(path)
             schema = pq.read_schema(inner, filesystem=system)
             rows += [(order, path, i, f.name, _kind(f.type)) for i, f in enumerate(schema)]
         yield pd.DataFrame(rows, columns=["file_order", "path", "position", "field_name", "kind"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from heliograph.plans import collection
 from heliograph.queries.common import query
 from heliograph.runtime import scratch_path, table
 from heliograph.sinks.zipnum import write_zipnum
+from heliograph.sources.paths import join
 from heliograph.sources.zipnum import read_zipnum
 
 CAP = """cap as (select capture_id, surt_key as surt, ts, json_data as json,
@@ -319,9 +318,9 @@ _CHUNK = 500
 
 
 def _cluster(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
-    folder = os.path.join(scratch_path(spark, "cluster").removeprefix("file://"), "demo")
+    folder = join(scratch_path(spark, "cluster"), "demo")
     index = write_zipnum(_captures(spark, d).select("value"), folder, chunk_size=_CHUNK, shard_size_mb=0.5)
-    return os.path.join(folder, "demo.idx"), index
+    return join(folder, "demo.idx"), index
 
 
 @query(

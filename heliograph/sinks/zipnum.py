@@ -2,8 +2,9 @@
 
 Lines are range-sorted; row counts per partition give every line its number, so chunks
 of ``chunk_size`` consecutive lines are the same however Spark cuts the data.  Chunks are
-compressed by the executors; only their sizes come to the driver, which fills shards in
-order, and each shard is then written by one task.
+compressed by the executors.  Shards are filled in order of the chunks, each group of
+GROUP chunks by one task, which sees sizes and no data; each shard is then written by one
+task.  The driver sees a row per group and the names of the shards.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.runtime import materialise
+from heliograph.sources.paths import filesystem, is_local, join, local, put_text
+
+#: Chunks whose shards are filled together: 1e8 lines and more.  A new group begins a new shard.
+GROUP = 1 << 17
 
 
 def fill_shards(sizes: list[int], shard_bytes: float) -> list[tuple[int, int]]:
@@ -71,6 +76,16 @@ def _compress(level: int):
     return run
 
 
+def _fill(shard_bytes: float):
+    def run(chunks: pa.Table) -> pa.Table:
+        chunks = chunks.sort_by("chunk")
+        placed = fill_shards(chunks["size"].to_pylist(), shard_bytes)
+        chunks = chunks.append_column("shard_in_group", pa.array([s for s, _ in placed], pa.int32()))
+        return chunks.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
+
+    return run
+
+
 def write_zipnum(
     lines: DataFrame,
     output_dir: str,
@@ -88,56 +103,69 @@ def write_zipnum(
 
     ``base`` defaults to the folder's name; a single shard is called ``base.cdx.gz`` in all
     three places, several ``base-01.cdx.gz`` and so on.  Files appear under their names only
-    when complete.  Without lines the index is empty and there is no shard.
+    when complete.  Null lines are left out; without lines the index is empty and there is
+    no shard.
     """
     if chunk_size < 1 or not 1 <= compress_level <= 9:
         raise ValueError("chunk_size is 1 or more, compress_level 1 to 9")
-    spark = lines.sparkSession
-    output_dir = os.path.abspath(output_dir)
-    base = base or os.path.basename(output_dir)
-    os.makedirs(output_dir, exist_ok=True)
+    output_dir = os.path.abspath(local(output_dir)) if is_local(output_dir) else output_dir.rstrip("/")
+    base = base or output_dir.rsplit("/", 1)[-1]
+    system, inner = filesystem(output_dir)
+    system.create_dir(inner, recursive=True)
     chunked = numbered(lines, column).select(F.floor(F.col("number") / chunk_size).alias("chunk"), "number", "line")
     chunked = chunked.repartitionByRange("chunk").sortWithinPartitions("chunk", "number").select("chunk", "line")
     packed = materialise(chunked.mapInArrow(_compress(compress_level), "chunk long, key string, data binary, size long, n_lines long"), "chunks")
-    sizes = packed.select("chunk", "key", "size").orderBy("chunk").collect()  # a row per chunk
-    placed = fill_shards([r["size"] for r in sizes], float("inf") if single_shard else shard_size_mb * (1 << 20))
-    count = placed[-1][0] if placed else 0
+    sizes = packed.select(F.floor(F.col("chunk") / GROUP).alias("group"), "chunk", "key", "size")
+    shard_bytes = float("inf") if single_shard else shard_size_mb * (1 << 20)
+    filled = sizes.groupBy(F.lit(0).alias("g0") if single_shard else F.col("group")).applyInArrow(
+        _fill(shard_bytes), "group long, chunk long, key string, size long, shard_in_group int, offset long"
+    )
+    placed = materialise(filled, "places")
+    starts, count = [], 0
+    if single_shard:
+        count = int(not placed.isEmpty())
+        numbered_ = placed.withColumn("shard_num", F.lit(1))
+    else:
+        for row in placed.groupBy("group").agg(F.max("shard_in_group").alias("n")).orderBy("group").collect():  # a row per group
+            starts.append((row.group, count))
+            count += row.n
+        start = F.broadcast(lines.sparkSession.createDataFrame(starts, "group long, start int"))
+        numbered_ = placed.join(start, "group").withColumn("shard_num", F.col("start") + F.col("shard_in_group"))
     names = {n: f"{base}.cdx.gz" if count == 1 else f"{base}-{n:02d}.cdx.gz" for n in range(1, count + 1)}
-    index = [(r["key"], names[s], offset, r["size"], s) for r, (s, offset) in zip(sizes, placed)]
-    if placed:
-        plan = spark.createDataFrame([(r["chunk"], s) for r, (s, _) in zip(sizes, placed)], "chunk long, shard int")
-        data = packed.select("chunk", "data").join(plan, "chunk")
-        # Written shard by shard: partitions are shards, chunks stream through in order.
-        data.repartition(count, "shard").sortWithinPartitions("shard", "chunk").select("shard", "data").mapInArrow(_write(output_dir, names), "shard int").write.format("noop").mode("overwrite").save()
-    _put(os.path.join(output_dir, idx_name or f"{base}.idx"), "".join(f"{k}\t{s}\t{o}\t{n}\t{i}\n" for k, s, o, n, i in index))
-    _put(os.path.join(output_dir, loc_name or f"{base}.loc"), "".join(f"{n}\t{os.path.join(output_dir, n)}\n" for n in names.values()))
-    return spark.createDataFrame(index, "key string, shard string, offset long, length long, shard_num int")
-
-
-def _put(path: str, text: str) -> None:
-    with open(path + ".tmp", "w", encoding="utf-8") as out:
-        out.write(text)
-    os.replace(path + ".tmp", path)
-
-
-def _write(folder: str, names: dict[int, str]):
+    width = F.lpad(F.col("shard_num").cast("string"), F.greatest(F.lit(2), F.length(F.col("shard_num").cast("string"))), F.lit("0"))
+    shard = F.lit(f"{base}.cdx.gz") if count == 1 else F.concat(F.lit(f"{base}-"), width, F.lit(".cdx.gz"))
+    index = numbered_.select("key", shard.alias("shard"), "offset", F.col("size").alias("length"), F.col("shard_num").cast("int"))
+    if count:
+        data = packed.select("chunk", "data").join(numbered_.select("chunk", "shard_num"), "chunk")
+        # Written shard by shard: chunks of a shard stream through one task in order.
+        ordered = data.repartition(min(count, 20_000), "shard_num").sortWithinPartitions("shard_num", "chunk").select("shard_num", "data")
+        ordered.mapInArrow(_write(output_dir, base, count), "shard int").write.format("noop").mode("overwrite").save()
+    rows = index.orderBy("shard_num", "offset").toLocalIterator(prefetchPartitions=True)
+    put_text(join(output_dir, idx_name or f"{base}.idx"), (f"{r.key}\t{r.shard}\t{r.offset}\t{r.length}\t{r.shard_num}\n" for r in rows))
+    put_text(join(output_dir, loc_name or f"{base}.loc"), (f"{n}\t{join(output_dir, n)}\n" for n in names.values()))
+    return index
+
+
+def _write(folder: str, base: str, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         attempt = TaskContext.get().taskAttemptId()
-        shard, out, done = None, None, []
+        system, inner = filesystem(folder)
+        shard, out, name, done = None, None, "", []
 
         def close() -> None:
             if out is not None:
                 out.close()
-                os.replace(out.name, os.path.join(folder, names[shard]))
+                system.move(f"{inner}/.{name}.{attempt}.tmp", f"{inner}/{name}")
                 done.append(shard)
 
         for batch in batches:
-            for number, data in zip(batch["shard"].to_pylist(), batch["data"]):
+            for number, data in zip(batch["shard_num"].to_pylist(), batch["data"]):
                 if number != shard:
                     close()
-                    shard, out = number, open(os.path.join(folder, f".{names[number]}.{attempt}.tmp"), "wb")
+                    shard, name = number, f"{base}.cdx.gz" if count == 1 else f"{base}-{number:02d}.cdx.gz"
+                    out = system.open_output_stream(f"{inner}/.{name}.{attempt}.tmp")
                 out.write(data.as_buffer())
         close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])

@@ -13,7 +13,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions.surt import url_to_surt
 from heliograph.sources.flat import collect_files
+from heliograph.sources.paths import filesystem
 
 # Record types that are captures, and the endings of archive files.
 CAPTURED = ("response", "revisit", "resource", "metadata")
@@ -160,13 +160,10 @@ def _capture(data: _Input, head: dict[str, str], length: int) -> dict:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pyarrow.fs as fs
-
     names = ["url", "ts", "json", "src_path", "src_pos"]
     for batch in batches:
         for path in batch["path"].to_pylist():
-            parsed = urlparse(path)
-            system, inner = fs.FileSystem.from_uri(path) if parsed.scheme not in ("", "file") else (fs.LocalFileSystem(), parsed.path)
+            system, inner = filesystem(path)
             rows = []
             with system.open_input_stream(inner, compression=None) as file:
                 for number, r in enumerate(records(file, path.endswith(".gz"))):

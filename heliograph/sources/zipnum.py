@@ -9,6 +9,7 @@ blocks that may hold the key.
 from __future__ import annotations
 
 import os
+import posixpath
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from heliograph.functions.cdxj import stripped
 from heliograph.schema import IDX
+from heliograph.sources.paths import filesystem, is_local, join, local
 
 MAX_BLOCK = 512 << 20
 #: Blocks of one partition of a full scan together have about so many compressed bytes.
@@ -57,22 +59,32 @@ def parse_idx_line(line: str) -> tuple[str, str, int, int, int]:
 
 def loc_file(idx: str) -> str | None:
     path = os.path.splitext(idx)[0] + ".loc"
-    return path if os.path.isfile(path) else None
+    system, inner = filesystem(path)
+    return path if system.get_file_info(inner).is_file else None
+
+
+def _text(path: str) -> list[str]:
+    system, inner = filesystem(path)
+    with system.open_input_stream(inner, compression=None) as file:
+        return file.read().decode("utf-8").splitlines()
 
 
 def load_loc(path: str | None) -> dict[str, str]:
     if path is None:
         return {}
-    with open(path, encoding="utf-8") as lines:
-        rows = [x.strip().split("\t") for x in lines if x.strip() and not x.lstrip().startswith("#")]
+    rows = [x.strip().split("\t") for x in _text(path) if x.strip() and not x.lstrip().startswith("#")]
     return {r[0]: r[1] for r in rows if len(r) >= 2}
 
 
 def shard_path(shard: str, base_dir: str, loc: dict[str, str]) -> str:
     """The shard's file, which must lie within ``base_dir`` after links are followed."""
     name = loc.get(shard, shard if shard.endswith(".cdx.gz") else shard + ".cdx.gz")
-    path, root = os.path.realpath(os.path.join(base_dir, name)), os.path.realpath(base_dir)
-    if path != root and not path.startswith(root + os.sep):
+    if is_local(base_dir):
+        path, root = os.path.realpath(os.path.join(local(base_dir), local(name))), os.path.realpath(local(base_dir))
+    else:
+        path, root = (name if "://" in name else join(base_dir, name)), base_dir.rstrip("/")
+        path = "://".join((path.split("://", 1)[0], posixpath.normpath(path.split("://", 1)[1])))
+    if path != root and not path.startswith(root + "/"):
         raise ValueError(f"shard {shard!r} lies outside of {base_dir!r}")
     return path
 
@@ -110,13 +122,12 @@ class Blocks(InputPartition):
 class ZipNumReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.idx = options["path"]
-        self.base = options.get("base_dir") or os.path.dirname(os.path.abspath(self.idx))
+        self.base = options.get("base_dir") or os.path.dirname(os.path.abspath(local(self.idx)) if is_local(self.idx) else self.idx)
         self.loc = load_loc(options.get("loc") or loc_file(self.idx))
         self.wanted: tuple[str, bool] | None = None
 
     def partitions(self) -> list[Blocks]:
-        with open(self.idx, encoding="utf-8") as lines:
-            rows = [parse_idx_line(x) for x in lines if x.strip() and not x.startswith("#")]
+        rows = [parse_idx_line(x) for x in _text(self.idx) if x.strip() and not x.startswith("#")]
         if self.wanted:
             rows.sort(key=lambda r: r[0])
             chosen = candidate_blocks([r[0] for r in rows], *self.wanted)
@@ -161,9 +172,11 @@ class PushingReader(ZipNumReader):
 def read_blocks(path: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
     """Offset and text of each block.  A link in place of the file is refused; a block
     that is too large, short or broken is passed over."""
-    if not spans or not os.path.exists(path):
+    system, inner = filesystem(path)
+    if not spans or not system.get_file_info(inner).is_file:
         return
-    with os.fdopen(os.open(path, os.O_RDONLY | os.O_NOFOLLOW), "rb") as file:
+    own = is_local(path)
+    with os.fdopen(os.open(inner, os.O_RDONLY | os.O_NOFOLLOW), "rb") if own else system.open_input_file(inner) as file:
         for offset, length in spans:
             if not 0 < length <= MAX_BLOCK or offset < 0:
                 continue

@@ -114,6 +114,19 @@ def test_round_trip(spark, tmp_path, n, chunk, mb):
     assert sorted(values(zipnum.read_zipnum(spark, f"{out}/base.idx").where(F.col("surt").startswith("com,h3")))) == [x for x in ordered if x.startswith("com,h3")]
 
 
+def test_groups_of_chunks_begin_new_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writer, "GROUP", 4)
+    rows = lines(100)
+    index = writer.write_zipnum(frame(spark, rows), str(tmp_path / "g"), chunk_size=10).orderBy("shard_num", "offset").collect()
+    assert [r.shard for r in index] == ["g-01.cdx.gz"] * 4 + ["g-02.cdx.gz"] * 4 + ["g-03.cdx.gz"] * 2
+    assert [r.value for r in zipnum.read_zipnum(spark, str(tmp_path / "g/g.idx")).orderBy("src_block", "src_pos").collect()] == sorted(rows)
+
+
+def test_uris(spark, tmp_path):
+    writer.write_zipnum(frame(spark, lines(30)), f"file://{tmp_path}/u v", chunk_size=10)
+    assert zipnum.read_zipnum(spark, f"file://{tmp_path}/u v/u v.idx").count() == 30
+
+
 def test_empty_cluster(spark, tmp_path):
     assert writer.write_zipnum(frame(spark, []), str(tmp_path / "e")).count() == 0
     assert zipnum.read_zipnum(spark, str(tmp_path / "e/e.idx")).count() == 0
