@@ -20,7 +20,7 @@ def _decoded(text: F.Column) -> F.Column:
         plain = part.rlike("^(?:[46][1-9a-fA-F]|[57][0-9aA]|3[0-9]|2[dDeE]|5[fF]|7[eE])")
         return F.when(index == 0, part).when(plain, F.concat(F.chr(code), F.substring(part, F.lit(3), F.length(part)))).otherwise(F.concat(F.lit("%"), part))
 
-    return F.when(text.contains("%"), F.array_join(F.transform(parts, piece), "")).otherwise(text)
+    return F.array_join(F.transform(parts, piece), "")
 
 
 def page_key(surt) -> F.Column:
@@ -33,23 +33,25 @@ def page_key(surt) -> F.Column:
     is all host part.
     """
     low = F.lower(surt)
-    has_path = low.contains(")")
-    host = F.when(has_path, F.substring_index(low, ")", 1)).otherwise(low)
-    rest = F.when(has_path, F.substring(low, F.length(host) + 1, F.length(low))).otherwise(F.lit(""))
-    host = F.regexp_replace(host, r":(?:80|443)$", "")
-    host = F.regexp_replace(host, r"(^|,)www[0-9]*$", "")
-    rest = _decoded(rest)
-    path = F.substring_index(rest, "?", 1)
-    query = F.when(rest.contains("?"), F.substring(rest, F.length(path) + 2, F.length(rest)))
+    host, rest = F.substring_index(low, ")", 1), F.when(low.contains(")"), F.substring(low, F.length(F.substring_index(low, ")", 1)) + 1, F.length(low))).otherwise("")
+    # Guards keep the costly steps to the few keys that need them.
+    host = F.when(host.contains(":"), F.regexp_replace(host, r":(?:80|443)$", "")).otherwise(host)
+    host = F.when(host.contains("www"), F.regexp_replace(host, r"(^|,)www[0-9]*$", "")).otherwise(host)
+    rest = F.when(rest.contains("%"), _decoded(rest)).otherwise(rest)
+
+    def shorter(path: F.Column) -> F.Column:
+        return F.when(path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
 
     def kept(parameter: F.Column) -> F.Column:
         name = F.substring_index(parameter, "=", 1)
         return ~(name.isin(*SESSION_PARAMETERS) | name.startswith(CAMPAIGN_PREFIX))
 
+    path = F.substring_index(rest, "?", 1)
+    query = F.substring(rest, F.length(path) + 2, F.length(rest))
     ordered = F.array_join(F.array_sort(F.filter(F.split(query, "&"), kept)), "&")
-    path = F.when(path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
-    tail = F.when(query.isNull() | (ordered == ""), F.lit("")).otherwise(F.concat(F.lit("?"), ordered))
-    return F.concat(host, path, tail)
+    # A query of no parameters leaves nothing, so its question mark goes too.
+    asked = F.regexp_replace(F.concat(shorter(path), F.lit("?"), ordered), r"\?$", "")
+    return F.concat(host, F.when(rest.contains("?"), asked).otherwise(shorter(rest)))
 
 
 def seconds(ts) -> F.Column:
