@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heliograph.functions.binding import let
+
 # Session parameters that do not belong to a page's identity.
 SESSION = r"(?i)^(?:jsessionid|phpsessid|sid|aspsessionid[a-z]{8}|cfid|cftoken)="
 
@@ -16,28 +18,55 @@ def url_to_surt(url, strip_www: bool = True) -> F.Column:
     ``www`` plus digits go if ``strip_www``, the path is lower-cased and loses one final
     ``/`` (the root keeps it), query parameters are sorted and an empty query goes.
     """
-    text = F.trim(url)
-    scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    rest = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""), r"#.*$", "")
-    authority = F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?]*)", 1), r"^.*@", ""))
-    port = F.regexp_extract(authority, r":([0-9]*)$", 1)
-    default = (port == "") | ((port == "80") & scheme.isin("http", "")) | ((port == "443") & (scheme == "https"))
-    host = F.rtrim(F.regexp_replace(authority, r":[0-9]*$", ""), F.lit("."))
-    if strip_www:
-        host = F.regexp_replace(host, r"^www[0-9]*\.(?=.)", "")
-    numeric = host.rlike(r"^[0-9.]+$") | host.contains(":")
-    labels = F.when(numeric, host).otherwise(F.array_join(F.reverse(F.split(host, r"\.")), ","))
-    tail = F.lower(F.substring(rest, F.length(F.regexp_extract(rest, r"^([^/?]*)", 1)) + 1, F.length(rest)))
-    path = F.substring_index(tail, "?", 1)
-    query = F.when(tail.contains("?"), F.substring(tail, F.length(path) + 2, F.length(tail)))
-    path = F.regexp_replace(F.regexp_replace(path, r";jsessionid=[0-9a-z]*$", ""), r"(?<=.)/$", "")
-    path = F.when(path == "", "/").otherwise(path)
-    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: ~p.rlike(SESSION))), "&")
-    key = F.concat(labels, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), F.lit(")"), path)
-    key = F.when(F.coalesce(kept, F.lit("")) == "", key).otherwise(F.concat(key, F.lit("?"), kept))
-    # Text such as urn:a:b or mailto:a@b names no host; host:port does.
-    opaque = text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!//)(?![0-9]+(?:[/?#]|$))")
-    return F.when((host != "") & ~opaque, key)
+    def host_key(host: F.Column) -> F.Column:
+        numeric = host.contains(":") | host.rlike(r"^[0-9.]+$")
+        labels = F.array_join(F.reverse(F.split(host, r"\.")), ",")
+        return F.when(host != "", F.when(numeric, host).otherwise(labels))
+
+    def bare(host: F.Column) -> F.Column:
+        host = F.rtrim(host, F.lit("."))
+        return F.when(host.startswith("www"), F.regexp_replace(host, r"^www[0-9]*\.(?=.)", "")).otherwise(host) if strip_www else host
+
+    def host_part(authority: F.Column, scheme: F.Column) -> F.Column:
+        """Labels and port; few hosts have one."""
+        port = F.substring_index(authority, ":", -1)
+        usual = (port == "") | ((port == "80") & scheme.isin("http", "")) | ((port == "443") & (scheme == "https"))
+        with_port = F.concat(let(bare(F.regexp_replace(authority, r":[0-9]*$", "")), host_key), F.when(usual, "").otherwise(F.concat(F.lit(":"), port)))
+        return F.when(authority.contains(":") & authority.rlike(r":[0-9]*$"), with_port).otherwise(let(bare(authority), host_key))
+
+    def local_part(tail: F.Column) -> F.Column:
+        def short(path: F.Column) -> F.Column:
+            return F.when(path.isin("", "/"), "/").when(path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
+
+        def clean(path: F.Column) -> F.Column:
+            return let(F.when(path.contains(";"), F.regexp_replace(path, r";jsessionid=[0-9a-z]*$", "")).otherwise(path), short)
+
+        def asked(path: F.Column) -> F.Column:
+            query = F.substring(tail, F.length(path) + 2, F.length(tail))
+            kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: ~p.rlike(SESSION))), "&")
+            return F.regexp_replace(F.concat(let(path, clean), F.lit("?"), kept), r"\?$", "")
+
+        return F.when(tail.contains("?"), let(F.substring_index(tail, "?", 1), asked)).otherwise(clean(tail))
+
+    def of_rest(rest: F.Column, scheme: F.Column) -> F.Column:
+        def split(raw: F.Column) -> F.Column:
+            tail = F.lower(F.substring(rest, F.length(raw) + 1, F.length(rest)))
+            return F.concat(let(F.lower(F.substring_index(raw, "@", -1)), lambda a: host_part(a, scheme)), F.lit(")"), let(tail, local_part))
+
+        return let(F.substring_index(F.substring_index(rest, "/", 1), "?", 1), split)
+
+    def whole(text: F.Column) -> F.Column:
+        def named(scheme: F.Column) -> F.Column:
+            rest = F.substring(text, F.length(scheme) + 4, F.length(text))
+            return let(F.substring_index(rest, "#", 1), lambda r: of_rest(r, F.lower(scheme)))
+
+        # Text such as urn:a:b or mailto:a@b names no host; host:port does.
+        opaque = text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?![0-9]+(?:[/?#]|$))")
+        plain = let(F.substring_index(text, "#", 1), lambda r: of_rest(r, F.lit("")))
+        with_scheme = let(F.substring_index(text, "://", 1), named)
+        return F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), with_scheme).when(~opaque, plain)
+
+    return let(F.trim(url), whole)
 
 
 def surt_parts(surt) -> dict[str, F.Column]:
