@@ -37,12 +37,16 @@ NUMBER = re.compile(r"\d+")
 BROKEN_ENTITY = re.compile(r"(?<!\s)&(?:#x?[0-9a-fA-F]{0,6}|am?p?|lt?|gt?|qu?o?t?|nb?s?p?|apo?s?)?\Z")
 MARKUP = re.compile(r"<[a-zA-Z/][^<>]{0,40}>")
 CLOSED = re.compile(rf"[{re.escape(ENDS)}][^\w{re.escape(ENDS)}]*\Z")
+NAMED = re.compile(rf"[{re.escape(ENDS)}…]\s*[-–—~]+\s*\w+\Z")
 #: Lengths of the windows looked up, longest first; for dense scripts the long ones only.
 WINDOWS = (8, 6, 5, 4, 3, 2)
 DENSE_WINDOWS = (8, 6, 5)
 #: Numbers of tokens before a broken word that are looked up with it.
 CONTEXTS = (3, 2, 1)
 LONGEST_PREFIX = 32
+#: Longer runs of tokens without an end mark tell nothing about where sentences end: their
+#: writer uses no marks.
+LONGEST_RUN, LONGEST_DENSE_RUN = 24, 80
 #: A shorter text without a sentence's end is a few words, not a cut sentence.
 FEW_WORDS = 6
 #: Bits of the filter of hashes that are looked up: 16 MB, whatever the corpus.
@@ -53,7 +57,7 @@ COPY_KEY = 16
 #: A field limit: so many unfinished texts of one length, so many times the lengths around.
 LEAST_AT_LIMIT, PEAK, NEIGHBOURS, BAND, SHORTEST_LIMIT = 5, 8.0, 8, 5, 60
 #: Occurrences a window needs to count as evidence.
-SUPPORT = 3
+SUPPORT, PAIR_SUPPORT, PAIR_SHARE = 3, 20, 0.02
 #: A word prefix must make up such a part of what follows its context.
 RARE = 0.002
 #: Share of sentence ends up to which a tail counts as cut: plain, with a mark of a cut, at a limit.
@@ -101,8 +105,8 @@ class Tail:
         self.open = bool(self.tokens) and (self.broken_entity or not CLOSED.search(body)) and (self.broken_entity or bool(re.match(r"\w|[,;:\-(&]", body[-1:])))
         self.few = len(self.tokens) < FEW_WORDS and not any(t in ENDS for t in self.tokens)
         line = body.rsplit("\n", 1)
-        #: A last line of one word, after a closed line: a name under the text.
-        self.signed = len(line) == 2 and len(line[1].split()) <= 2 and bool(CLOSED.search(line[0].rstrip()) or line[0].rstrip().endswith("--"))
+        #: A last line of a word or two after a closed one, or a word behind a dash: a name.
+        self.signed = bool(NAMED.search(body)) or len(line) == 2 and len(line[1].split()) <= 2 and bool(CLOSED.search(line[0].rstrip()) or line[0].rstrip().endswith("--"))
         self.dense = bool(self.tokens) and bool(DENSE_ONE.match(self.tokens[-1]))
 
 
@@ -164,6 +168,7 @@ class _Words:
         self.numbers: dict[str, int] = {}
         self.hashes: list[int] = []
         self.ends: list[bool] = []
+        self.dense: list[bool] = []
         self.prefixes: list[np.ndarray] = []
 
     def number(self, word: str) -> int:
@@ -172,6 +177,7 @@ class _Words:
             k = self.numbers[word] = len(self.hashes)
             self.hashes.append(_word_hash(word))
             self.ends.append(word in ENDS or word == "…")
+            self.dense.append(bool(DENSE_ONE.match(word)))
             self.prefixes.append(np.array([_word_hash(word[:i]) for i in range(min(len(word) - 1, LONGEST_PREFIX) + 1)], np.uint64))
         return k
 
@@ -204,9 +210,12 @@ def _count_windows(mask: np.ndarray):
             hashes, ends = np.array(words.hashes, np.uint64)[number], np.array(words.ends)[number]
             followed = np.append(place[1:] > place[:-1], False)
             next_ends = np.append(ends[1:], False)
+            run = np.cumsum((place == 0) | np.append(False, ends[:-1]))
+            longest = np.where(np.array(words.dense)[number], LONGEST_DENSE_RUN, LONGEST_RUN)
+            marked = np.bincount(run)[run] <= longest
             keys, more = [], []
             for n in WINDOWS:
-                key, ok = _window_keys(hashes, n), followed & (place >= n - 1)
+                key, ok = _window_keys(hashes, n), followed & marked & (place >= n - 1)
                 ok &= wanted(key)
                 keys.append(key[ok])
                 more.append(~next_ends[ok])
@@ -324,19 +333,24 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     candidates = tails.where("kind = 'text'").drop("key", "kind", "n")
     looked = tails.where("kind <> 'text'").select("doc_id", "key", "kind", "n").join(counts, "key")
 
-    enough = (F.col("kind") == "window") & (F.col("more") + F.col("ended") >= SUPPORT)
+    seen = F.col("more") + F.col("ended")
+    # Two words are often a name, which says little; they count if they hardly ever end a sentence.
+    enough = (F.col("kind") == "window") & F.when(F.col("n") == 2, (seen >= PAIR_SUPPORT) & (F.col("ended") <= PAIR_SHARE * seen)).otherwise(seen >= SUPPORT)
     judged = looked.groupBy("doc_id").agg(
-        F.max_by(F.col("ended") / (F.col("more") + F.col("ended")), F.when(enough, F.col("n"))).alias("share"),
+        F.max_by(F.col("ended") / seen, F.when(enough, F.col("n"))).alias("share"),
+        F.max(F.when((F.col("kind") == "window") & (F.col("n") == 2), F.col("more"))).alias("window_2"),
         *(F.max(F.when((F.col("kind") == kind) & (F.col("n") == n), F.col("more"))).alias(f"{kind}_{n}") for kind in ("prefix", "context") for n in CONTEXTS),
     )
     broken = F.lit(False)
     for n in CONTEXTS:
         common = F.greatest(F.lit(2.0), F.col(f"context_{n}") * RARE)
         broken = broken | F.coalesce(F.col(f"prefix_{n}") >= common, F.lit(False))
+    # A last line of a word or two that often begins sentences is one, else it is a name.
+    usual = F.coalesce(F.col("window_2") >= F.greatest(F.lit(2.0), F.col("context_1") * RARE), F.lit(False))
     copies = longer_copies(rows, candidates.where("not few")).withColumn("copied", F.lit(True))
     limits = field_limits(candidates.where("not few")).withColumn("at_limit", F.lit(True))
     whole = (
-        candidates.join(judged.select("doc_id", "share", broken.alias("in_word")), "doc_id", "left").join(copies.distinct(), "doc_id", "left")
+        candidates.join(judged.select("doc_id", "share", broken.alias("in_word"), usual.alias("usual")), "doc_id", "left").join(copies.distinct(), "doc_id", "left")
         .join(F.broadcast(limits), ["source", "chars", "mark"], "left")
     )
     share, none = F.col("share"), F.col("share").isNull()
@@ -344,7 +358,7 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     likely = F.when(F.col("at_limit") | F.col("copied"), AT_LIMIT).when(F.col("mark"), WITH_MARK).otherwise(OPEN_END)
     evidence = (
         F.when(F.col("broken"), "entity")
-        .when(F.col("signed") & (none | (share > 0)), None)
+        .when(F.col("signed") & ~(F.coalesce("usual", F.lit(False)) | in_word), None)
         .when(F.col("few"), None)
         .when(F.col("copied") & (none | (share <= AT_LIMIT)), "copy")
         .when(F.col("at_limit") & (none | (share <= AT_LIMIT)), "limit")
