@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.runtime import delete_path, materialise, parallelism, scratch_path
+from heliograph.sources.paths import filesystem
 
 #: Above any second of a four-digit year, so key number and second make one integer.
 WIDTH = 1 << 40
@@ -98,11 +98,9 @@ class RunFile:
     """A file of a run, read by row group; the last row group stays in memory."""
 
     def __init__(self, uri: str):
-        import pyarrow.fs as fs
         import pyarrow.parquet as pq
 
-        parsed = urlparse(uri)
-        system, path = (fs.LocalFileSystem(), unquote(parsed.path)) if parsed.scheme in ("", "file") else fs.FileSystem.from_uri(uri)
+        system, path = filesystem(uri)
         self.file = pq.ParquetFile(path, filesystem=system)
         self.at, self.rows = -1, None
         meta = self.file.metadata
@@ -132,7 +130,9 @@ def _in_window(batch: pa.RecordBatch, files: list[tuple], window: int, opened: d
     for uri in [u for u in opened if u not in near]:
         del opened[uri]
     for uri in near:
-        for rows in opened.setdefault(uri, RunFile(uri)).groups(low[0], high[0]):
+        if uri not in opened:
+            opened[uri] = RunFile(uri)
+        for rows in opened[uri].groups(low[0], high[0]):
             which = pc.index_in(rows["key"], value_set=keys.dictionary)
             hit = pc.is_valid(which)
             which, when = which.filter(hit).to_numpy(), rows["second"].filter(hit).to_numpy()

@@ -20,6 +20,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.functions.binding import let
+
 #: Folder of the vocabulary files; nothing is copied from it.
 TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the pattern that splits a text before merging, as its vocabulary's makers state it.
@@ -55,11 +57,6 @@ def _lookup(slots: Column, key: Column) -> Column:
     return F.try_element_at(F.element_at(slots, slot), key)
 
 
-def _with(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 class Tokenizer:
     """Column expressions for one vocabulary."""
 
@@ -78,13 +75,13 @@ class Tokenizer:
 
         def merged(pieces: Column) -> Column:
             size = F.size(pieces)
-            pair_ranks = F.zip_with(F.slice(pieces, 1, size - 1), F.slice(pieces, 2, size - 1), lambda a, b: _lookup(ranks, F.concat(a, b)))
+            pair_ranks = F.ziplet(F.slice(pieces, 1, size - 1), F.slice(pieces, 2, size - 1), lambda a, b: _lookup(ranks, F.concat(a, b)))
 
             def by_rank(found: Column) -> Column:
                 best = F.array_min(found)
                 # Of pairs that overlap, the one further left merges: 11 becomes 10.
                 marks = F.replace(F.array_join(F.transform(found, lambda r: F.when(r.eqNullSafe(best), "1").otherwise("0")), ""), F.lit("11"), F.lit("10"))
-                return F.when(best.isNull(), pieces).otherwise(_with(F.split(marks, ""), joined))
+                return F.when(best.isNull(), pieces).otherwise(let(F.split(marks, ""), joined))
 
             def joined(marks: Column) -> Column:
                 def piece(own: Column, i: Column) -> Column:
@@ -94,14 +91,14 @@ class Tokenizer:
 
                 return F.array_compact(F.transform(pieces, piece))
 
-            return _with(pair_ranks, by_rank)
+            return let(pair_ranks, by_rank)
 
         def step(state: Column, _: Column) -> Column:
             def moved(after: Column) -> Column:
                 over = (F.size(after) == F.size(state["pieces"])) | (F.size(after) < 2)
                 return F.struct(after.alias("pieces"), over.alias("over"))
 
-            return F.when(state["over"], state).otherwise(_with(merged(state["pieces"]), moved))
+            return F.when(state["over"], state).otherwise(let(merged(state["pieces"]), moved))
 
         pieces = F.regexp_extract_all(key, F.lit(".."), F.lit(0))
         start = F.struct(pieces.alias("pieces"), (F.size(pieces) < 2).alias("over"))
@@ -133,7 +130,7 @@ class Tokenizer:
                     return self.fold(key)
                 return F.coalesce(_lookup(_literal(self._words, "array<map<string,array<int>>>"), key), self.fold(key))
 
-            return _with(F.hex(word), of)
+            return let(F.hex(word), of)
 
         return F.coalesce(F.flatten(F.transform(self.words(text), ids)), F.array().cast("array<int>"))
 
