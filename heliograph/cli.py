@@ -165,6 +165,10 @@ def _server(o: argparse.Namespace) -> kv.Server:
 
 
 def _load(o: argparse.Namespace, entries: DataFrame, dry_run: bool) -> None:
+    if o.username:
+        _say(True, "the user name is ignored")
+    if not o.password and not o.socket and o.host not in ("localhost", "127.0.0.1", "::1"):
+        _say(True, "the server is remote and no password is given")
     sent, failed = kv.load(entries, kv.ServerSink(_server(o), o.batch_size, dry_run), o.key, o.clear)
     _say(True, f"{sent} entries submitted, {failed} errors")
     if failed:
@@ -191,7 +195,7 @@ def run_collection(o: argparse.Namespace, spark: SparkSession) -> None:
     state = os.path.join(o.temp_dir, o.name) if o.incremental or o.keep_temp else tempfile.mkdtemp(prefix="heliograph-")
     kept = collection.Collection(spark, state, o.name)
     done = kept.update(warc.archive_files([source]), warc.read_warcs)
-    index, report = kept.build(os.path.join(o.output_dir, o.name), blocklist=blocklist, threshold=o.threshold, chunk_size=o.shard_size)
+    index, report = kept.build(os.path.join(o.output_dir, o.name), blocklist=blocklist, threshold=o.threshold, chunk_size=o.shard_size, compress_level=1 if o.no_compress else 6)
     _say(True, f"archives: {done}; blocks: {index.count()}")
     for row in report.collect():
         _say(True, f"{row.stage}: {row.n_captures} captures, {row.removed_percent} % removed")
@@ -208,6 +212,9 @@ def _server_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--batch-size", type=int, default=kv.BATCH)
     p.add_argument("--timeout", type=float, default=10.0)
     p.add_argument("--clear", action="store_true")
+    p.add_argument("--username", help="ignored: the connection authenticates by password")
+    p.add_argument("--cluster", action="store_true", help="not needed: a hash's server is found by its first reply")
+    p.add_argument("--pool-size", type=int, help="not needed: every partition has a connection")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -259,6 +266,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sort", action="store_true")
     p.add_argument("--dedupe", action="store_true")
     p.add_argument("--skip-errors", action="store_true")
+    p.add_argument("--progress", action="store_true", help="not needed: Spark shows it")
     p = command("to-zipnum", run_to_zipnum, "write a cluster")
     p.add_argument("-i", "--input", default="-")
     p.add_argument("-o", "--output", required=True)
@@ -267,11 +275,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-c", "--chunk-size", type=int, default=3000)
     p.add_argument("--compress-level", type=int, choices=range(1, 10), default=6)
     p.add_argument("--base")
+    p.add_argument("--workers", type=int, help="not needed: Spark decides")
     p.add_argument("--idx-file")
     p.add_argument("--loc-file")
     p = command("from-zipnum", run_from_zipnum, "print a cluster's captures")
     p.add_argument("-i", "--input", required=True)
     p.add_argument("--base-dir")
+    p.add_argument("--workers", type=int, help="not needed: Spark decides")
     p.add_argument("--loc")
     p = command("path-index", run_path_index, "make a path index of archive lists")
     p.add_argument("-i", "--input", action="append")
@@ -292,6 +302,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--collections-dir", default=".")
     p.add_argument("--output-dir", default=".")
     p.add_argument("--temp-dir", default=tempfile.gettempdir())
+    p.add_argument("--jobs", type=int, help="not needed: Spark decides")
+    p.add_argument("--no-compress", action="store_true", help="blocks stored without compression effort")
     p.add_argument("--keep-temp", action="store_true")
     p.add_argument("--incremental", action="store_true")
     return top

@@ -46,7 +46,7 @@ def sort_key(value) -> F.Column:
 
 def format_line(surt, ts, json) -> F.Column:
     """A capture as a line; without payload, or with an empty one, two parts only."""
-    bare = json.isNull() | (F.regexp_replace(json, r"\s", "") == "{}")
+    bare = json.isNull() | json.rlike(r"^\s*\{\s*\}\s*$")
     return F.when(bare, F.concat_ws(" ", surt, ts)).otherwise(F.concat_ws(" ", surt, ts, json))
 
 

@@ -20,6 +20,7 @@ from heliograph.runtime import delete_path, materialise, scratch_path
 
 FANOUT_BITS = 4
 ROWS_PER_LEAF = 64
+LEAF = "hg_leaf"
 #: 16 ** 10 leaves of 64 rows: 7e13 rows.
 DEEPEST = 10
 
@@ -29,17 +30,17 @@ def depth_for(rows: int) -> int:
 
 
 def with_leaf(state: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    return state.withColumn("leaf", F.shiftrightunsigned(F.xxhash64(*keys), 64 - FANOUT_BITS * depth))
+    return state.withColumn(LEAF, F.shiftrightunsigned(F.xxhash64(*keys), 64 - FANOUT_BITS * depth))
 
 
 def tree(leafed: DataFrame, depth: int) -> DataFrame:
     """``level, node, digest`` of every node; level 0 is the root.
 
-    ``leafed`` holds the state's columns and ``leaf``.  An empty state has no nodes.
+    ``leafed`` holds the state's columns and LEAF.  An empty state has no nodes.
     """
-    row = F.sha2(F.to_json(F.struct(*(c for c in leafed.columns if c != "leaf")), {"ignoreNullFields": "false"}), 256)
+    row = F.sha2(F.to_json(F.struct(*(c for c in leafed.columns if c != LEAF)), {"ignoreNullFields": "false"}), 256)
     # A leaf holds ROWS_PER_LEAF rows on average and keys are unique, so its list is small.
-    leaves = leafed.groupBy(F.col("leaf").alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("digest"))
+    leaves = leafed.groupBy(F.col(LEAF).alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("digest"))
     levels = [materialise(leaves, "leaves")]
     for _ in range(depth):
         child = F.struct("node", "digest")
@@ -63,7 +64,7 @@ def changed_leaves(current: DataFrame, saved: DataFrame, depth: int) -> DataFram
             differing = materialise(differing, f"differing-{level}")
             if differing.isEmpty():
                 break
-    return differing.select(F.col("node").alias("leaf"))
+    return differing.select(F.col("node").alias(LEAF))
 
 
 def state_changes(current: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,18 +72,25 @@ def state_changes(current: DataFrame, saved: DataFrame, keys: list[str]) -> Data
 
     Both have the same columns; keys are unique and compared null-safe.  Result: the
     columns (for a key that is gone those of ``saved``) and ``change``: ``added``,
-    ``changed`` or ``removed``.  Either side may be empty.
+    ``changed`` or ``removed``.  Either side may be empty.  ValueError if a state has a column
+    called ``change``.
     """
-    columns = current.columns
+    columns = _columns(current)
     saved = saved.select(*columns)
     depth = depth_for(max(current.count(), saved.count()))
     now, then = (materialise(with_leaf(x, keys, depth), "state") for x in (current, saved))
     return _extract(now, then, tree(now, depth), tree(then, depth), keys, columns, depth)
 
 
+def _columns(state: DataFrame) -> list[str]:
+    if "change" in state.columns or LEAF in state.columns:
+        raise ValueError(f"a state has no column called change or {LEAF}")
+    return state.columns
+
+
 def _extract(now: DataFrame, then: DataFrame, now_tree: DataFrame, then_tree: DataFrame, keys: list[str], columns: list[str], depth: int) -> DataFrame:
     leaves = materialise(changed_leaves(now_tree, then_tree, depth), "changed-leaves")
-    a, b = (x.join(leaves, "leaf", "left_semi") for x in (now, then))
+    a, b = (x.join(leaves, LEAF, "left_semi") for x in (now, then))
     a = a.select(F.struct(*columns).alias("now"), *(F.col(k).alias(f"now_{i}") for i, k in enumerate(keys)))
     b = b.select(F.struct(*columns).alias("then"), *(F.col(k).alias(f"then_{i}") for i, k in enumerate(keys)))
     same = reduce(lambda x, y: x & y, (a[f"now_{i}"].eqNullSafe(b[f"then_{i}"]) for i in range(len(keys))))
@@ -130,7 +138,7 @@ class StateStore:
         last = self.latest()
         if last is None:
             return current.withColumn("change", F.lit("added"))
-        depth, columns = last["depth"], current.columns
+        depth, columns = last["depth"], _columns(current)
         now = materialise(with_leaf(current, self.keys, depth), "state")
         base = f"{self.path}/{last['folder']}"
         then = with_leaf(self.saved(current.schema), self.keys, depth)
@@ -162,26 +170,35 @@ class StateStore:
         return self.spark.read.parquet(f"{self.path}/{self.latest()['folder']}/output")
 
 
-def pending_files(listing: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
-    """``warc_path, cdxj_path`` of the files the next run has to read.
+def file_states(listing: DataFrame, log: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``warc_path, cdxj_path, warc_sha`` as the files are now, and as they were indexed.
 
     The current state of a file is its listing row seen last (ties: the higher
     ``list_id``); a null ``warc_sha`` means the file is gone.  A log row counts if its run
     and its own outcome are ``ok``; the content indexed for a file and target is that of
     the counting row whose run finished last (ties: logged last, higher ``log_id``).  A
-    null path names no file.
+    null path names no file; a null target was never indexed.
     """
     now = (
         listing.where("warc_path is not null").groupBy("warc_path")
         .agg(F.max_by(F.struct("cdxj_path", "warc_sha"), F.struct("seen_at", "list_id")).alias("x"))
         .select("warc_path", "x.cdxj_path", "x.warc_sha").where("warc_sha is not null")
-    )
+    )
     good = runs.where("run_state = 'ok'").groupBy("run_id").agg(F.max("finished_at").alias("finished_at"))
     indexed = (
         log.where("outcome = 'ok' and warc_path is not null and cdxj_path is not null")
         .select("run_id", "warc_path", "cdxj_path", "warc_sha", "logged_at", "log_id").join(good, "run_id")
         .groupBy("warc_path", "cdxj_path")
         .agg(F.max_by("warc_sha", F.struct("finished_at", "logged_at", "log_id")).alias("warc_sha"))
-    )
-    changes = state_changes(now, indexed, ["warc_path", "cdxj_path"])
+    )
+    return now, indexed
+
+
+def pending_files(listing: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
+    """``warc_path, cdxj_path, warc_sha, change`` of the files the next run has to read.
+
+    The changes between the two states of ``file_states`` that leave something to read.
+    Empty tables are fine, repeated rows count once, other columns are ignored.
+    """
+    changes = state_changes(*file_states(listing, log, runs), ["warc_path", "cdxj_path"])
     return changes.where("change <> 'removed'").select("warc_path", "cdxj_path", "warc_sha", "change")

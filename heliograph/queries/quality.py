@@ -132,6 +132,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pending.select("warc_path", "cdxj_path")
 
 
+_P3_ALL = (
+    _P3_SQL.split("select now.warc_path")[0]
+    + """, cur as (select warc_path, x.c as cdxj_path, x.s as warc_sha from now where x.s is not null),
+old as (select warc_path, cdxj_path, y.s as warc_sha from indexed where warc_path is not null)
+select coalesce(cur.warc_path, old.warc_path) as warc_path, coalesce(cur.cdxj_path, old.cdxj_path) as cdxj_path,
+  case when old.warc_path is null then 'added' when cur.warc_path is null then 'removed' else 'changed' end as change
+from cur full join old on cur.warc_path = old.warc_path and cur.cdxj_path = old.cdxj_path
+where old.warc_path is null or cur.warc_path is null or cur.warc_sha is distinct from old.warc_sha"""
+)
+
+
+@query("p3_changes", _P3_ALL)
+def p3_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Everything in which the files and what was indexed of them differ."""
+    states = merkle.file_states(table(spark, d, "warc_listing"), table(spark, d, "index_log"), table(spark, d, "index_runs"))
+    return merkle.state_changes(*states, ["warc_path", "cdxj_path"]).select("warc_path", "cdxj_path", "change")
+
+
 # ---------------------------------------------------------------- p4
 
 

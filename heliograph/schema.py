@@ -38,5 +38,5 @@ PATH_INDEX = T.StructType([T.StructField("filename", T.StringType()), T.StructFi
 
 
 def order_columns(df: DataFrame) -> list[F.Column]:
-    """The order columns that ``df`` has, then the raw line as the last resort."""
-    return [F.col(c) for c in (*ORDER, "value") if c in df.columns]
+    """The order columns that ``df`` has; without any, the raw line."""
+    return [F.col(c) for c in ORDER if c in df.columns] or [F.col(c) for c in ("value",) if c in df.columns]

@@ -53,3 +53,14 @@ def captures_table(captures: DataFrame, path: str, collection: str | None = None
     else:
         named = ordered.withColumn("collection", F.lit(collection))
         named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+
+
+def write_by_period(captures: DataFrame, path: str, months: bool = False) -> None:
+    """One folder per year, or per year and month, each sorted by key.
+
+    A period's rows are spread by key, so a year with most captures is written by several
+    tasks.
+    """
+    periods = {"year": F.substring("ts", 1, 4)} | ({"month": F.substring("ts", 5, 2)} if months else {})
+    dated = captures.withColumns(periods).repartitionByRange(*periods, "surt", "ts").sortWithinPartitions(*periods, "surt", "ts")
+    dated.write.mode("overwrite").partitionBy(*periods).parquet(path)

@@ -43,3 +43,10 @@ def test_roll_up_is_exact_at_the_threshold(spark):
     assert [r.k for r in eager.heavy_keys(stats, "k", 700, 0.01).collect()] == ["a"]
     rolled = eager.roll_up(stats, [F.lit(1).alias("g")], {"n_rows": "sum"})
     assert rolled.first().n_rows == 13
+
+
+def test_clashing_names_and_long_values(spark):
+    rows = spark.createDataFrame([("a", "x" * 100_000, "1", 1, 2), ("a", "x" * 100_000, "1", 1, 2)], "k string, value string, first string, n_rows int, left_rows int")
+    got = [tuple(r) for r in eager.key_statistics(rows, "k", F.col("value"), "first").collect()]
+    assert got == [("a", 2, 1, "1", "1")]
+    assert eager.key_statistics(rows.limit(0), "k", F.col("value"), "first").count() == 0

@@ -3,12 +3,15 @@ import gzip
 import os
 import random
 import socketserver
+import subprocess
+import sys
 import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from heliograph import runtime
 from heliograph.cli import main
 from heliograph.operators.blocklist import Blocklist
 from heliograph.operators.merge import order_violations
@@ -16,7 +19,7 @@ from heliograph.plans import collection, lookup
 from heliograph.schema import IDX
 from heliograph.sinks import kv
 from heliograph.sinks import zipnum as writer
-from heliograph.sinks.text import captures_table, write_one_file
+from heliograph.sinks.text import captures_table, write_by_period, write_one_file
 from heliograph.sources import flat, warc, zipnum
 from heliograph.streaming.ingest import ingest
 
@@ -296,6 +299,33 @@ def test_tables(spark, tmp_path):
     assert order_violations(ordered, ["p", "i"], "surt").count() == 0
 
 
+def test_periods(spark, tmp_path, captures):
+    df = captures(["a)/ 20200101000000", "b)/ 20200201000000", "a)/ 20210101000000", "x"])
+    write_by_period(df, str(tmp_path / "y"))
+    assert {(str(r.year), r["count"]) for r in spark.read.parquet(str(tmp_path / "y")).groupBy("year").count().collect()} == {("2020", 2), ("2021", 1), ("None", 1)}
+    write_by_period(df, str(tmp_path / "m"), months=True)
+    assert spark.read.parquet(str(tmp_path / "m")).select("year", "month").distinct().count() == 4
+
+
+def test_working_tables(spark, tmp_path, monkeypatch):
+    runtime.release(spark)
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    kept = runtime.materialise(spark.range(5), "t")
+    assert kept.count() == 5 and len(os.listdir(tmp_path / "shared/heliograph")) == 1
+    runtime.release(spark)
+    assert os.listdir(tmp_path / "shared/heliograph") == []
+
+
+def test_shared_folder_of_the_session():
+    code = """
+from pyspark.sql import SparkSession
+from heliograph.runtime import shared_dir
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file:///tmp/some/folder/").getOrCreate()
+assert shared_dir(spark) == "file:///tmp/some/folder"
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 # ------------------------------------------------ key/value server
 
 

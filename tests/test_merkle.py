@@ -74,3 +74,10 @@ def test_store_survives_a_failed_run(spark, tmp_path):
     assert sorted(map(tuple, again.changes(two).collect())) == want
     assert again.publish(two, two) == 2
     assert again.changes(two).count() == 0 and again.output().count() == 2
+
+
+def test_clashing_columns(spark):
+    a = spark.createDataFrame([("a", 1)], "k string, leaf int")
+    assert merkle.state_changes(a, a.limit(0), ["k"]).first().leaf == 1
+    with pytest.raises(ValueError):
+        merkle.state_changes(a.withColumnRenamed("leaf", "change"), a, ["k"])
