@@ -34,7 +34,8 @@ DENSE = "぀-ヿ㐀-鿿가-힣฀-๿"
 TOKEN = re.compile(rf"[{DENSE}]|[^\W{DENSE}_]+(?:['’\-][^\W{DENSE}_]+)*|[{re.escape(ENDS)}…]")
 DENSE_ONE = re.compile(rf"[{DENSE}]")
 NUMBER = re.compile(r"\d+")
-BROKEN_ENTITY = re.compile(r"(?<!\s)&(?:#x?[0-9a-fA-F]{0,6}|am?p?|lt?|gt?|qu?o?t?|nb?s?p?|apo?s?)?\Z")
+#: An escape, a tag or a character that was begun and not ended.
+BROKEN = re.compile(r"(?:&(?:#x?[0-9a-fA-F]{0,6}|am?p?|lt?|gt?|qu?o?t?|nb?s?p?|apo?s?)|(?<!\s)&|\\u[0-9a-fA-F]{0,3}|<[a-zA-Z/!][^<>]{0,12}|\ufffd+|\u200d)\Z")
 MARKUP = re.compile(r"<[a-zA-Z/][^<>]{0,40}>")
 CLOSED = re.compile(rf"[{re.escape(ENDS)}][^\w{re.escape(ENDS)}]*\Z")
 NAMED = re.compile(rf"[{re.escape(ENDS)}…]\s*[-–—~]+\s*\w+\Z")
@@ -91,18 +92,18 @@ class Tail:
     """The unfinished end of a text."""
 
     def __init__(self, text: str):
-        self.mark, self.broken_entity = False, False
+        self.mark, self.broken = False, False
         body = text.rstrip()
         m = CUT_MARK.search(body)
         if m:
             self.mark, body = True, body[: m.start()].rstrip()
         else:
-            e = BROKEN_ENTITY.search(body)
+            e = BROKEN.search(body)
             if e:
-                self.broken_entity, body = True, body[: e.start()]
+                self.broken, body = True, body[: e.start()]
         self.body = body
         self.tokens = tokens_of(body[-2000:])
-        self.open = bool(self.tokens) and (self.broken_entity or not CLOSED.search(body)) and (self.broken_entity or bool(re.match(r"\w|[,;:\-(&]", body[-1:])))
+        self.open = bool(self.tokens) and (self.broken or not CLOSED.search(body)) and (self.broken or bool(re.match(r"\w|[,;:\-(&'’]", body[-1:])))
         self.few = len(self.tokens) < FEW_WORDS and not any(t in ENDS for t in self.tokens)
         line = body.rsplit("\n", 1)
         #: A last line of a word or two after a closed one, or a word behind a dash: a name.
@@ -150,7 +151,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for key, kind, n in [(0, "text", 0), *_tail_rows(tail)]:
                 ids.append(i)
-                rows.append((key, kind, n, len(text), tail.mark, tail.broken_entity, tail.few, tail.signed, len(tail.tokens)))
+                rows.append((key, kind, n, len(text), tail.mark, tail.broken, tail.few, tail.signed, len(tail.tokens)))
         columns = [batch["doc_id"].take(pa.array(ids, pa.int64())), batch["source"].take(pa.array(ids, pa.int64()))]
         columns.append(pa.array(_signed64(np.array([r[0] for r in rows], np.uint64)), pa.int64()))
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
@@ -316,13 +317,14 @@ def field_limits(candidates: DataFrame) -> DataFrame:
 def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", title_col: str | None = "title") -> DataFrame:
     """Texts that lack their end: ``doc_id, source, chars, evidence, share``.
 
-    ``source`` is trimmed and lower-cased.  ``evidence`` is ``entity`` (stops inside a character
-    reference), ``copy`` (a longer copy goes on), ``limit`` (stops inside a sentence at a
+    ``source`` is trimmed and lower-cased.  ``evidence`` is ``escape`` (stops inside an escape, a
+    tag or a character), ``copy`` (a longer copy goes on), ``limit`` (stops inside a sentence at a
     field limit of its source), ``sentence`` or ``word`` (stops inside one that goes on
     elsewhere); ``share`` is the share of the tail's occurrences elsewhere that end a
     sentence.  A text is no case if it is null or blank, ends on an end mark, an emoticon
     or a closing sign, is a few words only, is signed with a name, or stands where a
-    longer, complete title shows that the two were swapped.  Repeated rows need distinct ids.
+    longer, complete title shows that the two were swapped.  Repeated rows come out as often
+    as they occur; the table may be empty.
     """
     title = F.col(title_col).cast("string") if title_col else F.lit(None).cast("string")
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), trimmed_lower(F.col(source_col)).alias("source"), title.alias("title"))
@@ -357,7 +359,7 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     in_word = F.coalesce("in_word", F.lit(False)) & none
     likely = F.when(F.col("at_limit") | F.col("copied"), AT_LIMIT).when(F.col("mark"), WITH_MARK).otherwise(OPEN_END)
     evidence = (
-        F.when(F.col("broken"), "entity")
+        F.when(F.col("broken"), "escape")
         .when(F.col("signed") & ~(F.coalesce("usual", F.lit(False)) | in_word), None)
         .when(F.col("few"), None)
         .when(F.col("copied") & (none | (share <= AT_LIMIT)), "copy")
