@@ -50,6 +50,8 @@ LONGEST_PREFIX = 32
 LONGEST_RUN, LONGEST_DENSE_RUN = 24, 80
 #: A shorter text without a sentence's end is a few words, not a cut sentence.
 FEW_WORDS = 6
+#: Tokens a task looks at together, and letters of a piece of a long text.
+TOKENS_AT_ONCE, PIECE = 300_000, 1 << 20
 #: Bits of the filter of hashes that are looked up: 16 MB, whatever the corpus.
 FILTER_BITS = 27
 BLOCK_BITS = 15  # of Spark's bitmap functions
@@ -196,52 +198,81 @@ def _count_windows(mask: np.ndarray):
         place = (keys >> shift).astype(np.int64)
         return (mask[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
+    def counted(words: _Words, numbers: list[int], starts: list[int], known: list[bool]) -> pa.RecordBatch:
+        number, place, fresh = np.array(numbers), np.array(starts), ~np.array(known)
+        hashes, ends = np.array(words.hashes, np.uint64)[number], np.array(words.ends)[number]
+        followed = np.append(place[1:] > place[:-1], False)
+        next_ends = np.append(ends[1:], False)
+        run = np.cumsum((place == 0) | np.append(False, ends[:-1]))
+        longest = np.where(np.array(words.dense)[number], LONGEST_DENSE_RUN, LONGEST_RUN)
+        marked = np.bincount(run)[run] <= longest
+        # Of tokens brought along from the piece before, only the last one's follower is new.
+        told = followed & marked & (fresh | np.append(fresh[1:], False))
+        keys, more = [], []
+        for n in WINDOWS:
+            key, ok = _window_keys(hashes, n), told & (place >= n - 1)
+            ok &= wanted(key)
+            keys.append(key[ok])
+            more.append(~next_ends[ok])
+        sizes = np.array([len(p) for p in words.prefixes])[number]
+        for n in CONTEXTS:
+            # The word at place i, and its prefixes, after the n tokens before it.
+            ok = fresh & (place >= n)
+            ok[0] = False
+            where = np.flatnonzero(ok)
+            context = _mix(_window_keys(hashes, n)[where - 1], 77)
+            part = np.concatenate([words.prefixes[k] for k in number[where]]) if len(where) else np.zeros(0, np.uint64)
+            key = _mix(np.repeat(context, sizes[where]), part)
+            ok = wanted(key)
+            keys.append(key[ok])
+            more.append(np.ones(int(ok.sum()), bool))
+        key, goes_on = np.concatenate(keys), np.concatenate(more)
+        unique, inverse = np.unique(key, return_inverse=True)
+        total = np.bincount(inverse, minlength=len(unique))
+        going = np.bincount(inverse, weights=goes_on, minlength=len(unique)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(_signed64(unique)), pa.array(going), pa.array(total - going)], names=["key", "more", "ended"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
+        numbers: list[int] = []
+        starts: list[int] = []
+        known: list[bool] = []
         for batch in batches:
-            numbers, starts = [], []
-            for text in batch["text"].to_pylist():
-                if text:
-                    found = tokens_of(text)
-                    starts += range(len(found))
+            for text in batch["text"]:
+                for first, brought, found in _pieces(text.as_py() or ""):
                     numbers += [words.number(t) for t in found]
-            if not numbers:
-                continue
-            number, place = np.array(numbers), np.array(starts)
-            hashes, ends = np.array(words.hashes, np.uint64)[number], np.array(words.ends)[number]
-            followed = np.append(place[1:] > place[:-1], False)
-            next_ends = np.append(ends[1:], False)
-            run = np.cumsum((place == 0) | np.append(False, ends[:-1]))
-            longest = np.where(np.array(words.dense)[number], LONGEST_DENSE_RUN, LONGEST_RUN)
-            marked = np.bincount(run)[run] <= longest
-            keys, more = [], []
-            for n in WINDOWS:
-                key, ok = _window_keys(hashes, n), followed & marked & (place >= n - 1)
-                ok &= wanted(key)
-                keys.append(key[ok])
-                more.append(~next_ends[ok])
-            sizes = np.array([len(p) for p in words.prefixes])[number]
-            for n in CONTEXTS:
-                # The word at place i, and its prefixes, after the n tokens before it.
-                ok = place >= n
-                ok[0] = False
-                where = np.flatnonzero(ok)
-                context = _mix(_window_keys(hashes, n)[where - 1], 77)
-                part = np.concatenate([words.prefixes[k] for k in number[where]]) if len(where) else np.zeros(0, np.uint64)
-                key = _mix(np.repeat(context, sizes[where]), part)
-                ok = wanted(key)
-                keys.append(key[ok])
-                more.append(np.ones(int(ok.sum()), bool))
-            key, more_ = np.concatenate(keys), np.concatenate(more)
-            unique, inverse = np.unique(key, return_inverse=True)
-            total = np.bincount(inverse, minlength=len(unique))
-            going = np.bincount(inverse, weights=more_, minlength=len(unique)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed64(unique)), pa.array(going), pa.array(total - going)], names=["key", "more", "ended"])
-            words.trim()
+                    starts += range(first, first + len(found))
+                    known += [True] * brought + [False] * (len(found) - brought)
+                    if len(numbers) >= TOKENS_AT_ONCE:
+                        yield counted(words, numbers, starts, known)
+                        numbers, starts, known = [], [], []
+                        words.trim()
+        if numbers:
+            yield counted(words, numbers, starts, known)
 
     return run
 
 
+def _pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Place of the first token, how many tokens are from the piece before, and the tokens.
+
+    A long text comes in pieces cut at blanks (or anywhere, without blanks), each with the
+    last tokens of the one before, so that no window is lost at a cut.
+    """
+    at, first, before = 0, 0, []
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            blank = text.rfind(" ", at + PIECE // 2, end)
+            end = blank if blank > 0 else end
+        found = tokens_of(text[at:end])
+        if found:
+            yield first - len(before), len(before), before + found
+            first += len(found)
+            before = (before + found)[-max(WINDOWS) - 1 :]
+        at = end
+
+
 def _filter(tails: DataFrame) -> np.ndarray:
     """A bit per hash prefix that is looked up; at most 2 ** 12 rows of 4 KB come here."""
     place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
@@ -353,7 +384,7 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     limits = field_limits(candidates.where("not few")).withColumn("at_limit", F.lit(True))
     whole = (
         candidates.join(judged.select("doc_id", "share", broken.alias("in_word"), usual.alias("usual")), "doc_id", "left").join(copies.distinct(), "doc_id", "left")
-        .join(F.broadcast(limits), ["source", "chars", "mark"], "left")
+        .join(limits, ["source", "chars", "mark"], "left")
     )
     share, none = F.col("share"), F.col("share").isNull()
     in_word = F.coalesce("in_word", F.lit(False)) & none

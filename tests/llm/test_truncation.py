@@ -92,3 +92,29 @@ def test_report_and_empty(spark):
     assert rows["a"].rate == rows["a"].n_cut / rows["a"].n_texts
     assert tr.truncated_texts(df.limit(0)).count() == 0
     assert tr.truncation_report(df.limit(0), tr.truncated_texts(df.limit(0))).count() == 0
+
+
+def test_long_texts_in_pieces_count_alike(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [". ".join(sentence(rng) for _ in range(40)) + "." for _ in range(6)] + ["", None, "word", "日本語の文。" * 30]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 4], pa.string())], names=["text"]) for i in (0, 4, 8)]
+    everything = np.full(1 << tr.FILTER_BITS - 3, 255, np.uint8)
+
+    def counts():
+        total = {}
+        for b in tr._count_windows(everything)(iter(batches)):
+            for k, more, ended in zip(*(b.column(i).to_pylist() for i in range(3))):
+                have = total.get(k, (0, 0))
+                total[k] = (have[0] + more, have[1] + ended)
+        return total
+
+    monkeypatch.setattr(tr, "LONGEST_RUN", 10**6)
+    monkeypatch.setattr(tr, "LONGEST_DENSE_RUN", 10**6)
+    whole = counts()
+    monkeypatch.setattr(tr, "PIECE", 120)
+    monkeypatch.setattr(tr, "TOKENS_AT_ONCE", 10**9)
+    assert counts() == whole
+    assert len(whole) > 1000
