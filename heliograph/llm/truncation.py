@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ NUMBER = re.compile(r"\d+")
 BROKEN = re.compile(r"(?:&(?:#x?[0-9a-fA-F]{0,6}|am?p?|lt?|gt?|qu?o?t?|nb?s?p?|apo?s?)|(?<!\s)&|\\u[0-9a-fA-F]{0,3}|<[a-zA-Z/!][^<>]{0,12}|\ufffd+|\u200d)\Z")
 MARKUP = re.compile(r"<[a-zA-Z/][^<>]{0,40}>")
 CLOSED = re.compile(rf"[{re.escape(ENDS)}][^\w{re.escape(ENDS)}]*\Z")
+OPEN = re.compile(r"[\w,;:\-(&'’]")
 NAMED = re.compile(rf"[{re.escape(ENDS)}…]\s*[-–—~]+\s*\w+\Z")
 #: Lengths of the windows looked up, longest first; for dense scripts the long ones only.
 WINDOWS = (8, 6, 5, 4, 3, 2)
@@ -68,6 +70,9 @@ OPEN_END, WITH_MARK, AT_LIMIT = 0.25, 0.4, 0.7
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xBF58476D1CE4E5B9)
+FULL = (1 << 64) - 1
+#: Tells the key of what follows a window from the key of a window.
+AFTER = 77
 
 
 def _mix(a: np.ndarray, b) -> np.ndarray:
@@ -96,16 +101,19 @@ class Tail:
     def __init__(self, text: str):
         self.mark, self.broken = False, False
         body = text.rstrip()
-        m = CUT_MARK.search(body)
+        end, before = body[-40:], max(len(body) - 40, 0)  # what the marks look like is short
+        m = CUT_MARK.search(end)
         if m:
-            self.mark, body = True, body[: m.start()].rstrip()
+            self.mark, body = True, body[: before + m.start()].rstrip()
         else:
-            e = BROKEN.search(body)
+            e = BROKEN.search(end)
             if e:
-                self.broken, body = True, body[: e.start()]
-        self.body = body
+                self.broken, body = True, body[: before + e.start()]
+        self.open = self.broken or bool(OPEN.match(body[-1:]) and not CLOSED.search(body[-200:]))
+        if not self.open:
+            return  # most texts: nothing more is asked of them
         self.tokens = tokens_of(body[-2000:])
-        self.open = bool(self.tokens) and (self.broken or not CLOSED.search(body)) and (self.broken or bool(re.match(r"\w|[,;:\-(&'’]", body[-1:])))
+        self.open = bool(self.tokens)
         self.few = len(self.tokens) < FEW_WORDS and not any(t in ENDS for t in self.tokens)
         line = body.rsplit("\n", 1)
         #: A last line of a word or two after a closed one, or a word behind a dash: a name.
@@ -121,20 +129,23 @@ def _window_keys(hashes: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+def _mix_one(a: int, b: int) -> int:
+    """``_mix`` of single numbers."""
+    x = ((a * int(_M)) & FULL) ^ ((b + (a >> 29)) & FULL)
+    x = ((x ^ (x >> 32)) * int(_N)) & FULL
+    return x ^ (x >> 29)
+
+
 def _tail_rows(tail: Tail) -> list[tuple[int, str, int]]:
     """(key, kind, length) of the lookups for one tail."""
-    hashes = np.array([_word_hash(t) for t in tail.tokens[-9:]], np.uint64)
-    rows = []
-    for n in DENSE_WINDOWS if tail.dense else WINDOWS:
-        if len(hashes) >= n:
-            rows.append((int(_window_keys(hashes, n)[-1]), "window", n))
+    hashes = [_word_hash(t) for t in tail.tokens[-9:]]
+    rows = [(reduce(_mix_one, hashes[-n:], n), "window", n) for n in (DENSE_WINDOWS if tail.dense else WINDOWS) if len(hashes) >= n]
     word = tail.tokens[-1]
     if not tail.dense and len(word) <= LONGEST_PREFIX and re.match(r"\w", word):
         for n in CONTEXTS:
             if len(hashes) > n:
-                context = _window_keys(hashes[:-1], n)[-1:]
-                for kind, part in (("prefix", word), ("context", "")):
-                    rows.append((int(_mix(_mix(context, 77), _word_hash(part))[0]), kind, n))
+                context = _mix_one(reduce(_mix_one, hashes[-n - 1 : -1], n), AFTER)
+                rows += [(_mix_one(context, _word_hash(part)), kind, n) for kind, part in (("prefix", word), ("context", ""))]
     return rows
 
 
@@ -172,7 +183,9 @@ class _Words:
         self.hashes: list[int] = []
         self.ends: list[bool] = []
         self.dense: list[bool] = []
-        self.prefixes: list[np.ndarray] = []
+        self.prefixes: list[int] = []  # of all words, one after the other
+        self.first: list[int] = []
+        self.sizes: list[int] = []
 
     def number(self, word: str) -> int:
         k = self.numbers.get(word)
@@ -181,7 +194,9 @@ class _Words:
             self.hashes.append(_word_hash(word))
             self.ends.append(word in ENDS or word == "…")
             self.dense.append(bool(DENSE_ONE.match(word)))
-            self.prefixes.append(np.array([_word_hash(word[:i]) for i in range(min(len(word) - 1, LONGEST_PREFIX) + 1)], np.uint64))
+            self.first.append(len(self.prefixes))
+            self.prefixes += [_word_hash(word[:i]) for i in range(min(len(word) - 1, LONGEST_PREFIX) + 1)]
+            self.sizes.append(len(self.prefixes) - self.first[-1])
         return k
 
     def trim(self) -> None:
@@ -214,15 +229,16 @@ def _count_windows(mask: np.ndarray):
             ok &= wanted(key)
             keys.append(key[ok])
             more.append(~next_ends[ok])
-        sizes = np.array([len(p) for p in words.prefixes])[number]
+        prefixes, offsets, sizes = np.array(words.prefixes, np.uint64), np.array(words.first)[number], np.array(words.sizes)[number]
         for n in CONTEXTS:
             # The word at place i, and its prefixes, after the n tokens before it.
             ok = fresh & (place >= n)
             ok[0] = False
             where = np.flatnonzero(ok)
-            context = _mix(_window_keys(hashes, n)[where - 1], 77)
-            part = np.concatenate([words.prefixes[k] for k in number[where]]) if len(where) else np.zeros(0, np.uint64)
-            key = _mix(np.repeat(context, sizes[where]), part)
+            context = _mix(_window_keys(hashes, n)[where - 1], AFTER)
+            size = sizes[where]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            key = _mix(np.repeat(context, size), prefixes[np.repeat(offsets[where], size) + within])
             ok = wanted(key)
             keys.append(key[ok])
             more.append(np.ones(int(ok.sum()), bool))
