@@ -50,12 +50,50 @@ def _screened(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("p7_found")
+# Pages and seconds as SQL, then each page's rows decided one by one in order.
+_P7_KEYS = """
+  select *, coalesce(nullif(regexp_extract(low, '^[^)]*'), ''), '') as host, substr(low, length(regexp_extract(low, '^[^)]*')) + 1) as raw
+  from (select *, lower(surt_key) as low, epoch(try_strptime(ts, '%Y%m%d%H%M%S'))::bigint as sec from {})
+"""
+_P7_SQL = """
+with every as (select capture_id as id, 0 as batch_no, surt_key, ts from captures union all select rec_id, batch_no, surt_key, ts from incoming_captures),
+keyed as (""" + _P7_KEYS.format("every") + """), decoded as (
+  select *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '(^|,)www[0-9]*$', '') as site,
+    case when contains(raw, '%') then array_to_string(list_transform(string_split(raw, '%'), lambda x, i:
+      case when i = 1 then x when regexp_matches(x, '^([46][1-9a-f]|[57][0-9a]|3[0-9]|2[de]|5f|7e)')
+      then chr(('0x' || left(x, 2))::int) || substr(x, 3) else '%' || x end), '') else raw end as rest
+  from keyed where surt_key is not null and sec is not null
+), pages as (
+  select id, batch_no, sec, site || regexp_replace(split_part(rest, '?', 1), '/$', '') || case when params = '' then '' else '?' || params end as page
+  from (select *, case when contains(rest, '?') then array_to_string(list_sort(list_filter(string_split(substr(rest, instr(rest, '?') + 1), '&'),
+    lambda x: not (split_part(x, '=', 1) in ('sid', 'phpsessid', 'jsessionid') or starts_with(x, 'utm_')))), '&') else '' end as params from decoded)
+), fresh as (
+  select page, sec, min({'b': batch_no, 'i': id}) as place from pages n where batch_no > 0
+  and not exists (select 1 from pages h where h.batch_no = 0 and h.page = n.page and h.sec between n.sec - 5 and n.sec + 5) group by all
+), placed as (
+  select page, sec, place.i as id, row_number() over (partition by page order by place) as k from fresh
+), walk as (
+  with recursive w as (
+    select page, k, id, true as ok, [sec] as taken from placed where k = 1
+    union all
+    select p.page, p.k, p.id, len(list_filter(w.taken, lambda t: abs(t - p.sec) <= 5)) = 0,
+      case when len(list_filter(w.taken, lambda t: abs(t - p.sec) <= 5)) = 0 then list_append(w.taken, p.sec) else w.taken end
+    from w join placed p on p.page = w.page and p.k = w.k + 1
+  ) select id from w where ok
+)
+"""
+
+
+@query("p7_found", _P7_SQL + "select id as rec_id from pages where batch_no > 0 and id not in (select id from walk)")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _screened(spark, d).where("not accepted").select(F.col("id").alias("rec_id"))
 
 
-@query("p7_report")
+@query(
+    "p7_report",
+    _P7_SQL + """select batch_no, count(*) as n_rows, count(*) - count_if(repeated) as n_accepted, count_if(repeated) as n_repeats
+    from (select batch_no, rec_id in (select id from pages where batch_no > 0 and id not in (select id from walk)) as repeated from incoming_captures) group by 1""",
+)
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Per batch: rows, accepted and repeats."""
     counted = _screened(spark, d).groupBy(F.col("batch").alias("batch_no"))
