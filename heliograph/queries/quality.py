@@ -90,18 +90,65 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- p2
 
+# A payload with members nested at most three deep, as a regular expression; SQL has no grammar.
+_STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+_SCALAR = rf"(?:{_STRING}|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)"
+_B = r"[ \t\n\r]*"
 
-@query("p2_found")
+
+def _object(value: str) -> str:
+    member = rf"{_STRING}{_B}:{_B}{value}"
+    return rf"\{{{_B}(?:{member}(?:{_B},{_B}{member})*)?{_B}\}}"
+
+
+def _array(value: str) -> str:
+    return rf"\[{_B}(?:{value}(?:{_B},{_B}{value})*)?{_B}\]"
+
+
+_FLAT = f"(?:{_SCALAR}|{_array(_SCALAR)}|{_object(_SCALAR)})"
+_NESTED = f"(?:{_SCALAR}|{_array(_FLAT)}|{_object(_FLAT)})"
+_P2_SQL = f"""
+with lines as (
+  select line_id, src_path, regexp_replace(line, '(\\r\\n|\\n|\\r)$', '') as line, ' \t\n\r\x0b\x0c' || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) as white
+  from cdxj_lines where line is not null
+), parts as (
+  select *, string_split(line, ' ') as p from lines where trim(line, white) <> ''
+), cut as (
+  select line_id, src_path, white, len(p) as n, p[1] as a, p[2] as b, trim(array_to_string(p[3:], ' '), white) as c from parts
+), judged as (
+  select line_id, src_path, a, b, c, case
+    when n < 2 or a = '' or b = '' or (c <> '' and not starts_with(c, '{{')) then 'columns'
+    when c <> '' and not regexp_full_match(c, $json${_object(_NESTED)}$json$, 's') then 'json'
+    when not regexp_full_match(b, '[0-9]{{14}}') or try_strptime(b, '%Y%m%d%H%M%S') is null then 'timestamp'
+    when c <> '' and json_valid(c) and json_exists(c, '$.offset') and json_type(c, '$.offset') <> 'NULL' and not coalesce(
+      (json_type(c, '$.offset') = 'VARCHAR' and regexp_full_match(json_extract_string(c, '$.offset'), '[0-9]+')
+        or json_type(c, '$.offset') in ('UBIGINT', 'BIGINT') and regexp_full_match(json_extract_string(c, '$.offset'), '-?[0-9]+'))
+      and try_cast(json_extract_string(c, '$.offset') as hugeint) between 0 and 9223372036854775807, false) then 'offset'
+    end as reason
+  from cut
+)
+"""
+
+
+@query("p2_found", _P2_SQL + "select line_id, reason from judged where reason is not null")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return recover.rejected(recover.parse_lines(table(spark, d, "cdxj_lines"))).select("line_id", "reason")
 
 
-@query("p2_loaded")
+@query(
+    "p2_loaded",
+    _P2_SQL + """select line_id, a as surt, b as ts, nullif(c, '') as json,
+    case when c <> '' then try_cast(json_extract_string(c, '$.offset') as bigint) end as "offset" from judged where reason is null""",
+)
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return recover.loaded(recover.parse_lines(table(spark, d, "cdxj_lines")))
 
 
-@query("p2_report")
+@query(
+    "p2_report",
+    _P2_SQL + "select src_path, count_if(reason is null) as loaded, "
+    + ", ".join(f"coalesce(count_if(reason = '{r}'), 0) as bad_{r}" for r in recover.REASONS) + " from judged group by 1",
+)
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Per file: lines loaded, and lines rejected by reason."""
     parsed = recover.parse_lines(table(spark, d, "cdxj_lines")).where("not recovered")
