@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_THRESHOLD = 1000
 #: A list of keys up to this size is broadcast; a larger one is joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def key_counts(captures: DataFrame, key: str = "surt") -> DataFrame:
@@ -33,7 +33,8 @@ def excessive_remove(captures: DataFrame, keys: DataFrame, key: str = "surt") ->
     cannot hold much each, and adaptive execution splits what is left of skew.
     """
     listed = keys.select(F.col("surt").alias("hg_key")).where("hg_key is not null").distinct()
-    if listed.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    size = listed.limit(BROADCAST_KEYS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("hg_key")).alias("b")).first()
+    if size.n <= BROADCAST_KEYS and (size.b or 0) <= BROADCAST_BYTES:
         listed = F.broadcast(listed)
     return captures.join(listed, F.col(key) == F.col("hg_key"), "left_anti")
 

@@ -238,7 +238,7 @@ def missing_field_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "url_to_surt",
-    r"""with u as (select capture_id, lower(json_extract_string(json_data, '$.url')) as url from captures where not contains(surt_key, '%')),
+    r"""with u as (select capture_id, lower(json_extract_string(json_data, '$.url')) as url from captures),
     p as (select capture_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?]*)', 1), '^www[0-9]*\.', '') as host,
       regexp_replace(url, '^[a-z]+://[^/?]*', '') as tail, starts_with(url, 'https') as secure from u where url is not null),
     q as (select capture_id, regexp_replace(host, case when secure then ':443$' else ':80$' end, '') as host,
@@ -249,7 +249,7 @@ def missing_field_count(spark: SparkSession, d: str) -> DataFrame:
       || ')' || case when path = '' then '/' else path end || case when query = '' then '' else '?' || query end as surt from q""",
 )
 def surt_of_url(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "captures").where(~F.col("surt_key").contains("%")).select("capture_id", F.get_json_object("json_data", "$.url").alias("url"))
+    rows = table(spark, d, "captures").select("capture_id", F.get_json_object("json_data", "$.url").alias("url"))
     return rows.where("url is not null").select("capture_id", url_to_surt(F.col("url")).alias("surt"))
 
 
