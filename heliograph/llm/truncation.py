@@ -40,6 +40,7 @@ BROKEN = re.compile(r"(?:&(?:#x?[0-9a-fA-F]{0,6}|am?p?|lt?|gt?|qu?o?t?|nb?s?p?|a
 MARKUP = re.compile(r"<[a-zA-Z/][^<>]{0,40}>")
 CLOSED = re.compile(rf"[{re.escape(ENDS)}][^\w{re.escape(ENDS)}]*\Z")
 OPEN = re.compile(r"[\w,;:\-(&'’]")
+GOES_ON = re.compile(r"\w|[,;:]?\s+\w")
 NAMED = re.compile(rf"[{re.escape(ENDS)}…]\s*[-–—~]+\s*\w+\Z")
 #: Lengths of the windows looked up, longest first; for dense scripts the long ones only.
 WINDOWS = (8, 6, 5, 4, 3, 2)
@@ -302,7 +303,7 @@ def _filter(tails: DataFrame) -> np.ndarray:
 
 
 def longer_copies(documents: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``doc_id`` of the candidates whose whole text begins a longer text elsewhere.
+    """``doc_id`` of the candidates whose whole text goes on in a longer text elsewhere.
 
     Only texts that share the first COPY_KEY letters with a candidate are compared.  The
     distinct ones are sorted over all partitions: all texts that begin with a text follow
@@ -323,7 +324,7 @@ def longer_copies(documents: DataFrame, candidates: DataFrame) -> DataFrame:
                 if first:
                     rows.append(("first", text))
                     first = False
-                elif text.startswith(last):
+                elif _goes_on(last, text):
                     rows.append(("found", last))
                 last = text
             yield _walked(rows, part)
@@ -335,11 +336,17 @@ def longer_copies(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     for r in walked.where("kind <> 'found'").collect():  # two texts a partition
         edges.setdefault(r.part, {})[r.kind] = r.text
     order = [edges[k] for k in sorted(edges)]
-    crossing = [(a["last"],) for a, b in zip(order, order[1:]) if b["first"].startswith(a["last"])]
+    crossing = [(a["last"],) for a, b in zip(order, order[1:]) if _goes_on(a["last"], b["first"])]
     found = walked.where("kind = 'found'").select("text").unionByName(texts.sparkSession.createDataFrame(crossing, "text string"))
     return mine.join(found, "text", "left_semi").select("doc_id")
 
 
+def _goes_on(text: str, longer: str) -> bool:
+    """Whether a longer text goes on with words; one that only adds an end mark, a name or
+    an emoticon shows that the text was whole."""
+    return longer.startswith(text) and bool(GOES_ON.match(longer, len(text)))
+
+
 def _walked(rows: list[tuple[str, str]], part: int) -> pa.RecordBatch:
     columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.string())]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "text"])

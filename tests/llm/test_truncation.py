@@ -10,6 +10,7 @@ SENTENCES = [
     "my {p} borrowed the {t} and never gave it back",
     "support answered within {n} hours and sent another {t}",
 ]
+SECOND = "Every xylophone quietly rusts beneath my umbrella stand"
 PEOPLE = ["brother", "neighbour", "teacher"]
 SCHEMA = "doc_id long, text string, source string, title string, chars int"
 
@@ -60,6 +61,7 @@ def test_limits_copies_and_no_cases(spark):
         (5010, "Broke after 48 days", "c", "The lamp came in a box with 3 other things. Nice.", 1), (5011, docs[1][1] + " Caf&#2", "c", None, 1),
         (5012, docs[1][1] + " And it stores R&D", "c", None, 1), (5013, "x" * 100_000, "c", None, 1), (5014, docs[1][1] + " Caf\\u00", "c", None, 1),
         (5015, docs[1][1] + " Then<b", "c", None, 1), (5016, docs[1][1] + " salt &am", "c", None, 1), (5017, docs[1][1] + " caf\ufffd", "c", None, 1),
+        (5021, SECOND, "c", None, 1), (5022, SECOND + ".", "c", None, 1), (5023, SECOND + " 👍", "c", None, 1),
         (5018, docs[1][1] + " <3", "c", None, 1), (5019, docs[1][1] + " :\\", "c", None, 1), (5020, docs[1][1] + "<br>", "c", None, 1),
     ]
     limited = []
@@ -68,7 +70,7 @@ def test_limits_copies_and_no_cases(spark):
         limited.append((6000 + i, text, "d ", None, 1))
     found = {r.doc_id: (r.source, r.evidence) for r in tr.truncated_texts(spark.createDataFrame(docs + extra + limited, SCHEMA)).collect()}
     assert found[5002] == ("c", "copy") and all(found[i][1] == "escape" for i in (5011, 5014, 5015, 5016, 5017))
-    assert not found.keys() & {5001, 5003, 5004, 5005, 5006, 5007, 5008, 5009, 5010, 5018, 5019, 5020}
+    assert not found.keys() & {5001, 5003, 5004, 5005, 5006, 5007, 5008, 5009, 5010, 5018, 5019, 5020, 5021, 5022, 5023}
     at_limit = [r for r in limited if tr.Tail(r[1]).open]
     assert sum(found.get(r[0]) is not None for r in at_limit) >= 0.9 * len(at_limit)
     assert all(found[r[0]][0] == "d" for r in at_limit if r[0] in found)
