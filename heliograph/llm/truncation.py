@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,7 +40,12 @@ NUMBER = re.compile(r"\d+")
 BROKEN = re.compile(r"(?:&(?:#x?[0-9a-fA-F]{0,6}|am?p?|lt?|gt?|qu?o?t?|nb?s?p?|apo?s?)|(?<!\s)&|\\u[0-9a-fA-F]{0,3}|<[a-zA-Z/!][^<>]{0,12}|\ufffd+|\u200d)\Z")
 MARKUP = re.compile(r"<[a-zA-Z/][^<>]{0,40}>")
 CLOSED = re.compile(rf"[{re.escape(ENDS)}][^\w{re.escape(ENDS)}]*\Z")
-OPEN = re.compile(r"[\w,;:\-(&'’]")
+#: Ends of sentences in other scripts; marks that close a part, end a line or draw a face.
+CLOSING = frozenset("｡۔։።။៕॥᠃׃‼⁇⁈⁉‥*~>|")
+#: Classes of closing brackets and quotes, of emoji, and of their modifiers.
+CLOSING_CLASSES = frozenset(("Pe", "Pf", "So", "Sk"))
+#: Faces that end like an open bracket or a slash, and dots of Japanese writers.
+FACE = re.compile(r"(?:[:;=][\-'’^o]?[(\[{]+|(?:^|\s)>?[:;=][\-'’^o]?[/\\&$#@,]|[、・･]{2,})\Z")
 GOES_ON = re.compile(r"\w|[,;:]?\s+\w")
 NAMED = re.compile(rf"[{re.escape(ENDS)}…]\s*[-–—~]+\s*\w+\Z")
 #: Lengths of the windows looked up, longest first; for dense scripts the long ones only.
@@ -84,18 +90,39 @@ def _mix(a: np.ndarray, b) -> np.ndarray:
 
 
 def tokens_of(text: str) -> list[str]:
-    """Lower-cased tokens; every number is the token 0, markup and entities are resolved."""
+    """Lower-cased tokens; every number is the token 0, markup and entities are resolved,
+    and letters are composed with their accents."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = MARKUP.sub(" ", text)
-    return TOKEN.findall(NUMBER.sub("0", text.lower()))
+    return TOKEN.findall(NUMBER.sub("0", unicodedata.normalize("NFC", text.lower())))
 
 
 def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
+def _unfinished(end: str) -> bool:
+    """Whether a text with this end, white space taken off, may stop inside a sentence: it
+    has no end mark, face, emoji or closing sign there."""
+    at = len(end)
+    while at and unicodedata.category(end[at - 1])[0] in "MC":  # vowel signs, accents, joiners
+        at -= 1
+    last, before = end[at - 1 : at], end[: max(at - 1, 0)]
+    if not last or end.endswith("\u20e3") or FACE.search(end[:at]):
+        return False
+    kind = unicodedata.category(last)
+    if kind == "Ps":  # it opens even behind an end mark
+        return True
+    if kind == "Pi" or last in "\"»":
+        first = not before or before[-1].isspace() or unicodedata.category(before[-1]) == "Ps"
+        # These close, too: a straight quote is the first of a pair, » one that no « came before.
+        paired = before.count('"') % 2 == 1 if last == '"' else last == "»" and before.count("»") < before.count("«")
+        return first and not paired
+    return not CLOSED.search(end) and (last == "’" or last not in CLOSING and kind not in CLOSING_CLASSES)
+
+
 class Tail:
     """The unfinished end of a text."""
 
@@ -110,7 +137,7 @@ class Tail:
             e = BROKEN.search(end)
             if e:
                 self.broken, body = True, body[: before + e.start()]
-        self.open = self.broken or bool(OPEN.match(body[-1:]) and not CLOSED.search(body[-200:]))
+        self.open = self.broken or _unfinished(body[-200:])
         if not self.open:
             return  # most texts: nothing more is asked of them
         self.tokens = tokens_of(body[-2000:])

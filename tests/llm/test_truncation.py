@@ -85,6 +85,22 @@ def test_longer_copies(spark):
     assert got == want
 
 
+def test_open_ends():
+    cut = "においか\u3099|軽くて静かで、|它很轻，|हमारे कमरे की|the cafe\u0301|A sign (|It works. (|He said \"|彼は「|then he said “|er sagte »|red/|so –|and —|it cost $|about 50 %|don’|一・"
+    assert [x for x in cut.split("|") if not tr._unfinished(x)] == []
+    whole = "It works.|だ。」|so sad :(|well :-/|hm :\\|he said \"fine\"|« très bien »|(as new)|nice ❤\ufe0f|nice 👍🏽|5\ufe0f\u20e3|でした・・・|うーん、、、|good~|<br>|बहुत अच्छा।|بہت اچھا۔"
+    assert [x for x in whole.split("|") if tr._unfinished(x)] == []
+
+
+def test_finds_cuts_on_marks_and_inner_signs(spark):
+    docs, _ = corpus()
+    docs = [d for d in docs if d[1].endswith(".")]
+    ends = ["軽くて静かで、", "接着剤のにおいか\u3099", "and it works (", "हमारे कमरे की"]
+    cut = [(7000 + i, docs[i][1][:40] + "x" * (100 - 40 - len(ends[i % 4])) + ends[i % 4], "e", None, 1) for i in range(24)]
+    found = {r.doc_id: r.evidence for r in tr.truncated_texts(spark.createDataFrame(docs + cut, SCHEMA)).collect()}
+    assert [c[0] for c in cut if found.get(c[0]) is None] == []
+
+
 def test_report_and_empty(spark):
     docs, _ = corpus()
     df = spark.createDataFrame(docs, SCHEMA)
