@@ -46,7 +46,9 @@ CLOSING = frozenset("｡۔։።။៕॥᠃׃‼⁇⁈⁉‥*~>|")
 CLOSING_CLASSES = frozenset(("Pe", "Pf", "So", "Sk"))
 #: Faces that end like an open bracket or a slash, and dots of Japanese writers.
 FACE = re.compile(r"(?:[:;=][\-'’^o]?[(\[{]+|(?:^|\s)>?[:;=][\-'’^o]?[/\\&$#@,]|[、・･]{2,})\Z")
-GOES_ON = re.compile(r"\w|[,;:]?\s+\w")
+GOES_ON = re.compile(r"\w|[,;:]?\s+\w|[\-'’]\w|[、，；：]\s*\w")
+#: A last line of a word or two.
+SIGNED = re.compile(r"[^\S\r\n]*[\r\n]\s*\w+(?:[^\S\r\n]+\w+)?\s*\Z")
 NAMED = re.compile(rf"[{re.escape(ENDS)}…]\s*[-–—~]+\s*\w+\Z")
 #: Lengths of the windows looked up, longest first; for dense scripts the long ones only.
 WINDOWS = (8, 6, 5, 4, 3, 2)
@@ -330,53 +332,79 @@ def _filter(tails: DataFrame) -> np.ndarray:
 
 
 def longer_copies(documents: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``doc_id`` of the candidates whose whole text goes on in a longer text elsewhere.
+    """``doc_id`` of the candidates whose text goes on in a longer text elsewhere.
 
     Only texts that share the first COPY_KEY letters with a candidate are compared.  The
     distinct ones are sorted over all partitions: all texts that begin with a text follow
-    it directly, so its successor decides, and the last text of a partition is held
-    against the first of the next.
+    it, and any of them decides, so candidates stay open until one that goes on is met or
+    the texts that begin with them are over.  Those open at a partition's end, beginnings
+    of its last text all, are held against all texts if the next partition goes on with them.
     """
-    head = F.xxhash64(F.substring("text", 1, COPY_KEY))
-    texts = documents.where(F.length("text") >= COPY_KEY).select("doc_id", "text", head.alias("head"))
-    mine = texts.join(candidates.select("doc_id"), "doc_id", "left_semi")
-    near = texts.join(mine.select("head").distinct(), "head", "left_semi").select("text").distinct()
+    kept = documents.where(F.length("text") >= COPY_KEY).select("doc_id", "text")
+    mine = kept.join(candidates.select("doc_id"), "doc_id", "left_semi")
+    mine, texts = (x.withColumn("head", F.xxhash64(F.substring("text", 1, COPY_KEY))) for x in (mine, kept))
+    near = texts.join(mine.select("head").distinct(), "head", "left_semi").select("text", F.lit(False).alias("asked"))
+    near = near.union(mine.select("text", F.lit(True))).groupBy("text").agg(F.max("asked").alias("asked"))
     parts = texts.sparkSession.sparkContext.defaultParallelism
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, first = TaskContext.get().partitionId(), None, True
+        part, last, still = TaskContext.get().partitionId(), None, []
         for batch in batches:
             rows = []
-            for text in batch["text"].to_pylist():
-                if first:
-                    rows.append(("first", text))
-                    first = False
-                elif _goes_on(last, text):
-                    rows.append(("found", last))
+            for text, asked in zip(batch["text"].to_pylist(), batch["asked"].to_pylist()):
+                if last is None:
+                    rows.append(("first", text, 0))
+                while still and not text.startswith(still[-1]):
+                    still.pop()
+                rows += [("found", body, 0) for body in still if _goes_on(body, text)]
+                still = [body for body in still if not _goes_on(body, text)]
+                if asked:
+                    still.append(text)
                 last = text
             yield _walked(rows, part)
         if last is not None:
-            yield _walked([("last", last)], part)
-
-    walked = materialise(near.repartitionByRange(parts, "text").sortWithinPartitions("text").mapInArrow(walk, "kind string, part int, text string"), "copies")
-    edges: dict[int, dict[str, str]] = {}
-    for r in walked.where("kind <> 'found'").collect():  # two texts a partition
-        edges.setdefault(r.part, {})[r.kind] = r.text
-    order = [edges[k] for k in sorted(edges)]
-    crossing = [(a["last"],) for a, b in zip(order, order[1:]) if _goes_on(a["last"], b["first"])]
-    found = walked.where("kind = 'found'").select("text").unionByName(texts.sparkSession.createDataFrame(crossing, "text string"))
+            yield _walked([("last", last, 0), *(("open", "", len(body)) for body in still)], part)
+
+    walked = materialise(near.repartitionByRange(parts, "text").sortWithinPartitions("text").mapInArrow(walk, "kind string, part int, text string, size long"), "copies")
+    found = walked.where("kind = 'found'").select("text")
+    crossing = _crossing(walked.where("kind <> 'found'").collect())  # two texts a partition, and lengths
+    if crossing:
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            left = crossing
+            for batch in batches:
+                met = set()
+                for text in batch["text"].to_pylist():
+                    met.update(body for body in left if _goes_on(body, text))
+                left = [body for body in left if body not in met]
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], names=["text"])
+
+        found = found.unionByName(kept.select("text").mapInArrow(held, "text string"))
     return mine.join(found, "text", "left_semi").select("doc_id")
 
 
+def _crossing(edges: list) -> list[str]:
+    """Bodies open at the end of a partition that the first text of the next begins with."""
+    first = {r.part: r.text for r in edges if r.kind == "first"}
+    last = {r.part: r.text for r in edges if r.kind == "last"}
+    order = sorted(first)
+    after = {p: first[q] for p, q in zip(order, order[1:])}
+    bodies = {last[r.part][: r.size] for r in edges if r.kind == "open" and after.get(r.part, "").startswith(last[r.part][: r.size])}
+    return sorted(bodies)
+
+
 def _goes_on(text: str, longer: str) -> bool:
     """Whether a longer text goes on with words; one that only adds an end mark, a name or
     an emoticon shows that the text was whole."""
-    return longer.startswith(text) and bool(GOES_ON.match(longer, len(text)))
+    if len(longer) == len(text) or not longer.startswith(text):
+        return False
+    on = GOES_ON.match(longer, len(text)) or unicodedata.category(longer[len(text)])[0] == "M" and longer[len(text)] != "\ufe0f"
+    return bool(on) and not SIGNED.match(longer, len(text))
 
 
-def _walked(rows: list[tuple[str, str]], part: int) -> pa.RecordBatch:
+def _walked(rows: list[tuple[str, str, int]], part: int) -> pa.RecordBatch:
     columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.string())]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "text"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array([r[2] for r in rows], pa.int64())], names=["kind", "part", "text", "size"])
 
 
 def field_limits(candidates: DataFrame) -> DataFrame:

@@ -85,6 +85,15 @@ def test_longer_copies(spark):
     assert got == want
 
 
+def test_any_longer_copy_decides(spark):
+    cut, whole, hot = "Its quaint handle wob", "The colour of the lamp faded", "My neighbour borrowed the toa"
+    texts = [cut, cut + "...", cut + ".", cut + "\n", cut + "bles whenever trains pass by.", whole, whole + "!", whole + ".", whole + "\nHolmi"]
+    texts += [hot, *(f"{hot}! {i}" for i in range(800)), hot + "ster and never gave it back."]  # over all partitions
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = docs.where(docs.text.isin(cut, whole, hot))
+    assert sorted(r.doc_id for r in tr.longer_copies(docs, asked).collect()) == [0, 9]
+
+
 def test_open_ends():
     cut = "においか\u3099|軽くて静かで、|它很轻，|हमारे कमरे की|the cafe\u0301|A sign (|It works. (|He said \"|彼は「|then he said “|er sagte »|red/|so –|and —|it cost $|about 50 %|don’|一・"
     assert [x for x in cut.split("|") if not tr._unfinished(x)] == []
