@@ -6,7 +6,7 @@ their tails: the last tokens of every text without a proper end are hashed, and
 hashes are looked up among the windows of fixed length, and the word prefixes, of all
 texts.  A tail that elsewhere goes on, but hardly ever ends a sentence there, was cut;
 one that elsewhere ends sentences only lost its full stop.  Whole texts are joined too:
-sorted, a text with a longer copy is followed by it.  Lengths at which a source's
+sorted without the marks of cuts, a text with a longer copy is followed by it.  Lengths at which a source's
 unfinished texts pile up are its field limits.
 """
 
@@ -125,20 +125,24 @@ def _unfinished(end: str) -> bool:
     return not CLOSED.search(end) and (last == "’" or last not in CLOSING and kind not in CLOSING_CLASSES)
 
 
+def _body(text: str) -> tuple[str, bool]:
+    """The text without a mark of a cut and white space at its end; whether it had a mark."""
+    body = text.rstrip()
+    end = body[-40:]  # what the marks look like is short
+    m = CUT_MARK.search(end)
+    return (body[: len(body) - len(end) + m.start()].rstrip(), True) if m else (body, False)
+
+
 class Tail:
     """The unfinished end of a text."""
 
     def __init__(self, text: str):
-        self.mark, self.broken = False, False
-        body = text.rstrip()
-        end, before = body[-40:], max(len(body) - 40, 0)  # what the marks look like is short
-        m = CUT_MARK.search(end)
-        if m:
-            self.mark, body = True, body[: before + m.start()].rstrip()
-        else:
-            e = BROKEN.search(end)
+        body, self.mark = _body(text)
+        self.broken = False
+        if not self.mark:
+            e = BROKEN.search(body[-40:])
             if e:
-                self.broken, body = True, body[: before + e.start()]
+                self.broken, body = True, body[: max(len(body) - 40, 0) + e.start()]
         self.open = self.broken or _unfinished(body[-200:])
         if not self.open:
             return  # most texts: nothing more is asked of them
@@ -334,14 +338,17 @@ def _filter(tails: DataFrame) -> np.ndarray:
 def longer_copies(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     """``doc_id`` of the candidates whose text goes on in a longer text elsewhere.
 
-    Only texts that share the first COPY_KEY letters with a candidate are compared.  The
-    distinct ones are sorted over all partitions: all texts that begin with a text follow
-    it, and any of them decides, so candidates stay open until one that goes on is met or
-    the texts that begin with them are over.  Those open at a partition's end, beginnings
+    A candidate is compared without a mark of a cut and white space at its end (its body).
+    Only texts that share the first COPY_KEY letters with a body are compared.  They and
+    the bodies, each once, are sorted over all partitions: all texts that begin with a body
+    follow it, and any of them decides, so bodies stay open until one that goes on is met
+    or the texts that begin with them are over.  Bodies open at a partition's end, beginnings
     of its last text all, are held against all texts if the next partition goes on with them.
     """
     kept = documents.where(F.length("text") >= COPY_KEY).select("doc_id", "text")
-    mine = kept.join(candidates.select("doc_id"), "doc_id", "left_semi")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    asked = kept.join(candidates.select("doc_id"), "doc_id", "left_semi")
+    mine = asked.mapInArrow(_bodies, f"doc_id {kind}, text string").where(F.length("text") >= COPY_KEY)
     mine, texts = (x.withColumn("head", F.xxhash64(F.substring("text", 1, COPY_KEY))) for x in (mine, kept))
     near = texts.join(mine.select("head").distinct(), "head", "left_semi").select("text", F.lit(False).alias("asked"))
     near = near.union(mine.select("text", F.lit(True))).groupBy("text").agg(F.max("asked").alias("asked"))
@@ -393,6 +400,12 @@ def _crossing(edges: list) -> list[str]:
     return sorted(bodies)
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies = [_body(text)[0] for text in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bodies, pa.string())], names=["doc_id", "text"])
+
+
 def _goes_on(text: str, longer: str) -> bool:
     """Whether a longer text goes on with words; one that only adds an end mark, a name or
     an emoticon shows that the text was whole."""

@@ -94,6 +94,14 @@ def test_any_longer_copy_decides(spark):
     assert sorted(r.doc_id for r in tr.longer_copies(docs, asked).collect()) == [0, 9]
 
 
+def test_longer_copies_of_marked_texts(spark):
+    whole = ["Its quaint handle %d wobbles whenever trains pass by." % i for i in range(6)]
+    ends = ["...", "…", " [...]", "\n", " ... ", " (…)\r\n"]
+    texts = whole + [w[:30] + e for w, e in zip(whole, ends)] + ["A rather peculiar lamp" + e for e in ("...", "…", "")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in tr.longer_copies(docs, docs).collect()) == list(range(6, 12))
+
+
 def test_open_ends():
     cut = "においか\u3099|軽くて静かで、|它很轻，|हमारे कमरे की|the cafe\u0301|A sign (|It works. (|He said \"|彼は「|then he said “|er sagte »|red/|so –|and —|it cost $|about 50 %|don’|一・"
     assert [x for x in cut.split("|") if not tr._unfinished(x)] == []
