@@ -175,6 +175,8 @@ def _tail_rows(tail: Tail) -> list[tuple[int, str, int]]:
     hashes = [_word_hash(t) for t in tail.tokens[-9:]]
     rows = [(reduce(_mix_one, hashes[-n:], n), "window", n) for n in (DENSE_WINDOWS if tail.dense else WINDOWS) if len(hashes) >= n]
     word = tail.tokens[-1]
+    if tail.few or tail.signed:
+        rows.append((reduce(_mix_one, hashes[-1:], 1), "alone", 1))
     if not tail.dense and len(word) <= LONGEST_PREFIX and re.match(r"\w", word):
         for n in CONTEXTS:
             if len(hashes) > n:
@@ -258,7 +260,7 @@ def _count_windows(mask: np.ndarray):
         # Of tokens brought along from the piece before, only the last one's follower is new.
         told = followed & marked & (fresh | np.append(fresh[1:], False))
         keys, more = [], []
-        for n in WINDOWS:
+        for n in (*WINDOWS, 1):
             key, ok = _window_keys(hashes, n), told & (place >= n - 1)
             ok &= wanted(key)
             keys.append(key[ok])
@@ -335,27 +337,34 @@ def _filter(tails: DataFrame) -> np.ndarray:
     return mask
 
 
-def longer_copies(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+def longer_copies(documents: DataFrame, candidates: DataFrame, least: int = COPY_KEY, inside: bool = False) -> DataFrame:
     """``doc_id`` of the candidates whose text goes on in a longer text elsewhere.
 
     A candidate is compared without a mark of a cut and white space at its end (its body).
-    Only texts that share the first COPY_KEY letters with a body are compared.  They and
+    Bodies have ``least`` letters.  If ``inside``, a longer text must go on inside the last
+    word, and none may show that word whole.
+    Only texts that share the first COPY_KEY letters with a body, or all of a shorter one,
+    are compared.  They and
     the bodies, each once, are sorted over all partitions: all texts that begin with a body
     follow it, and any of them decides, so bodies stay open until one that goes on is met
     or the texts that begin with them are over.  Bodies open at a partition's end, beginnings
     of its last text all, are held against all texts if the next partition goes on with them.
     """
-    kept = documents.where(F.length("text") >= COPY_KEY).select("doc_id", "text")
+    kept = documents.where(F.length("text") >= least).select("doc_id", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     asked = kept.join(candidates.select("doc_id"), "doc_id", "left_semi")
-    mine = asked.mapInArrow(_bodies, f"doc_id {kind}, text string").where(F.length("text") >= COPY_KEY)
-    mine, texts = (x.withColumn("head", F.xxhash64(F.substring("text", 1, COPY_KEY))) for x in (mine, kept))
-    near = texts.join(mine.select("head").distinct(), "head", "left_semi").select("text", F.lit(False).alias("asked"))
+    mine = asked.mapInArrow(_bodies, f"doc_id {kind}, text string").where(F.length("text") >= least)
+    mine = mine.withColumn("head", F.xxhash64(F.substring("text", 1, COPY_KEY)))
+    sizes = [r[0] for r in mine.select(F.least(F.length("text"), F.lit(COPY_KEY))).distinct().collect()]  # COPY_KEY at most
+    heads = F.array_distinct(F.array(*(F.xxhash64(F.substring("text", 1, k)) for k in sizes or [COPY_KEY])))
+    # The heads are joined without the texts, which would be written once for each of them.
+    beside = kept.select("doc_id", F.explode(heads).alias("head")).join(mine.select("head").distinct(), "head", "left_semi").select("doc_id").distinct()
+    near = kept.join(beside, "doc_id", "left_semi").select("text", F.lit(False).alias("asked"))
     near = near.union(mine.select("text", F.lit(True))).groupBy("text").agg(F.max("asked").alias("asked"))
-    parts = texts.sparkSession.sparkContext.defaultParallelism
+    parts = kept.sparkSession.sparkContext.defaultParallelism
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, still = TaskContext.get().partitionId(), None, []
+        part, last, still, seen = TaskContext.get().partitionId(), None, [], {}
         for batch in batches:
             rows = []
             for text, asked in zip(batch["text"].to_pylist(), batch["asked"].to_pylist()):
@@ -363,9 +372,14 @@ def longer_copies(documents: DataFrame, candidates: DataFrame) -> DataFrame:
                     rows.append(("first", text, 0))
                 while still and not text.startswith(still[-1]):
                     still.pop()
-                rows += [("found", body, 0) for body in still if _goes_on(body, text)]
-                still = [body for body in still if not _goes_on(body, text)]
+                for body in [*still]:
+                    for found in _shown(body, text, inside) - seen[body]:
+                        rows.append((found, body, 0))
+                        seen[body].add(found)
+                    if "found" in seen[body] and (not inside or "whole" in seen[body]):
+                        still.remove(body)
                 if asked:
+                    seen = {body: seen[body] for body in still} | {text: set()}
                     still.append(text)
                 last = text
             yield _walked(rows, part)
@@ -373,21 +387,29 @@ def longer_copies(documents: DataFrame, candidates: DataFrame) -> DataFrame:
             yield _walked([("last", last, 0), *(("open", "", len(body)) for body in still)], part)
 
     walked = materialise(near.repartitionByRange(parts, "text").sortWithinPartitions("text").mapInArrow(walk, "kind string, part int, text string, size long"), "copies")
-    found = walked.where("kind = 'found'").select("text")
-    crossing = _crossing(walked.where("kind <> 'found'").collect())  # two texts a partition, and lengths
+    found = walked.where("kind in ('found', 'whole')").select("kind", "text")
+    crossing = _crossing(walked.where("kind in ('first', 'last', 'open')").collect())  # two texts a partition, and lengths
     if crossing:
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            left = crossing
             for batch in batches:
-                met = set()
-                for text in batch["text"].to_pylist():
-                    met.update(body for body in left if _goes_on(body, text))
-                left = [body for body in left if body not in met]
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], names=["text"])
+                met = sorted({(found, body) for text in batch["text"].to_pylist() for body in crossing for found in _shown(body, text, inside)})
+                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in met], pa.string()) for k in (0, 1)], names=["kind", "text"])
 
-        found = found.unionByName(kept.select("text").mapInArrow(held, "text string"))
-    return mine.join(found, "text", "left_semi").select("doc_id")
+        found = found.unionByName(kept.select("text").mapInArrow(held, "kind string, text string"))
+    shown = found.groupBy("text").agg(F.bool_or(F.col("kind") == "whole").alias("whole")) if inside else found
+    if inside:
+        shown = shown.where("not whole")
+    return mine.join(shown, "text", "left_semi").select("doc_id")
+
+
+def _shown(body: str, text: str, inside: bool) -> set[str]:
+    """What a text shows of a body: ``found``, it was cut; ``whole``, its last word was not."""
+    if not inside:
+        return {"found"} if _goes_on(body, text) else set()
+    if len(text) == len(body) or not text.startswith(body):
+        return set()
+    return {"found" if body[-1].isalpha() and text[len(body)].isalpha() and not DENSE_ONE.match(body[-1]) else "whole"}
 
 
 def _crossing(edges: list) -> list[str]:
@@ -444,7 +466,8 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     field limit of its source), ``sentence`` or ``word`` (stops inside one that goes on
     elsewhere); ``share`` is the share of the tail's occurrences elsewhere that end a
     sentence.  A text is no case if it is null or blank, ends on an end mark, an emoticon
-    or a closing sign, is a few words only, is signed with a name, or stands where a
+    or a closing sign, is a few words only or signed
+    with a name (unless a copy goes on inside the last word, or it has the length of a limit), or stands where a
     longer, complete title shows that the two were swapped.  Repeated rows come out as often
     as they occur; the table may be empty.
     """
@@ -463,6 +486,7 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     judged = looked.groupBy("doc_id").agg(
         F.max_by(F.col("ended") / seen, F.when(enough, F.col("n"))).alias("share"),
         F.max(F.when((F.col("kind") == "window") & (F.col("n") == 2), F.col("more"))).alias("window_2"),
+        F.max(F.when(F.col("kind") == "alone", F.col("more"))).alias("alone"),
         *(F.max(F.when((F.col("kind") == kind) & (F.col("n") == n), F.col("more"))).alias(f"{kind}_{n}") for kind in ("prefix", "context") for n in CONTEXTS),
     )
     broken = F.lit(False)
@@ -471,10 +495,13 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
         broken = broken | F.coalesce(F.col(f"prefix_{n}") >= common, F.lit(False))
     # A last line of a word or two that often begins sentences is one, else it is a name.
     usual = F.coalesce(F.col("window_2") >= F.greatest(F.lit(2.0), F.col("context_1") * RARE), F.lit(False))
-    copies = longer_copies(rows, candidates.where("not few")).withColumn("copied", F.lit(True))
+    copies = longer_copies(rows, candidates.where("not few"), least=1).withColumn("copied", F.lit(True))
+    # A few words, or a name, are cut if a copy goes on inside the last word and that is
+    # no word elsewhere.
+    within = longer_copies(rows, candidates.where("few or signed"), least=1, inside=True).withColumn("within", F.lit(True))
     limits = field_limits(candidates.where("not few")).withColumn("at_limit", F.lit(True))
     whole = (
-        candidates.join(judged.select("doc_id", "share", broken.alias("in_word"), usual.alias("usual")), "doc_id", "left").join(copies.distinct(), "doc_id", "left")
+        candidates.join(judged.select("doc_id", "share", "alone", broken.alias("in_word"), usual.alias("usual")), "doc_id", "left").join(copies.distinct(), "doc_id", "left").join(within.distinct(), "doc_id", "left")
         .join(limits, ["source", "chars", "mark"], "left")
     )
     share, none = F.col("share"), F.col("share").isNull()
@@ -482,6 +509,8 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     likely = F.when(F.col("at_limit") | F.col("copied"), AT_LIMIT).when(F.col("mark"), WITH_MARK).otherwise(OPEN_END)
     evidence = (
         F.when(F.col("broken"), "escape")
+        .when(F.col("within") & (F.coalesce("alone", F.lit(0)) < 2), "copy")
+        .when(F.col("at_limit") & (F.col("few") | F.col("signed")) & (none | (share <= AT_LIMIT)), "limit")
         .when(F.col("signed") & ~(F.coalesce("usual", F.lit(False)) | in_word), None)
         .when(F.col("few"), None)
         .when(F.col("copied") & (none | (share <= AT_LIMIT)), "copy")

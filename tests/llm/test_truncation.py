@@ -94,6 +94,19 @@ def test_any_longer_copy_decides(spark):
     assert sorted(r.doc_id for r in tr.longer_copies(docs, asked).collect()) == [0, 9]
 
 
+def test_copies_and_limits_before_few_words_and_names(spark):
+    docs, _ = corpus()
+    docs = [d for d in docs if d[1].endswith(".")]
+    signed = docs[0][1] + "\nIts quaint han"
+    extra = ["Peculi", "Peculiar zygomorphic contraption.", "Great", "Greatly improved by now.", "Great, as ever.", signed, signed + "dle wobbles by day.", "A quaint zygom", "A quaint zygomorph arrived.", "Again Kax", "Again Kaxave arrived.", "The Kax works.", "My Kax broke."]
+    rows = [(8000 + i, t, "c", None, 1) for i, t in enumerate(extra)]
+    rows += [(8100 + i, d[1][:90].ljust(120, "q")[:108] + ".\n" + "Xylopho qu", "f", None, 1) for i, d in enumerate(docs[:5])]
+    rows += [(8200 + i, (d[1] * 3)[:100] + " zeb" + "q" * 16, "f", None, 1) for i, d in enumerate(docs[:40])]
+    found = {r.doc_id: r.evidence for r in tr.truncated_texts(spark.createDataFrame(docs + rows, SCHEMA)).collect()}
+    assert {8000, 8005, 8007} <= found.keys() and not found.keys() & {8001, 8002, 8003, 8004, 8006, 8008, 8009, 8010, 8011, 8012}
+    assert [i for i in range(8100, 8105) if found.get(i) != "limit"] == []
+
+
 def test_longer_copies_of_marked_texts(spark):
     whole = ["Its quaint handle %d wobbles whenever trains pass by." % i for i in range(6)]
     ends = ["...", "…", " [...]", "\n", " ... ", " (…)\r\n"]
