@@ -500,9 +500,12 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # no word elsewhere.
     within = longer_copies(rows, candidates.where("few or signed"), least=1, inside=True).withColumn("within", F.lit(True))
     limits = field_limits(candidates.where("not few")).withColumn("at_limit", F.lit(True))
+    # A text without a source may be from any.
+    anywhere = limits.select("chars", "mark", F.lit(True).alias("anywhere")).distinct()
     whole = (
         candidates.join(judged.select("doc_id", "share", "alone", broken.alias("in_word"), usual.alias("usual")), "doc_id", "left").join(copies.distinct(), "doc_id", "left").join(within.distinct(), "doc_id", "left")
-        .join(limits, ["source", "chars", "mark"], "left")
+        .join(limits, ["source", "chars", "mark"], "left").join(anywhere, ["chars", "mark"], "left")
+        .withColumn("at_limit", F.col("at_limit") | (F.col("source").isNull() & F.col("anywhere")))
     )
     share, none = F.col("share"), F.col("share").isNull()
     in_word = F.coalesce("in_word", F.lit(False)) & none

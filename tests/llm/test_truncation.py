@@ -107,6 +107,14 @@ def test_copies_and_limits_before_few_words_and_names(spark):
     assert [i for i in range(8100, 8105) if found.get(i) != "limit"] == []
 
 
+def test_limits_of_texts_without_source(spark):
+    docs, _ = corpus()
+    docs = [d for d in docs if d[1].endswith(".")]
+    rows = [(8300 + i, (d[1] * 3)[:130] + " zeb" + "q" * 16, "f" if i > 2 else None, None, 1) for i, d in enumerate(docs[:40])]
+    found = {r.doc_id: r.evidence for r in tr.truncated_texts(spark.createDataFrame(docs + rows, SCHEMA)).collect()}
+    assert [found.get(i) for i in (8300, 8301, 8302)] == ["limit"] * 3
+
+
 def test_longer_copies_of_marked_texts(spark):
     whole = ["Its quaint handle %d wobbles whenever trains pass by." % i for i in range(6)]
     ends = ["...", "…", " [...]", "\n", " ... ", " (…)\r\n"]
