@@ -208,7 +208,7 @@ def parse_text(text: str) -> Iterator[Record | Fault]:
     After a fault inside a payload the parser looks for an anchor on the same line, where a
     record was glued to the broken one.  A broken quote may have swallowed the anchor
     before the fault shows, so the search starts with the payload; an anchor counts only
-    if a whole record parses from it.
+    if a whole record parses from it, up to another anchor or to the line's end.
     """
     at = 0
     for line in re.findall(r"[^\r\n]*(?:\r\n|\n|\r|\Z)", text):
@@ -222,12 +222,18 @@ def parse_text(text: str) -> Iterator[Record | Fault]:
 
 def _resumed(line: str, start: int) -> Iterator[Record]:
     behind = line.index("{")
-    while anchor := ANCHOR.search(line, behind):
-        found = parse_record(line[anchor.start() :], start + anchor.start())
-        if isinstance(found, Record):
-            yield found
-            return
-        behind = anchor.end()
+    anchors = [m.start() for m in ANCHOR.finditer(line, behind)]
+    ends = [at for at in anchors if line[max(at - 80, 0) : at].rstrip().endswith("}")]  # where a glued record may end
+    done = behind
+    for at in anchors:
+        if at < done:
+            continue
+        for end in [*(e for e in ends if e > at), len(line)]:
+            found = parse_record(line[at:end], start + at)
+            if isinstance(found, Record) and (end == len(line) or found.payload is not None):
+                yield found
+                done = end
+                break
 
 
 _SCHEMA = "src_path string, {id}, surt string, ts string, json string, offset long, reason string, detail string, place long, recovered boolean"

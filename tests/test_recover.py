@@ -104,3 +104,13 @@ def test_frames(spark):
 def test_src_path_is_kept(spark):
     lines = spark.createDataFrame([(1, OK, "file")], "line_id long, line string, src_path string")
     assert parse_lines(lines).first().src_path == "file"
+
+
+@pytest.mark.parametrize("between", ["", " "])
+def test_all_records_behind_a_broken_quote(between):
+    broken = 'x)/ 20200101000000 {"a":"b'
+    glued = [f'{k})/ 2020010100000{i} {{"offset":"{i}"}}' for i, k in enumerate("abc")]
+    found = list(parse_text(broken + " " + between.join(glued) + "\n" + OK))
+    assert [f.reason for f in found if isinstance(f, Fault)] == ["json"]
+    assert [f.surt for f in found if isinstance(f, Record)] == ["a)/", "b)/", "c)/", "a)/"]
+    assert [f.payload for f in found if isinstance(f, Record)][:3] == [g.split(" ", 2)[2] for g in glued]
