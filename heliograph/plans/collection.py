@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from heliograph.functions.cdxj import with_parts
 from heliograph.operators.blocklist import Blocklist, apply_blocklist
 from heliograph.operators.excess import DEFAULT_THRESHOLD, excessive_auto
-from heliograph.operators.merkle import StateStore
+from heliograph.operators.merkle import VERSION, StateStore
 from heliograph.operators.payload import add_fields
 from heliograph.operators.reports import percent
 from heliograph.runtime import materialise
@@ -73,8 +73,9 @@ class Collection:
     """A collection's captures, kept up to date run by run.
 
     ``folder`` holds the published versions: the state of the archives and the captures
-    read from them.  A run reads the archives that are new or changed, drops the captures
-    of those that changed or are gone, and publishes both together.
+    read from them.  A run reads the archives that are new or changed and publishes their
+    captures with the new state; captures read before are not written again, those of
+    archives that have changed since, or are gone, no longer count.
     """
 
     def __init__(self, spark: SparkSession, folder: str, name: str):
@@ -83,24 +84,23 @@ class Collection:
 
     def update(self, paths: list[str], read) -> dict[str, int]:
         """``read(spark, paths)`` gives the captures of files; returns what was done."""
-        state = materialise(file_state(self.spark, paths), "files")
-        changes = materialise(self.store.changes(state), "changes")
-        by_kind = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
-        if not by_kind and self.store.latest():
-            return {"added": 0, "changed": 0, "removed": 0}
-        todo = [r.path for r in changes.where("change <> 'removed'").select("path").toLocalIterator()]
-        captures = read(self.spark, todo) if todo else None
-        if self.store.latest():
-            stale = changes.select(F.col("path").alias("hg_path"))
-            kept = self.store.output().join(stale, F.col("src_path") == F.col("hg_path"), "left_anti")
-            captures = kept if captures is None else kept.unionByName(captures)
-        if captures is None:
-            captures = read(self.spark, [])
-        self.store.publish(state, captures)
-        return {k: by_kind.get(k, 0) for k in ("added", "changed", "removed")}
+        done = dict.fromkeys(("added", "changed", "removed"), 0)
+
+        def process(changes: DataFrame) -> DataFrame | None:
+            done.update({r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()})
+            # Spark plans a scan from the names of its files, so the changed ones come here.
+            todo = [r.path for r in changes.where("change <> 'removed'").select("path").toLocalIterator()]
+            return read(self.spark, todo) if todo or not self.store.latest() else None
+
+        self.store.advance(file_state(self.spark, paths), process)
+        return done
 
     def captures(self) -> DataFrame:
-        return self.store.output()
+        """The captures of every archive as it was read last."""
+        read_in = self.store.state().select(F.col("path").alias("hg_path"), VERSION)
+        rows = self.store.outputs()
+        current = (rows["src_path"] == read_in["hg_path"]) & (rows[VERSION] == read_in[VERSION])
+        return rows.join(read_in, current, "left_semi").drop(VERSION)
 
     def build(self, output_dir: str, *, blocklist: Blocklist | None = None, threshold: int = DEFAULT_THRESHOLD, **zipnum) -> tuple[DataFrame, DataFrame]:
         """Writes the cluster of all captures; returns its index and the report of stages."""

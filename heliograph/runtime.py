@@ -18,11 +18,14 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only if none is configured."""
+    """The session's shared folder; without one, a temporary folder if all executors are
+    on this machine.  RuntimeError on a cluster, where they could not read each other's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("heliograph.local.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         root = "file://" + tempfile.mkdtemp(prefix="heliograph-")
         spark.conf.set("heliograph.local.dir", root)
         _made[root] = spark
