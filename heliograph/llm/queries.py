@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.functions.page import page_key, seconds
 from heliograph.llm import mixture, neighbourhood, tokens, topk, truncation
+from heliograph.llm.page import page_key, seconds
 from heliograph.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _screened(spark: SparkSession, d: str) -> DataFrame:
     return neighbourhood.screen_batches(
-        table(spark, d, "captures"), table(spark, d, "incoming_captures"), "batch_no", "rec_id", page_key(F.col("surt_key")), seconds(F.col("ts")), 5
+        table(spark, d, "captures"), table(spark, d, "incoming_captures"), "batch_no", "rec_id", {"page": page_key(F.col("surt_key"))}, seconds(F.col("ts")), 5
     )
 
 
@@ -61,7 +61,7 @@ keyed as (""" + _P7_KEYS.format("every") + """), decoded as (
   select *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '(^|,)www[0-9]*$', '') as site,
     case when contains(raw, '%') then array_to_string(list_transform(string_split(raw, '%'), lambda x, i:
       case when i = 1 then x when regexp_matches(x, '^([46][1-9a-f]|[57][0-9a]|3[0-9]|2[de]|5f|7e)')
-      then chr(('0x' || left(x, 2))::int) || substr(x, 3) else '%' || x end), '') else raw end as rest
+      then lower(chr(('0x' || left(x, 2))::int)) || substr(x, 3) else '%' || x end), '') else raw end as rest
   from keyed where surt_key is not null and sec is not null
 ), pages as (
   select id, batch_no, sec, site || regexp_replace(split_part(rest, '?', 1), '/$', '') || case when params = '' then '' else '?' || params end as page
