@@ -5,7 +5,10 @@ a lattice of types, every file is cast to the union schema, and the differences
 between neighbouring files of a series are listed in order.
 
 Two kinds of files are handled: Parquet files, whose footers hold the schema, and
-capture files, whose schema is what their JSON payloads carry.
+capture files, whose schema is what their JSON payloads carry.  In payloads a field goes
+by many names.  Some are known beforehand; others are told by what they hold: a name that
+never stands beside the field, and mostly holds values the field holds elsewhere, is the
+field renamed.
 """
 
 from __future__ import annotations
@@ -17,13 +20,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Under which names a payload carries a field.  Names are compared
-# without case, blanks, dots, hyphens and underscores.
+from heliograph.runtime import materialise
+
+# Names that are known to carry a field.  Names are compared without case,
+# blanks, dots, hyphens and underscores.
 FIELD_NAMES = {
     "status": ("status", "statuscode", "httpstatus", "httpstatuscode", "httpcode", "responsecode", "responsestatus", "sc"),
     "collection": ("collection", "collectionname", "collectionid", "coll", "collname", "collid", "col", "colname", "colid", "crawl", "crawlname", "crawlid"),
 }
-ALL_NAMES = tuple(n for names in FIELD_NAMES.values() for n in names)
+#: Share of a name's values that must be values of the field.
+OVERLAP = 0.5
+#: The lattice of types, bottom first; two of one rank but of different kinds meet at string.
+RANKS = {"boolean": 0, "long": 1, "double": 2}
 
 
 def promote(a: str | None, b: str | None) -> str | None:
@@ -34,10 +42,19 @@ def promote(a: str | None, b: str | None) -> str | None:
     """
     if a is None or b is None or a == b:
         return a or b
-    numbers = ("boolean", "long", "double")
-    if a in numbers and b in numbers:
-        return numbers[max(numbers.index(a), numbers.index(b))]
-    return "string"
+    return max(a, b, key=RANKS.__getitem__) if a in RANKS and b in RANKS else "string"
+
+
+def folded(kinds: F.Column) -> F.Column:
+    """``promote`` over a group's kinds, as an aggregate: what a fold keeps is one type.
+
+    A chain of the lattice folds to its highest; anything else of more than one kind to string.
+    """
+    rank = F.coalesce(*(F.when(kinds == k, r) for k, r in RANKS.items()))
+    names = F.array(*(F.lit(k) for k in sorted(RANKS, key=RANKS.__getitem__)))
+    alike = F.min(kinds) == F.max(kinds)
+    chain = F.count(kinds) == F.count(rank)
+    return F.when(alike, F.min(kinds)).when(chain, F.get(names, F.max(rank))).when(F.count(kinds) > 0, "string")
 
 
 # ------------------------------------------------------------ Parquet files
@@ -84,37 +101,50 @@ def read_drifting(spark: SparkSession, paths: list[str], renames: dict[str, str]
     renames: name in a file -> name in the table.  Missing fields are null, values are
     cast to the promoted type (one that does not fit is null).  Files of one schema are
     scanned together.  The changes have ``file_order, path, field_name, change_kind, before,
-    after``.  Without files both are empty.
+    after``.  Without files both are empty.  The driver receives a row per column of the table
+    and a row per distinct schema with its files; the log stays with the executors.
     """
-    renames = renames or {}
-    found = header_schemas(spark, paths).orderBy("file_order", "position").collect() if paths else []
-    union: dict[str, str | None] = {}
-    by_file: dict[int, dict[str, tuple[str, str]]] = {i: {} for i in range(len(paths))}
-    for row in found:
-        name = renames.get(row.field_name, row.field_name)
-        union[name] = promote(union.get(name), row.kind)
-        by_file[row.file_order].setdefault(name, (row.field_name, row.kind))
-    alike: dict[tuple, list[str]] = {}
-    for i, fields in by_file.items():
-        alike.setdefault(tuple(sorted(fields.items())), []).append(paths[i])
+    name = reduce(lambda found, pair: F.when(F.col("field_name") == pair[0], pair[1]).otherwise(found), (renames or {}).items(), F.col("field_name"))
+    order = Window.partitionBy("file_order", "name").orderBy("position")
+    headers = header_schemas(spark, paths).withColumn("name", name).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    headers = materialise(headers.drop("nth"), "headers")
+    union = {r.name: r.kind for r in headers.groupBy("name").agg(folded(F.col("kind")).alias("kind"), F.min(F.struct("file_order", "position")).alias("at")).orderBy("at").collect()}
+    per_file = headers.groupBy("file_order", "path").agg(F.array_sort(F.collect_list(F.struct("name", "field_name", "kind"))).alias("fields"))
+    alike = per_file.groupBy("fields").agg(F.collect_list("path").alias("files"), F.min("file_order").alias("at")).orderBy("at").collect()
+    bare = set(paths) - {p for r in alike for p in r.files}  # files without columns
     ddl = ", ".join(f"`{n}` {t}" for n, t in union.items()) or "nothing string"
     parts = []
-    for fields, files in alike.items():
-        own, rows = dict(fields), spark.read.parquet(*files)
-        parts.append(rows.select(*((F.col(f"`{own[n][0]}`").try_cast(t) if n in own else F.lit(None).cast(t)).alias(n) for n, t in union.items())))
+    for fields, files in [*((r.fields, r.files) for r in alike), *([([], sorted(bare))] if bare else [])]:
+        own, rows = {f.name: f.field_name for f in fields}, spark.read.parquet(*files)
+        parts.append(rows.select(*((F.col(f"`{own[n]}`").try_cast(t) if n in own else F.lit(None).cast(t)).alias(n) for n, t in union.items())))
     whole = reduce(DataFrame.unionByName, parts) if parts and union else spark.createDataFrame([], ddl)
-    log = []
-    for i in range(1, len(paths)):
-        for name in sorted(by_file[i].keys() | by_file[i - 1].keys()):
-            log += [(i, paths[i], name, *x) for x in _changes(by_file[i - 1].get(name), by_file[i].get(name))]
-    return whole, spark.createDataFrame(log, "file_order int, path string, field_name string, change_kind string, before string, after string")
+    return whole, _header_changes(spark, headers, paths)
 
 
-def _changes(before: tuple | None, after: tuple | None) -> list[tuple]:
-    if before is None or after is None:
-        return [("added", None, after[0])] if after else [("removed", before[0], None)]
-    kinds = (("renamed", 0), ("retyped", 1))
-    return [(kind, before[k], after[k]) for kind, k in kinds if before[k] != after[k]]
+def _header_changes(spark: SparkSession, headers: DataFrame, paths: list[str]) -> DataFrame:
+    """Each file's header against the one before it, by two shuffles whatever their number."""
+    held = headers.select("file_order", "name", F.struct("field_name", "kind").alias("now"))
+    before = held.select((F.col("file_order") + 1).alias("file_order"), "name", F.col("now").alias("then")).where(F.col("file_order") < len(paths))
+    both = held.where("file_order > 0").join(before, ["file_order", "name"], "full")
+    none = F.lit(None).cast("string")
+    found = _cases(F.col("now"), F.col("then"), "field_name", "kind", none)
+    files = spark.createDataFrame(list(enumerate(paths)), "file_order int, path string")
+    return both.select("file_order", F.col("name").alias("field_name"), F.explode(found).alias("x")).join(files, "file_order").select("file_order", "path", "field_name", "x.*")
+
+
+def _cases(now: F.Column, then: F.Column, name: str, kind: str, none: F.Column, *extra: F.Column) -> F.Column:
+    """The changes between two states of a field, null where it is absent."""
+
+    def case(when: F.Column, what: str, before: F.Column, after: F.Column) -> F.Column:
+        return F.when(when, F.struct(*extra, F.lit(what).alias("change_kind"), before.alias("before"), after.alias("after")))
+
+    both = now.isNotNull() & then.isNotNull()
+    return F.array_compact(F.array(
+        case(now.isNotNull() & then.isNull(), "added", none, now[name]),
+        case(now.isNull() & then.isNotNull(), "removed", then[name], none),
+        case(both & (now[name] != then[name]), "renamed", then[name], now[name]),
+        case(both & (now[kind] != then[kind]), "retyped", then[kind], now[kind]),
+    ))
 
 
 # ------------------------------------------------------------ capture files
@@ -131,33 +161,89 @@ def _field_of(name) -> F.Column:
     return found
 
 
-def _with_members(captures: DataFrame, *keep: str) -> DataFrame:
-    """``captures`` with ``members``: of each payload those that carry a known field, as
+def _at(payload: F.Column, name: str) -> F.Column:
+    """The member of a payload (a variant) with exactly this name, as a variant."""
+    for quote in "\"'":
+        if quote not in name and "\\" not in name:
+            return F.try_variant_get(payload, f"$[{quote}{name}{quote}]", "variant")
+    return F.try_element_at(F.try_variant_get(payload, "$", "map<string,variant>"), F.lit(name))
+
+
+def _text(value: F.Column) -> F.Column:
+    """A value as the table holds it."""
+    shape, written = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return (
+        F.when(shape.startswith("ARRAY"), F.array_join(F.try_variant_get(value, "$", "array<string>"), ","))
+        .when(shape.startswith("OBJECT"), F.coalesce(F.try_variant_get(value, "$.name", "string"), written))
+        .otherwise(written)
+    )
+
+
+def _kind_of(value: F.Column) -> F.Column:
+    """The JSON type of a value; null for null."""
+    shape = F.schema_of_variant(value)
+    return (
+        F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape.startswith("ARRAY"), "array")
+        .when(shape.startswith("OBJECT"), "object").when(shape != "VOID", "number")
+    )
+
+
+def field_names(captures: DataFrame) -> dict[str, str]:
+    """Names that carry a field in these payloads -> the field.
+
+    The names of a payload are read without its values, and a table has few different
+    lists of names, so what is looked at further is small.  Besides the known names, a name is a
+    field's if it never stands in one record with a known name of that field, and at least OVERLAP
+    of its values are values held under known names.  What comes here is a row per name
+    that carries a field.
+    """
+    keys = F.json_object_keys("json_data")
+    lists = materialise(captures.select(keys.alias("names")).where("names is not null").groupBy("names").agg(F.count("*").alias("n")), "names")
+    beside = [F.coalesce(F.array_contains(F.transform("names", _field_of), f), F.lit(False)).alias(f) for f in FIELD_NAMES]
+    seen = lists.select(F.explode("names").alias("name"), *beside).groupBy("name").agg(*(F.bool_or(f).alias(f) for f in FIELD_NAMES))
+    seen = seen.withColumn("field", _field_of(F.col("name")))
+    open_ = F.col("field").isNull() & ~reduce(lambda a, b: a & b, (F.col(f) for f in FIELD_NAMES))
+    found = {r.name: r.field for r in seen.where("field is not null").select("name", "field").collect()}
+    asked = seen.where(open_)
+    return found | _learned(captures, asked, found) if found and not asked.isEmpty() else found
+
+
+def _learned(captures: DataFrame, asked: DataFrame, known: dict[str, str]) -> dict[str, str]:
+    """Names among ``asked`` whose values are mostly those of a field they never stand beside."""
+    payload = F.try_variant_get(F.try_parse_json("json_data"), "$", "map<string,variant>")
+    members = captures.select(F.explode(payload).alias("name", "value")).join(asked.select("name", *FIELD_NAMES), "name").select("name", *FIELD_NAMES, _text(F.col("value")).alias("text"))
+    counted = materialise(members.where("text is not null").groupBy("name", *FIELD_NAMES, "text").agg(F.count("*").alias("n")), "asked-values")
+    held = _with_members(captures, known).select(F.inline("members")).select("field_name", "text").where("text is not null").distinct()
+    sizes = counted.groupBy("name").agg(F.sum("n").alias("size"))
+    # A name that stands beside one field is asked for the others only.
+    apart = reduce(lambda a, b: a | b, ((F.col("field_name") == f) & ~F.col(f) for f in FIELD_NAMES))
+    met = counted.join(held, "text").where(apart).groupBy("name", "field_name").agg(F.sum("n").alias("met"))
+    likely = met.join(sizes, "name").where(F.col("met") >= OVERLAP * F.col("size"))
+    best = likely.groupBy("name").agg(F.max_by("field_name", F.struct("met", "field_name")).alias("field"))
+    return {r.name: r.field for r in best.collect()}
+
+
+def _with_members(captures: DataFrame, names: dict[str, str], *keep: str) -> DataFrame:
+    """``captures`` with ``members``: of each payload those that carry a field, as
     ``field_name, name, kind, text``, in order of names.
 
-    The payload is parsed once to a map of variants; only its few known members are
-    looked at further.
+    The payload is parsed once, and only the members in ``names`` are looked at.
     """
-    whole = F.try_variant_get(F.try_parse_json("json_data"), "$", "map<string,variant>")
-    known = F.map_entries(F.map_filter(whole, lambda name, _: _plain(name).isin(*ALL_NAMES)))
-
-    def member(entry: F.Column) -> F.Column:
-        name, value = entry["key"], entry["value"]
-        shape = F.schema_of_variant(value)
-        kind = (
-            F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape.startswith("ARRAY"), "array")
-            .when(shape.startswith("OBJECT"), "object").when(shape != "VOID", "number")
-        )
-        written = F.try_variant_get(value, "$", "string")
-        text = (
-            F.when(shape.startswith("ARRAY"), F.array_join(F.try_variant_get(value, "$", "array<string>"), ","))
-            .when(shape.startswith("OBJECT"), F.coalesce(F.try_variant_get(value, "$.name", "string"), written))
-            .otherwise(written)
-        )
-        return F.struct(_field_of(name).alias("field_name"), name.alias("name"), kind.alias("kind"), text.alias("text"))
-
-    members = F.filter(F.transform(known, member), lambda m: m["kind"].isNotNull())
-    return captures.select(*keep, members.alias("members"))
+    parsed = captures.select(*keep, F.try_parse_json("json_data").alias("hg_payload"))
+
+    def member(name: str, field: str) -> F.Column:
+        value = _at(F.col("hg_payload"), name)
+        kind = _kind_of(value)
+        return F.when(kind.isNotNull(), F.struct(F.lit(field).alias("field_name"), F.lit(name).alias("name"), kind.alias("kind"), _text(value).alias("text")))
+
+    none = F.lit(None).cast("struct<field_name:string,name:string,kind:string,text:string>")
+    return parsed.select(*keep, F.array_compact(F.array(none, *(member(n, names[n]) for n in sorted(names)))).alias("members"))
+
+
+def union_schema(schemas: DataFrame) -> DataFrame:
+    """``field_name, kind``: the schemas of all files folded through the lattice."""
+    arrow = F.when(F.col("kind") == "number", "double").otherwise(F.col("kind"))
+    return schemas.groupBy("field_name").agg(folded(arrow).alias("kind"))
 
 
 def file_schemas(captures: DataFrame) -> DataFrame:
@@ -167,7 +253,8 @@ def file_schemas(captures: DataFrame) -> DataFrame:
     to the name or type that sorts last.  Counts are combined on the map side, so a large
     file costs a few rows per map task.
     """
-    members = _with_members(captures.where("src_path is not null"), "src_path").select("src_path", F.inline("members"))
+    captures = captures.where("src_path is not null")
+    members = _with_members(captures, field_names(captures), "src_path").select("src_path", F.inline("members"))
     counted = members.groupBy("src_path", "field_name", "name", "kind").agg(F.count("*").alias("n"))
     counted = counted.repartition("src_path")
     by = Window.partitionBy("src_path", "field_name", "name"), Window.partitionBy("src_path", "field_name", "kind")
@@ -198,35 +285,23 @@ def schema_changes(captures: DataFrame) -> DataFrame:
     # Five digits bound a series to 100 000 places, whatever the number of captures.
     order = Window.partitionBy("series").orderBy("file_number", "src_path")
     lagged = placed.withColumns({f"{f}_before": F.lag(f).over(order) for f in FIELD_NAMES} | {"place": F.row_number().over(order)}).where("place > 1")
-    found = F.array()
-    for f in FIELD_NAMES:
-        now, then = F.col(f), F.col(f"{f}_before")
-
-        def case(when, kind, before, after, f=f):
-            return F.when(when, F.struct(F.lit(f).alias("field_name"), F.lit(kind).alias("change_kind"), before.alias("before"), after.alias("after")))
-
-        both = now.isNotNull() & then.isNotNull()
-        none = F.lit(None).cast("string")
-        found = F.concat(found, F.array_compact(F.array(
-            case(now.isNotNull() & then.isNull(), "added", none, now["name"]),
-            case(now.isNull() & then.isNotNull(), "removed", then["name"], none),
-            case(both & (now["name"] != then["name"]), "renamed", then["name"], now["name"]),
-            case(both & (now["kind"] != then["kind"]), "retyped", then["kind"], now["kind"]),
-        )))
+    none = F.lit(None).cast("string")
+    found = F.concat(*(_cases(F.col(f), F.col(f"{f}_before"), "name", "kind", none, F.lit(f).alias("field_name")) for f in FIELD_NAMES))
     return lagged.select("src_path", "series", "file_number", F.explode(found).alias("x")).select("src_path", "x.*", "series", "file_number")
 
 
 def consistent_table(captures: DataFrame) -> DataFrame:
     """The captures with one ``status`` and one ``collection`` column, both string.
 
-    A number is written as JSON writes it, of an array the elements joined by commas, of
+    String is where the kinds of all files meet in the lattice unless all are of one kind;
+    it is taken always, as the table is to have.  A number is written as JSON writes it, of an array the elements joined by commas, of
     an object its ``name`` (without one, its JSON text).  If a record carries a field under
     several names, the first non-null one counts.  Columns of ``captures`` called
     ``status`` or ``collection`` give way.
     """
     kept = [c for c in captures.columns if c not in FIELD_NAMES]
     row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("hg_row")
-    found = _with_members(captures.select("json_data", row), "hg_row")
+    found = _with_members(captures.select("json_data", row), field_names(captures), "hg_row")
 
     def first(field: str) -> F.Column:
         return F.try_element_at(F.filter("members", lambda m: m["field_name"] == field), F.lit(1))["text"].alias(field)

@@ -82,3 +82,47 @@ def test_parquet_files(spark, tmp_path):
     assert got == [(1, "d", "added"), (1, "n", "retyped"), (1, "old", "removed"), (2, "d", "removed"), (2, "id", "retyped"), (2, "n", "renamed")]
     empty, none = drift.read_drifting(spark, [])
     assert empty.count() == 0 and none.count() == 0
+
+
+def test_names_that_are_not_known_are_told_by_their_values(spark):
+    df = captures(spark, [
+        (1, [{"status": "200", "collection": "A-1", "hops": "3", "length": "200"}, {"status": "404", "collection": "A-1", "hops": "4", "length": "31"}]),
+        (2, [{"http_response": 200, "collection": "A-2", "hops": "3", "length": "404"}, {"http_response": 404, "collection": "A-2", "hops": "2", "length": "7"}]),
+        (3, [{"http_response": "200", "Crawl Of": "A-1", "depth": "2"}, {"http_response": "301", "Crawl Of": "A-2", "depth": "200"}, {"http_response": "404", "Crawl Of": "A-3", "depth": "1"}]),
+        (4, [{"depth": "1", "seed": "x'y\"z"}, None]),
+    ])
+    names = drift.field_names(df)
+    assert names == {"status": "status", "collection": "collection", "http_response": "status", "Crawl Of": "collection"}
+    assert changes(df) == [
+        ("00002", "status", "renamed", "status", "http_response"),
+        ("00002", "status", "retyped", "string", "number"),
+        ("00003", "collection", "renamed", "collection", "Crawl Of"),
+        ("00003", "status", "retyped", "number", "string"),
+        ("00004", "collection", "removed", "Crawl Of", None),
+        ("00004", "status", "removed", "http_response", None),
+    ]
+    rows = drift.consistent_table(df).select("src_path", "status", "collection").where("src_path like '%00003%'").collect()
+    assert sorted((r.status, r.collection) for r in rows) == [("200", "A-1"), ("301", "A-2"), ("404", "A-3")]
+
+
+def test_names_with_quotes(spark):
+    df = spark.createDataFrame([(json.dumps({"a'b": 1, 'c"d': 2, "e'\"f": 3, "g.h[0]": 4, "i\\j": 5}),)], "json_data string")
+    names = dict.fromkeys(("a'b", 'c"d', "e'\"f", "g.h[0]", "i\\j"), "status")
+    found = drift._with_members(df, names).first().members
+    assert {m.name: m.text for m in found} == {"a'b": "1", 'c"d': "2", "e'\"f": "3", "g.h[0]": "4", "i\\j": "5"}
+
+
+def test_fold_in_executors_is_the_lattice(spark):
+    import functools
+    import itertools
+
+    kinds = ["boolean", "long", "double", "timestamp", "string", None]
+    rows = [(i, k) for i, group in enumerate(itertools.product(kinds, repeat=3)) for k in group]
+    found = spark.createDataFrame(rows, "g int, k string").groupBy("g").agg(drift.folded(drift.F.col("k")).alias("kind")).collect()
+    want = {i: functools.reduce(drift.promote, group, None) for i, group in enumerate(itertools.product(kinds, repeat=3))}
+    assert {r.g: r.kind for r in found} == want
+
+
+def test_union_schema_of_payloads(spark):
+    df = captures(spark, [(1, [{"status": 1, "collection": ["a"]}]), (2, [{"sc": 2, "coll": "x"}])])
+    assert {r.field_name: r.kind for r in drift.union_schema(drift.file_schemas(df)).collect()} == {"status": "double", "collection": "string"}
