@@ -235,20 +235,24 @@ def p4_pairs_by_host(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- p5
 
+# A field is known by what its names hold, whatever they are: three-digit codes, names of crawls.
 _P5_NAMES = """
 with members as (
-  select *, lower(regexp_replace(name, '[\\s._-]', '', 'g')) as plain
+  select capture_id, src_path, name, json_data -> ('$."' || name || '"') as value
   from (select capture_id, src_path, json_data, unnest(json_keys(json_data)) as name from captures where json_valid(json_data))
-), known as (
-  select capture_id, src_path, name, json_data -> ('$."' || name || '"') as value,
-         case when plain in ({status}) then 'status' when plain in ({collection}) then 'collection' end as field_name
+), written as (
+  select *, case json_type(value) when 'ARRAY' then value ->> '$[0]' when 'OBJECT' then value ->> '$.name' else value ->> '$' end as text
   from members
+), names as (
+  select name, case when avg(regexp_full_match(text, '[1-5][0-9]{2}')::int) >= 0.5 then 'status'
+    when avg(regexp_full_match(text, '[A-Z]+-[0-9]{6}')::int) >= 0.5 then 'collection' end as field_name
+  from written where json_type(value) <> 'NULL' group by 1
 ), typed as (
-  select *, case json_type(value) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array'
+  select m.*, n.field_name, case json_type(value) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array'
          when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as kind
-  from known where field_name is not null
+  from members m join names n using (name) where n.field_name is not null
 )
-""".format(**{k: ", ".join(f"'{x}'" for x in v) for k, v in drift.FIELD_NAMES.items()})
+"""
 _P5_SQL = (
     _P5_NAMES
     + """, by_name as (
