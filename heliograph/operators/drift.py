@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heliograph.functions.binding import let
 from heliograph.runtime import materialise
 
 # Names that are known to carry a field.  Names are compared without case,
@@ -169,9 +170,9 @@ def _at(payload: F.Column, name: str) -> F.Column:
     return F.try_element_at(F.try_variant_get(payload, "$", "map<string,variant>"), F.lit(name))
 
 
-def _text(value: F.Column) -> F.Column:
+def _text(value: F.Column, shape: F.Column) -> F.Column:
     """A value as the table holds it."""
-    shape, written = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    written = F.try_variant_get(value, "$", "string")
     return (
         F.when(shape.startswith("ARRAY"), F.array_join(F.try_variant_get(value, "$", "array<string>"), ","))
         .when(shape.startswith("OBJECT"), F.coalesce(F.try_variant_get(value, "$.name", "string"), written))
@@ -179,9 +180,8 @@ def _text(value: F.Column) -> F.Column:
     )
 
 
-def _kind_of(value: F.Column) -> F.Column:
-    """The JSON type of a value; null for null."""
-    shape = F.schema_of_variant(value)
+def _kind_of(shape: F.Column) -> F.Column:
+    """The JSON type of a value of this shape; null for null."""
     return (
         F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape.startswith("ARRAY"), "array")
         .when(shape.startswith("OBJECT"), "object").when(shape != "VOID", "number")
@@ -211,7 +211,7 @@ def field_names(captures: DataFrame) -> dict[str, str]:
 def _learned(captures: DataFrame, asked: DataFrame, known: dict[str, str]) -> dict[str, str]:
     """Names among ``asked`` whose values are mostly those of a field they never stand beside."""
     payload = F.try_variant_get(F.try_parse_json("json_data"), "$", "map<string,variant>")
-    members = captures.select(F.explode(payload).alias("name", "value")).join(asked.select("name", *FIELD_NAMES), "name").select("name", *FIELD_NAMES, _text(F.col("value")).alias("text"))
+    members = captures.select(F.explode(payload).alias("name", "value")).join(asked.select("name", *FIELD_NAMES), "name").select("name", *FIELD_NAMES, _text(F.col("value"), F.schema_of_variant("value")).alias("text"))
     counted = materialise(members.where("text is not null").groupBy("name", *FIELD_NAMES, "text").agg(F.count("*").alias("n")), "asked-values")
     held = _with_members(captures, known).select(F.inline("members")).select("field_name", "text").where("text is not null").distinct()
     sizes = counted.groupBy("name").agg(F.sum("n").alias("size"))
@@ -223,21 +223,21 @@ def _learned(captures: DataFrame, asked: DataFrame, known: dict[str, str]) -> di
     return {r.name: r.field for r in best.collect()}
 
 
-def _with_members(captures: DataFrame, names: dict[str, str], *keep: str) -> DataFrame:
+def _with_members(captures: DataFrame, names: dict[str, str], *keep: str, texts: bool = True) -> DataFrame:
     """``captures`` with ``members``: of each payload those that carry a field, as
-    ``field_name, name, kind, text``, in order of names.
+    ``field_name, name, kind`` and, with ``texts``, ``text``, in order of names.
 
     The payload is parsed once, and only the members in ``names`` are looked at.
     """
     parsed = captures.select(*keep, F.try_parse_json("json_data").alias("hg_payload"))
+    looked = [F.struct(F.lit(names[n]).alias("field_name"), F.lit(n).alias("name"), _at(F.col("hg_payload"), n).alias("value")) for n in sorted(names)]
+    held = F.filter(F.array(*looked), lambda e: e["value"].isNotNull()) if looked else F.array().cast("array<struct<field_name:string,name:string,value:variant>>")
 
-    def member(name: str, field: str) -> F.Column:
-        value = _at(F.col("hg_payload"), name)
-        kind = _kind_of(value)
-        return F.when(kind.isNotNull(), F.struct(F.lit(field).alias("field_name"), F.lit(name).alias("name"), kind.alias("kind"), _text(value).alias("text")))
+    def member(e: F.Column) -> F.Column:
+        value = e["value"]
+        return let(F.schema_of_variant(value), lambda shape: F.struct(e["field_name"].alias("field_name"), e["name"].alias("name"), _kind_of(shape).alias("kind"), *([_text(value, shape).alias("text")] if texts else [])))
 
-    none = F.lit(None).cast("struct<field_name:string,name:string,kind:string,text:string>")
-    return parsed.select(*keep, F.array_compact(F.array(none, *(member(n, names[n]) for n in sorted(names)))).alias("members"))
+    return parsed.select(*keep, F.filter(F.transform(held, member), lambda m: m["kind"].isNotNull()).alias("members"))
 
 
 def union_schema(schemas: DataFrame) -> DataFrame:
@@ -254,9 +254,11 @@ def file_schemas(captures: DataFrame) -> DataFrame:
     file costs a few rows per map task.
     """
     captures = captures.where("src_path is not null")
-    members = _with_members(captures, field_names(captures), "src_path").select("src_path", F.inline("members"))
-    counted = members.groupBy("src_path", "field_name", "name", "kind").agg(F.count("*").alias("n"))
-    counted = counted.repartition("src_path")
+    members = _with_members(captures, field_names(captures), "src_path", texts=False)
+    # A file's records carry few different sets of members, so those are counted first.  inline
+    # would have the optimizer filter rows by their members, which computes them once more.
+    counted = members.groupBy("src_path", "members").agg(F.count("*").alias("n")).select("src_path", "n", F.inline_outer("members")).where("field_name is not null")
+    counted = counted.groupBy("src_path", "field_name", "name", "kind").agg(F.sum("n").alias("n")).repartition("src_path")
     by = Window.partitionBy("src_path", "field_name", "name"), Window.partitionBy("src_path", "field_name", "kind")
     counted = counted.withColumns({"names": F.sum("n").over(by[0]), "kinds": F.sum("n").over(by[1])})
     return counted.groupBy("src_path", "field_name").agg(
