@@ -1,15 +1,18 @@
 """References to records that do not exist.
 
-Keys are range-partitioned on the leading bits of their 64-bit hash.  Per range
-the parents become sorted arrays (names, and per name the disjoint intervals in
-which it stands); batches of references probe them by binary search, first for
-the name, then for the instant.  A range that holds many references, because one
-name is hot, is split into several parts that each get a copy of that range's
-parents, so no task receives more than a bounded share.
+Keys are range-partitioned on the leading bits of their 64-bit hash, as many bits as the
+sizes ask for.  Per range the parents become sorted arrays (names, and per name the
+intervals in which it stands); batches of references probe them by binary search, first for
+the name, then for the instant.  A key that is too large for a range is a range of its own:
+its references are split into parts that each get a copy of that one key's parents, and
+if those are too many as well, both are cut at the same instants, each stretch of time with
+one row that stands for all parents before it.  No task receives more than a bounded share.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +22,11 @@ from pyspark.sql import functions as F
 from heliograph.runtime import materialise
 
 #: Bits of the key hash that make a slot; the driver sees one row per slot at most.
-SLOT_BITS = 14
+FEWEST_BITS, MOST_BITS = 10, 20
+#: Parts there are at most, as a power of two: beyond that, parts grow instead.
+PART_BITS = 18
+#: Stretches of time a key with too many parents is cut into.
+STRETCHES = 256
 REASONS = ("missing", "deleted", "late")
 NEVER = np.iinfo(np.int64).max
 
@@ -52,60 +59,121 @@ def orphan_references(
     still stands; repeated parents count once.  Empty inputs are fine.  Repeated
     references are reported as often as they occur.
     """
-    spark = references.sparkSession
-    refs = references.select("ref_table", "ref_id", "key", F.col("at").cast("timestamp_ntz").alias("at"))
-    refs = materialise(refs.where("key is not null").withColumn("slot", _slot("key")), "references")
-    owners = (
-        parents.select("key", F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"), F.col("removed_at").cast("timestamp_ntz").alias("removed_at"))
-        .where("key is not null")
-        .distinct()
-        .withColumn("slot", _slot("key"))
-    )
-    # One row per slot (2 ** SLOT_BITS at most) comes to the driver.
-    histogram = (
-        refs.groupBy("slot").agg(F.count("*").alias("r")).withColumn("p", F.lit(0).cast("long"))
-        .unionAll(owners.groupBy("slot").agg(F.lit(0).cast("long").alias("r"), F.count("*").alias("p")))
-        .groupBy("slot").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
-        .orderBy("slot").collect()
-    )
-    layout = _layout(histogram, rows_per_part, parents_per_range)
-    slots = F.broadcast(spark.createDataFrame(layout, "slot int, first int, parts int"))
-    spread = F.pmod(F.xxhash64("ref_id", "at"), F.col("parts")).cast("int")
-    left = refs.join(slots, "slot").select("ref_table", "ref_id", "key", "at", (F.col("first") + spread).alias("part"))
-    right = owners.join(slots, "slot").select(
-        "key", "loaded_at", "removed_at", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("part")
-    )
-    ref_type = refs.schema["ref_id"].dataType.simpleString()
+    left, right = partitioned(references, parents, rows_per_part, parents_per_range)
+    ref_type = left.schema["ref_id"].dataType.simpleString()
     return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(
         _probe, f"ref_table string, ref_id {ref_type}, key string, at timestamp_ntz, reason string"
     )
 
 
-def _slot(key: str) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - SLOT_BITS).cast("int")
-
-
-def _layout(histogram: list, rows_per_part: int, parents_per_range: int) -> list[tuple[int, int, int]]:
-    """Packs neighbouring slots into ranges; splits a range with many references."""
-    layout, range_slots, r, p, first = [], [], 0, 0, 0
-
-    def close() -> None:
-        nonlocal first, r, p
-        parts = max(1, -(-r // rows_per_part))
-        layout.extend((slot, first, parts) for slot in range_slots)
-        first, r, p = first + parts, 0, 0
-        range_slots.clear()
-
-    for slot, refs, owners in histogram:
-        if range_slots and (r + refs > rows_per_part or p + owners > parents_per_range):
-            close()
-        range_slots.append(slot)
+def partitioned(references: DataFrame, parents: DataFrame, rows_per_part: int, parents_per_range: int) -> tuple[DataFrame, DataFrame]:
+    """References and parents with the ``part`` in which they meet."""
+    spark = references.sparkSession
+    refs = references.select("ref_table", "ref_id", "key", F.col("at").cast("timestamp_ntz").alias("at")).where("key is not null")
+    refs = materialise(refs.withColumn("hash", F.xxhash64("key")), "references")
+    owners = parents.select("key", F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"), F.col("removed_at").cast("timestamp_ntz").alias("removed_at"))
+    # Of entries loaded at one instant the one that stands longest decides.
+    longest = F.when(F.count("*") == F.count("removed_at"), F.max("removed_at"))
+    owners = owners.where("key is not null").groupBy("key", "loaded_at").agg(longest.alias("removed_at"))
+    owners = materialise(owners.withColumn("hash", F.xxhash64("key")), "parents")
+    n_refs, n_owners = refs.count(), owners.count()
+    rows_per_part, parents_per_range = max(rows_per_part, n_refs >> PART_BITS), max(parents_per_range, n_owners >> PART_BITS)
+    wanted = max(n_refs / rows_per_part, n_owners / parents_per_range, 1)
+    bits = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(wanted)) + 2))
+    slot = F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("slot")
+    sizes = _sizes(refs, owners, [slot], ["slot"]).orderBy("slot").collect()  # a row per slot
+    large = [s.slot for s in sizes if s.r > rows_per_part or s.p > parents_per_range]
+    units, keys = [], []
+    if large:
+        few = F.broadcast(spark.createDataFrame([(s,) for s in large], "slot int"))
+        inside = [x.withColumn("slot", slot).join(few, "slot", "left_semi") for x in (refs, owners)]
+        # At most twice as many keys as there are parts.
+        heavy = _sizes(*inside, ["key"], ["key"]).where((F.col("r") > rows_per_part / 2) | (F.col("p") > parents_per_range / 2))
+        keys = heavy.withColumn("slot", F.shiftrightunsigned(F.xxhash64("key"), 64 - bits).cast("int")).orderBy("key").collect()
+    taken: dict[int, list[int]] = {}
+    for k in keys:
+        r, p = taken.get(k.slot, (0, 0))
+        taken[k.slot] = [r + k.r, p + k.p]
+    light = [(s.slot, s.r - taken.get(s.slot, (0, 0))[0], s.p - taken.get(s.slot, (0, 0))[1]) for s in sizes]
+    layout = _layout(light, rows_per_part, parents_per_range)
+    first = 1 + max((part for _, part in layout), default=-1)
+    placed = F.broadcast(spark.createDataFrame(layout, "slot int, part int"))
+    usual = ["key", "loaded_at", "removed_at"]
+    if not keys:
+        left, right = (x.withColumn("slot", slot).join(placed, "slot") for x in (refs, owners))
+    else:
+        cut = _stretches(owners, [k.key for k in keys if k.p > parents_per_range])
+        named = spark.createDataFrame([(k.key, cut.get(k.key, [])) for k in keys], "key string, edges array<timestamp_ntz>")
+        named = materialise(named, "heavy-keys")
+        refs_of, owners_of = (_in_stretch(x.join(F.broadcast(named), "key"), at) for x, at in ((refs, "at"), (owners, "loaded_at")))
+        units = refs_of.groupBy("key", "stretch").agg(F.count("*").alias("r")).orderBy("key", "stretch").collect()  # a row per heavy key and stretch
+        spots = []
+        for u in units:
+            parts = -(-u.r // rows_per_part)
+            spots.append((u.key, u.stretch, first, parts))
+            first += parts
+        spots = F.broadcast(spark.createDataFrame(spots, "key string, stretch int, first int, parts int"))
+        spread = F.pmod(F.xxhash64("ref_id", "at"), F.col("parts")).cast("int")
+        split = refs_of.join(spots, ["key", "stretch"]).withColumn("part", F.col("first") + spread)
+        copied = _with_earlier(owners_of, named).join(spots, ["key", "stretch"]).withColumn("part", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)))
+        left, right = (x.join(F.broadcast(named.select("key")), "key", "left_anti").withColumn("slot", slot).join(placed, "slot") for x in (refs, owners))
+        left = left.select(*refs.columns, "part").unionByName(split.select(*refs.columns, "part"))
+        right = right.select(*usual, "part").unionByName(copied.select(*usual, "part"))
+    part = (F.col("part") + 0).alias("part")  # a column of its own on either side
+    return left.select("ref_table", "ref_id", "key", "at", part), right.select(*usual, part)
+
+
+def _sizes(refs: DataFrame, owners: DataFrame, by: list, names: list[str]) -> DataFrame:
+    """``r`` references and ``p`` parents per group, counted on the map side first."""
+    zero = F.lit(0).cast("long")
+    a = refs.groupBy(*by).agg(F.count("*").alias("r")).withColumn("p", zero)
+    b = owners.groupBy(*by).agg(F.count("*").alias("p")).withColumn("r", zero)
+    return a.unionByName(b).groupBy(*names).agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
+
+
+def _layout(sizes: list[tuple[int, int, int]], rows_per_part: int, parents_per_range: int) -> list[tuple[int, int]]:
+    """(slot, part): neighbouring slots packed into ranges."""
+    layout, r, p, part = [], 0, 0, 0
+    for slot, refs, owners in sizes:
+        if (r or p) and (r + refs > rows_per_part or p + owners > parents_per_range):
+            part, r, p = part + 1, 0, 0
+        layout.append((slot, part))
         r, p = r + refs, p + owners
-    if range_slots:
-        close()
     return layout
 
 
+def _stretches(owners: DataFrame, keys: list[str]) -> dict[str, list]:
+    """Instants that cut the parents of each key into about equal numbers."""
+    if not keys:
+        return {}
+    few = F.broadcast(owners.sparkSession.createDataFrame([(k,) for k in keys], "key string"))
+    micros = F.unix_micros(F.col("loaded_at").cast("timestamp"))
+    cuts = F.percentile_approx(micros, [i / STRETCHES for i in range(1, STRETCHES)], 100_000)
+    found = owners.join(few, "key").groupBy("key").agg(F.array_distinct(F.transform(cuts, lambda m: F.timestamp_micros(m).cast("timestamp_ntz"))).alias("edges"))
+    return {r.key: r.edges or [] for r in found.collect()}
+
+
+def _in_stretch(rows: DataFrame, at: str) -> DataFrame:
+    """A row without a time is in the first stretch."""
+    return rows.withColumn("stretch", F.size(F.filter("edges", lambda e: e <= F.col(at))))
+
+
+def _with_earlier(owners: DataFrame, named: DataFrame) -> DataFrame:
+    """Heavy keys' parents, and per stretch one that stands for all before it and one that
+    makes the key known."""
+    never = F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz")
+    until = F.max(F.coalesce("removed_at", never)).alias("until")
+    sums = owners.where("loaded_at is not null").groupBy("key", "stretch").agg(F.min("loaded_at").alias("since"), until)
+    before = sums.select("key", F.col("stretch").alias("earlier"), "since", "until")
+    every = named.select("key", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("stretch"))
+    # STRETCHES rows a key on both sides.
+    past = every.join(before, "key").where("earlier < stretch").groupBy("key", "stretch").agg(F.min("since").alias("loaded_at"), F.max("until").alias("removed_at"))
+    past = past.withColumn("removed_at", F.when(F.col("removed_at") < never, F.col("removed_at")))
+    known = every.join(owners.select("key").distinct(), "key", "left_semi").select("key", "stretch", *(F.lit(None).cast("timestamp_ntz").alias(c) for c in ("loaded_at", "removed_at")))
+    columns = ["key", "stretch", "loaded_at", "removed_at"]
+    return owners.select(*columns).unionByName(past.select(*columns)).unionByName(known.select(*columns))
+
+
 def _micros(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     values = column.combine_chunks().cast(pa.timestamp("us")).cast(pa.int64())
     return pc.fill_null(values, 0).to_numpy(zero_copy_only=False), pc.is_null(values).to_numpy(zero_copy_only=False)

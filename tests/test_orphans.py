@@ -55,9 +55,30 @@ def test_hot_key_is_split_and_matches_brute_force(spark):
     assert found(spark, refs, parents, rows_per_part=50, parents_per_range=7) == brute(refs, parents)
 
 
-def test_layout_splits_ranges():
-    layout = orphans._layout([(0, 10, 1), (1, 500, 1), (2, 5, 1), (3, 5, 60)], 100, 50)
-    assert layout == [(0, 0, 1), (1, 1, 5), (2, 6, 1), (3, 7, 1)]
+def test_layout_packs_slots():
+    assert orphans._layout([(0, 10, 1), (1, 500, 1), (2, 5, 1), (3, 5, 60), (7, 0, 0)], 100, 50) == [(0, 0), (1, 1), (2, 2), (3, 3), (7, 4)]
+
+
+def largest(spark, refs, parents, rows_per_part, parents_per_range):
+    left, right = orphans.partitioned(refs, parents, rows_per_part, parents_per_range)
+    return [x.groupBy("part").count().agg({"count": "max"}).first()[0] for x in (left, right)]
+
+
+@pytest.mark.parametrize("key", ["'hot'", "concat('k', id)"])
+def test_no_part_gets_too_many(spark, key):
+    """A million distinct parents of one key, or of a million keys, and as many references."""
+    at = "timestamp_ntz'2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id % 900000)"
+    parents = spark.range(1_000_000).selectExpr(f"{key} as key", f"{at} as loaded_at", f"{at} + interval 1 minute as removed_at")
+    refs = spark.range(300_000).selectExpr("'t' as ref_table", "id as ref_id", f"{key} as key", f"{at} as at")
+    rows, held = largest(spark, refs, parents, 20_000, 50_000)
+    assert rows <= 1.2 * 20_000 and held <= 50_000
+
+
+def test_key_with_many_parents_is_cut_by_time(spark):
+    rng = random.Random(11)
+    parents = [("x" if i % 3 else f"k{i}", rng.choice([None, *range(200)]), rng.choice([None, *range(250)]) if rng.random() < 0.1 else rng.randrange(200)) for i in range(400)]
+    refs = [(rng.choice(["x", "x", "k3", "k6", "none"]), rng.choice([None, *range(-5, 230)])) for _ in range(900)]
+    assert found(spark, refs, parents, rows_per_part=100, parents_per_range=20) == brute(refs, parents)
 
 
 def test_base_name(spark):
