@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators import drift, eager, merkle, orphans, recover
@@ -156,6 +156,23 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy("src_path").agg(F.count_if(F.col("reason").isNull()).alias("loaded"), *by_reason)
 
 
+@query(
+    "p2_recovered",
+    _P2_SQL + """, beside as (
+      select l.line_id, lead(l.line_id) over (partition by l.src_path order by l.src_pos, l.line_id) as next_id from cdxj_lines l)
+    select b.line_id, n.a as surt, n.b as ts, nullif(n.c, '') as json from beside b
+    join judged j on j.line_id = b.line_id and j.reason = 'json' join judged n on n.line_id = b.next_id and n.reason is null""",
+)
+def p2_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with a broken payload, glued to the one after it as if its end were lost: what
+    is recovered is the second line's record."""
+    lines = table(spark, d, "cdxj_lines")
+    behind = F.lead("line").over(Window.partitionBy("src_path").orderBy("src_pos", "line_id"))
+    broken = recover.parse_lines(lines).where("reason = 'json' and not recovered").select("line_id")
+    glued = lines.withColumn("line", F.concat_ws(" ", "line", behind)).join(broken, "line_id", "left_semi")
+    return recover.parse_lines(glued).where("recovered and reason is null").select("line_id", "surt", "ts", "json")
+
+
 # ---------------------------------------------------------------- p3
 
 _P3_SQL = """
