@@ -98,8 +98,10 @@ def write_zipnum(
     idx_name: str | None = None,
     loc_name: str | None = None,
     column: str = "value",
+    with_chunk: bool = False,
 ) -> DataFrame:
-    """Writes shards, ``.idx`` and ``.loc`` to a folder all executors reach; returns the index rows.
+    """Writes shards, ``.idx`` and ``.loc`` to a folder all executors reach; returns the index rows
+    (``with_chunk`` also with the number of their chunk).
 
     ``base`` defaults to the folder's name; a single shard is called ``base.cdx.gz`` in all
     three places, several ``base-01.cdx.gz`` and so on.  Files appear under their names only
@@ -117,24 +119,19 @@ def write_zipnum(
     packed = materialise(chunked.mapInArrow(_compress(compress_level), "chunk long, key string, data binary, size long, n_lines long"), "chunks")
     sizes = packed.select(F.floor(F.col("chunk") / GROUP).alias("group"), "chunk", "key", "size")
     shard_bytes = float("inf") if single_shard else shard_size_mb * (1 << 20)
-    filled = sizes.groupBy(F.lit(0).alias("g0") if single_shard else F.col("group")).applyInArrow(
-        _fill(shard_bytes), "group long, chunk long, key string, size long, shard_in_group int, offset long"
-    )
+    filled = sizes.groupBy("group").applyInArrow(_fill(shard_bytes), "group long, chunk long, key string, size long, shard_in_group int, offset long")
     placed = materialise(filled, "places")
-    starts, count = [], 0
-    if single_shard:
-        count = int(not placed.isEmpty())
-        numbered_ = placed.withColumn("shard_num", F.lit(1))
-    else:
-        for row in placed.groupBy("group").agg(F.max("shard_in_group").alias("n")).orderBy("group").collect():  # a row per group
-            starts.append((row.group, count))
-            count += row.n
-        start = F.broadcast(lines.sparkSession.createDataFrame(starts, "group long, start int"))
-        numbered_ = placed.join(start, "group").withColumn("shard_num", F.col("start") + F.col("shard_in_group"))
+    starts, count, before = [], 0, 0
+    for row in placed.groupBy("group").agg(F.max("shard_in_group").alias("n"), F.sum("size").alias("size")).orderBy("group").collect():  # a row per group
+        # Of a single shard a group goes on where the one before it ends.
+        starts.append((row.group, 0 if single_shard else count, before if single_shard else 0))
+        count, before = 1 if single_shard else count + row.n, before + row["size"]
+    start = F.broadcast(lines.sparkSession.createDataFrame(starts, "group long, start int, start_offset long"))
+    numbered_ = placed.join(start, "group").withColumn("shard_num", F.col("start") + F.col("shard_in_group")).withColumn("offset", F.col("offset") + F.col("start_offset"))
     names = {n: f"{base}.cdx.gz" if count == 1 else f"{base}-{n:02d}.cdx.gz" for n in range(1, count + 1)}
     width = F.lpad(F.col("shard_num").cast("string"), F.greatest(F.lit(2), F.length(F.col("shard_num").cast("string"))), F.lit("0"))
     shard = F.lit(f"{base}.cdx.gz") if count == 1 else F.concat(F.lit(f"{base}-"), width, F.lit(".cdx.gz"))
-    index = numbered_.select("key", shard.alias("shard"), "offset", F.col("size").alias("length"), F.col("shard_num").cast("int"))
+    index = numbered_.select("key", shard.alias("shard"), "offset", F.col("size").alias("length"), F.col("shard_num").cast("int"), *(["chunk"] if with_chunk else []))
     if count:
         data = packed.select("chunk", "data").join(numbered_.select("chunk", "shard_num"), "chunk")
         # Written shard by shard: chunks of a shard stream through one task in order.

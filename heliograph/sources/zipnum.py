@@ -1,13 +1,15 @@
 """ZipNum clusters: block-compressed captures with a sparse index.
 
-``.idx`` has a row per block (first key, shard, offset, length, shard number), ``.loc`` maps
-shards to files, and a shard is a row of gzip members.  The data source plans one
-partition per run of neighbouring blocks of a shard and, for a key predicate, only the
-blocks that may hold the key.
+``.idx`` has a row per block (first key, shard, offset, length, shard number) in order of keys,
+``.loc`` maps shards to files, and a shard is a row of gzip members.  The data source plans
+slices of the index by their bytes; a task reads its slice and the blocks that it names.
+For a key predicate a binary search over the bytes of the index finds the slice that may
+hold the key, so the driver reads a few rows of an index of any size.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import posixpath
 import zlib
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
 
@@ -25,9 +27,11 @@ from heliograph.schema import IDX
 from heliograph.sources.paths import filesystem, is_local, join, local
 
 MAX_BLOCK = 512 << 20
-#: Blocks of one partition of a full scan together have about so many compressed bytes.
-PARTITION_BYTES = 32 << 20
-_SCHEMA = "surt string, ts string, json string, value string, src_path string, src_block long, src_pos long"
+#: Bytes of the index that a task reads, and most tasks of a scan: beyond that, slices grow.
+SLICE, MOST_SLICES = 1 << 16, 100_000
+# Endings of shards; a name without one gets the first whose file there is.
+ENDINGS = (".cdx.gz", ".cdxj.gz")
+_SCHEMA = "surt string, ts string, json string, value string, src_path string, src_block long, src_pos long, fault string"
 
 
 def read_idx(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -63,22 +67,35 @@ def loc_file(idx: str) -> str | None:
     return path if system.get_file_info(inner).is_file else None
 
 
-def _text(path: str) -> list[str]:
+def load_loc(path: str | None, wanted: set[str] | None = None) -> dict[str, str]:
+    """Files of shards, or of the ``wanted`` ones only; of repeated shards the last row counts."""
+    found: dict[str, str] = {}
+    if path is None:
+        return found
     system, inner = filesystem(path)
     with system.open_input_stream(inner, compression=None) as file:
-        return file.read().decode("utf-8").splitlines()
-
-
-def load_loc(path: str | None) -> dict[str, str]:
-    if path is None:
-        return {}
-    rows = [x.strip().split("\t") for x in _text(path) if x.strip() and not x.lstrip().startswith("#")]
-    return {r[0]: r[1] for r in rows if len(r) >= 2}
+        for line in io.TextIOWrapper(io.BufferedReader(file), encoding="utf-8"):
+            parts = line.strip().split("\t")
+            if len(parts) >= 2 and not parts[0].startswith("#") and (wanted is None or parts[0] in wanted):
+                found[parts[0]] = parts[1]
+    return found
 
 
 def shard_path(shard: str, base_dir: str, loc: dict[str, str]) -> str:
     """The shard's file, which must lie within ``base_dir`` after links are followed."""
-    name = loc.get(shard, shard if shard.endswith(".cdx.gz") else shard + ".cdx.gz")
+    name = loc.get(shard, shard)
+    if shard not in loc and not shard.endswith(ENDINGS):
+        paths = [_inside(shard, name + ending, base_dir) for ending in ENDINGS]
+        return next((p for p in paths if _is_file(p)), paths[0])
+    return _inside(shard, name, base_dir)
+
+
+def _is_file(path: str) -> bool:
+    system, inner = filesystem(path)
+    return system.get_file_info(inner).is_file
+
+
+def _inside(shard: str, name: str, base_dir: str) -> str:
     if is_local(base_dir):
         path, root = os.path.realpath(os.path.join(local(base_dir), local(name))), os.path.realpath(local(base_dir))
     else:
@@ -108,54 +125,149 @@ def candidate_blocks(keys: list[str], wanted: str, prefix: bool) -> range:
     return range(max(first - 1, 0), end)
 
 
+class IndexFile:
+    """An open ``.idx`` whose rows are in order of keys."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size = file, size
+
+    def rows(self, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+        """Place, end and text of the rows that begin from ``start`` up to before ``end``."""
+        at = start
+        if start:  # the line that goes on there began before
+            self.file.seek(start - 1)
+            at = start - 1 + len(self._line(start - 1))
+        while at < end:
+            line = self._line(at)
+            if not line:
+                return
+            if line.strip() and not line.startswith(b"#"):
+                yield at, at + len(line), line.decode("utf-8", "surrogateescape")
+            at += len(line)
+
+    def _line(self, at: int) -> bytes:
+        """A whole line; reads ahead in pieces, which are kept."""
+        held, base = getattr(self, "_held", (b"", 0))
+        if not base <= at < base + len(held):
+            held, base = b"", at
+        while True:
+            cut = held.find(b"\n", at - base)
+            if cut >= 0:
+                self._held = held, base
+                return held[at - base : cut + 1]
+            self.file.seek(base + len(held))
+            more = self.file.read(SLICE)
+            if not more:
+                self._held = held, base
+                return held[at - base :]
+            held, base = held[at - base :] + more, at
+
+    def first(self, below) -> tuple[int, int | None]:
+        """Where the rows begin that are not ``below``, which is true of the first rows and of no
+        later one; and the place of the row before."""
+        low, high, before = 0, self.size, None
+        while low < high:
+            middle = (low + high) // 2
+            row = next(self.rows(middle, high), None)
+            if row is not None and below(key_of(row[2].split("\t", 1)[0])):
+                low, before = row[1], row[0]
+            else:
+                high = middle
+        return low, before
+
+    def candidates(self, wanted: str, prefix: bool) -> tuple[int, int]:
+        """The bytes of the rows whose blocks may hold a key or prefix: those of
+        ``candidate_blocks``, found by two binary searches."""
+        start, before = self.first(lambda k: k < wanted)
+        end, _ = self.first(lambda k: k < wanted or (k.startswith(wanted) if prefix else k == wanted))
+        return start if before is None else before, end
+
+
 @dataclass
-class Blocks(InputPartition):
-    path: str
-    shard_num: int
-    spans: list[tuple[int, int]]
+class Slice(InputPartition):
+    """Rows of the index that begin within these bytes."""
+
+    start: int
+    end: int
 
-    def __init__(self, path: str, shard_num: int, spans: list[tuple[int, int]]):
+    def __init__(self, start: int, end: int):
         super().__init__(None)
-        self.path, self.shard_num, self.spans = path, shard_num, spans
+        self.start, self.end = start, end
 
 
 class ZipNumReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.idx = options["path"]
         self.base = options.get("base_dir") or os.path.dirname(os.path.abspath(local(self.idx)) if is_local(self.idx) else self.idx)
-        self.loc = load_loc(options.get("loc") or loc_file(self.idx))
+        self.loc = options.get("loc") or loc_file(self.idx)
         self.wanted: tuple[str, bool] | None = None
 
-    def partitions(self) -> list[Blocks]:
-        rows = [parse_idx_line(x) for x in _text(self.idx) if x.strip() and not x.startswith("#")]
-        if self.wanted:
-            rows.sort(key=lambda r: r[0])
-            chosen = candidate_blocks([r[0] for r in rows], *self.wanted)
-            rows = [rows[i] for i in chosen]
-        found: list[Blocks] = []
+    def _open(self):
+        system, inner = filesystem(self.idx)
+        return system.open_input_file(inner)
+
+    def partitions(self) -> list[Slice]:
+        with self._open() as file:
+            size = file.size()
+            start, end = IndexFile(file, size).candidates(*self.wanted) if self.wanted else (0, size)
+        step = max(SLICE, (end - start) // MOST_SLICES)
+        return [Slice(at, min(at + step, end)) for at in range(start, end, step)] or [Slice(0, 0)]
+
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        with self._open() as file:
+            texts = [row for _, _, row in IndexFile(file, file.size()).rows(partition.start, partition.end)]
+        rows, faults = [], []
+        for text in texts:
+            try:
+                rows.append(parse_idx_line(text))
+            except ValueError:
+                faults.append((self.idx, None, None, "bad index row"))
+        loc = load_loc(self.loc, {r[1] for r in rows})
+        spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
         for _, shard, offset, length, number in sorted(rows, key=lambda r: (r[4], r[1], r[2])):
-            path = shard_path(shard, self.base, self.loc)
-            last = found[-1] if found else None
-            if last and last.path == path and sum(n for _, n in last.spans) < PARTITION_BYTES:
-                last.spans.append((offset, length))
-            else:
-                found.append(Blocks(path, number, [(offset, length)]))
-        return found or [Blocks("", 0, [])]
-
-    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
-        for offset, text in read_blocks(partition.path, partition.spans):
-            rows = []
-            for number, line in enumerate(text.split("\n")):
-                line = line.removesuffix("\r")
-                if "�" in line or not line.strip():
+            spans.setdefault((number, shard), []).append((offset, length))
+        for (number, shard), blocks in spans.items():
+            path = shard_path(shard, self.base, loc)
+            for offset, data, fault in read_blocks(path, blocks):
+                place = number << 40 | offset
+                if fault:
+                    faults.append((path, place, None, fault))
                     continue
-                surt, _, rest = line.partition(" ")
-                ts, _, payload = rest.partition(" ")
-                whole = bool(rest)
-                rows.append((surt if whole else None, ts if whole else None, payload.strip() or None, line, partition.path, partition.shard_num << 40 | offset, number))
-            kinds = (pa.string(),) * 5 + (pa.int64(),) * 2
-            names = ["surt", "ts", "json", "value", "src_path", "src_block", "src_pos"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                found, broken = _records(data, path, place)
+                faults += broken
+                yield _batch(found)
+        if faults:
+            yield _batch([(None, None, None, None, *f) for f in faults])
+
+
+def _records(data: bytes, path: str, place: int) -> tuple[list[tuple], list[tuple]]:
+    """The captures of a block, and its lines that are no UTF-8."""
+    found, broken = [], []
+    try:
+        lines = data.decode("utf-8").split("\n")
+    except UnicodeDecodeError:
+        lines = data.split(b"\n")
+    for number, line in enumerate(lines):
+        if isinstance(line, bytes):
+            try:
+                line = line.decode("utf-8")
+            except UnicodeDecodeError:
+                broken.append((path, place, number, "not UTF-8"))
+                continue
+        line = line.removesuffix("\r")
+        if not line.strip():
+            continue
+        surt, _, rest = line.partition(" ")
+        ts, _, payload = rest.partition(" ")
+        whole = bool(rest)
+        found.append((surt if whole else None, ts if whole else None, payload.strip() or None, line, path, place, number, None))
+    return found, broken
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(),) * 5 + (pa.int64(),) * 2 + (pa.string(),)
+    names = ["surt", "ts", "json", "value", "src_path", "src_block", "src_pos", "fault"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 class PushingReader(ZipNumReader):
@@ -169,22 +281,24 @@ class PushingReader(ZipNumReader):
             yield f
 
 
-def read_blocks(path: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
-    """Offset and text of each block.  A link in place of the file is refused; a block
-    that is too large, short or broken is passed over."""
+def read_blocks(path: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, bytes, str | None]]:
+    """Offset and content of each block, or what is wrong with it.  A link in place of the
+    file is refused."""
     system, inner = filesystem(path)
-    if not spans or not system.get_file_info(inner).is_file:
+    if not system.get_file_info(inner).is_file:
+        yield from ((offset, b"", "no such shard") for offset, _ in spans)
         return
     own = is_local(path)
     with os.fdopen(os.open(inner, os.O_RDONLY | os.O_NOFOLLOW), "rb") if own else system.open_input_file(inner) as file:
         for offset, length in spans:
             if not 0 < length <= MAX_BLOCK or offset < 0:
+                yield offset, b"", "no possible block"
                 continue
             file.seek(offset)
             try:
-                yield offset, gunzip(file.read(length)).decode("utf-8", errors="replace")
+                yield offset, gunzip(file.read(length)), None
             except (zlib.error, EOFError):
-                continue
+                yield offset, b"", "broken block"
 
 
 def gunzip(data: bytes) -> bytes:
@@ -213,15 +327,24 @@ class ZipNumSource(DataSource):
         return (PushingReader if self.options.get("pushdown") == "true" else ZipNumReader)(self.options)
 
 
-def read_zipnum(spark: SparkSession, idx: str, base_dir: str | None = None, loc: str | None = None) -> DataFrame:
+def read_zipnum(spark: SparkSession, idx: str, base_dir: str | None = None, loc: str | None = None, faults: Observation | bool = False) -> DataFrame:
     """The captures of a cluster.
 
     Key predicates reach the reader if ``spark.sql.python.filterPushdown.enabled`` is true;
-    without it all blocks are read and filtered.
+    without it all blocks are read and filtered.  What cannot be read is passed over: rows
+    of the index that do not parse, shards that are missing, blocks that are broken and
+    lines that are no UTF-8.  With ``faults=True`` just these come out, as ``src_path,
+    src_block, src_pos, fault``; given an observation, their number is observed as ``n_faults``
+    while the captures are read (which keeps predicates from reaching the reader).
     """
     spark.dataSource.register(ZipNumSource)
     reader = spark.read.format("zipnum").option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for name, value in (("base_dir", base_dir), ("loc", loc)):
         if value:
             reader = reader.option(name, value)
-    return reader.load(idx)
+    rows = reader.load(idx)
+    if faults is True:
+        return rows.where("fault is not null").select("src_path", "src_block", "src_pos", "fault")
+    if faults:
+        rows = rows.observe(faults, F.count("fault").alias("n_faults"))
+    return rows.where("fault is null").drop("fault")

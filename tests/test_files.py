@@ -9,6 +9,7 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from heliograph import runtime
@@ -164,6 +165,47 @@ def test_broken_and_foreign_blocks(spark, tmp_path):
     idx = put(tmp_path / "s.idx", "# comment\n" + "".join(f"{k}\t{s}\t{o}\t{n}\t1\n" for k, s, o, n in rows))
     got = [(r.surt, r.ts, r.json) for r in zipnum.read_zipnum(spark, idx).orderBy("surt").collect()]
     assert got == [("a)/", "1", None), ("b)/", "2", '{"x":1}')]
+    put(tmp_path / "s.idx", open(idx).read() + "few\tcolumns\ne\ts-01\t-1\t5\t1\n")
+    faults = zipnum.read_zipnum(spark, idx, faults=True).collect()
+    assert sorted(r.fault for r in faults) == ["bad index row", "broken block", "broken block", "no possible block", "no such shard", "not UTF-8"]
+    seen = Observation()
+    assert zipnum.read_zipnum(spark, idx, faults=seen).count() == 2 and seen.get == {"n_faults": 6}
+
+
+@pytest.mark.parametrize("name,shard", [("x.cdxj.gz", "x.cdxj.gz"), ("x.cdxj.gz", "x"), ("x.cdx.gz", "x"), ("x.cdx.gz", "x.cdx.gz")])
+def test_endings_and_replacement_characters(spark, tmp_path, name, shard):
+    data = gzip.compress("a)/\ufffd 1 {\"t\":\"\ufffd\"}\n".encode())
+    (tmp_path / name).write_bytes(data)
+    idx = put(tmp_path / "x.idx", f"a)/ 1\t{shard}\t0\t{len(data)}\t1\n")
+    assert [r.surt for r in zipnum.read_zipnum(spark, idx).collect()] == ["a)/\ufffd"]
+
+
+@pytest.mark.parametrize("piece", [16, 1 << 16])
+def test_search_over_the_bytes_of_an_index(tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(zipnum, "SLICE", piece)
+    rng = random.Random(2)
+    for n in (0, 1, 2, 50):
+        keys = sorted(f"{rng.choice('abc')}{rng.choice(['', 'é', 'bb'])})/{rng.randrange(5)} 2020" for _ in range(n))
+        text = "# head\n\n" + "".join(f"{k}\ts\t{i}\t5\t1\n" + ("#\n" if i % 7 == 0 else "") for i, k in enumerate(keys))
+        path = put(tmp_path / f"{n}.idx", text)
+        with open(path, "rb") as file:
+            index = zipnum.IndexFile(file, len(text.encode()))
+            assert [int(r.split("\t")[2]) for _, _, r in index.rows(0, index.size)] == list(range(n))
+            cuts = sorted(rng.sample(range(index.size + 1), 5))
+            parts = [r for a, b in zip([0, *cuts], [*cuts, index.size]) for _, _, r in index.rows(a, b)]
+            assert [int(r.split("\t")[2]) for r in parts] == list(range(n))
+            for wanted in [*(k.split(" ")[0] for k in keys[:12]), "a", "aé", "b)/2", "0", "zz", "c"]:
+                for prefix in (True, False):
+                    got = [int(r.split("\t")[2]) for _, _, r in index.rows(*index.candidates(wanted, prefix))]
+                    assert got == list(zipnum.candidate_blocks(keys, wanted, prefix)), (wanted, prefix)
+
+
+def test_single_shard_of_several_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writer, "GROUP", 4)
+    rows = lines(100)
+    index = writer.write_zipnum(frame(spark, rows), str(tmp_path / "g"), chunk_size=10, single_shard=True, with_chunk=True).orderBy("chunk").collect()
+    assert {r.shard for r in index} == {"g.cdx.gz"} and [r.offset for r in index] == [sum(r.length for r in index[:i]) for i in range(10)]
+    assert sorted(values(zipnum.read_zipnum(spark, str(tmp_path / "g/g.idx")))) == sorted(rows)
 
 
 def test_paths_stay_inside(spark, tmp_path):
