@@ -27,14 +27,17 @@ def surt_of(spark: SparkSession, url: str) -> str:
 def lookup(spark: SparkSession, patterns: list[str], key: str | None = None, url: str | None = None, match_type: str = "exact", *, skip_errors: bool = False, **restrictions) -> DataFrame:
     """Captures from all files that ``patterns`` name; give either a key or a URL.
 
-    With ``skip_errors`` an index that cannot be read is passed over.  Without files the
-    result is empty.
+    FileNotFoundError if no pattern matches a file.  With ``skip_errors`` that gives an empty
+    result, and an index that cannot be read is passed over.
     """
     if (key is None) == (url is None):
         raise ValueError("give either a key or a url")
     key = key if key is not None else surt_of(spark, url)
     match_key(key, match_type)
-    flat, indexes = resolve_inputs(discover(patterns))
+    files = discover(patterns)
+    if not files and not skip_errors:
+        raise FileNotFoundError(f"nothing matches {patterns}")
+    flat, indexes = resolve_inputs(files)
     parts = [read_captures(spark, flat, invalid_utf8="skip")] if flat else []
     for idx in indexes:
         try:

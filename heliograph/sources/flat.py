@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions.cdxj import stripped, with_parts
 from heliograph.operators.blocklist import Blocklist
+from heliograph.sources.paths import matching, walk
 
 # Endings of files a directory is searched for, and what they hold.
 FLAT, COMPRESSED, SPARSE = ".cdxj", ".cdxj.gz", ".idx"
@@ -24,29 +24,22 @@ def excluded(name: str, patterns: list[str]) -> str | None:
 
 def collect_files(paths: list[str], exclude: list[str] | None = None) -> list[str]:
     """Files as given, directories walked for all their files, in order; paths that do
-    not exist are passed over."""
-    found: list[str] = []
-    for path in paths:
-        if os.path.isfile(path):
-            found.append(path)
-        elif os.path.isdir(path):
-            for folder, _, names in sorted(os.walk(path)):
-                found += [os.path.join(folder, n) for n in sorted(names)]
+    not exist are passed over.  Paths may be URIs of any file system."""
+    found = [f for path in paths for f in walk(path) or []]
     return [f for f in found if excluded(f, exclude or []) is None]
 
 
 def discover(patterns: list[str]) -> list[str]:
     """Index files: directories are searched for the known endings, other patterns are
-    recursive globs.  Absolute, sorted, each once."""
+    recursive globs.  Local ones absolute, all sorted, each once."""
     found: set[str] = set()
     for pattern in patterns:
-        if os.path.isdir(pattern):
-            found.update(f for f in collect_files([pattern]) if f.endswith((FLAT, COMPRESSED, SPARSE)))
-        elif os.path.isfile(pattern):
-            found.add(pattern)
+        files = walk(pattern)
+        if files is None:
+            found.update(matching(pattern))
         else:
-            found.update(f for f in glob.glob(pattern, recursive=True) if os.path.isfile(f))
-    return sorted(os.path.abspath(f) for f in found)
+            found.update(files if files == [pattern] else [f for f in files if f.endswith((FLAT, COMPRESSED, SPARSE))])
+    return sorted({os.path.abspath(f) if "://" not in f and not f.startswith("file:") else f for f in found})
 
 
 def file_type(path: str) -> str:
@@ -58,7 +51,7 @@ def file_type(path: str) -> str:
 def index_of_data(path: str) -> str:
     """The ``.idx`` beside compressed data."""
     index = path.removesuffix(COMPRESSED) + SPARSE
-    if not os.path.isfile(index):
+    if walk(index) != [index]:
         raise FileNotFoundError(index)
     return index
 
@@ -105,9 +98,10 @@ def read_captures(spark: SparkSession, paths: list[str] | str, invalid_utf8: str
 
 def arclist_files(directory: str) -> list[str]:
     """The ``.txt`` files of a directory itself, sorted; ValueError if it is none."""
-    if not os.path.isdir(directory):
+    files = walk(directory, recursive=False)
+    if files is None or files == [directory]:
         raise ValueError(f"not a directory: {directory}")
-    return sorted(os.path.join(directory, n) for n in os.listdir(directory) if n.endswith(".txt"))
+    return [f for f in files if f.endswith(".txt")]
 
 
 def content_lines(lines: DataFrame, column: str = "value") -> DataFrame:

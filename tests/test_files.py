@@ -51,6 +51,9 @@ def test_discovery(tmp_path):
     assert names(indexes) == ["b.idx"] and len(plain) == 3
     with pytest.raises(FileNotFoundError):
         flat.index_of_data(str(tmp_path / "z.cdxj.gz"))
+    uri = f"file://{tmp_path}"
+    assert [f.removeprefix(uri) for f in flat.discover([uri])] == ["/" + f for f in names(flat.discover([str(tmp_path)]))]
+    assert flat.discover([f"{uri}/**/e.*"]) == [f"{uri}/d/e.cdxj"] and flat.collect_files([f"{uri}/d"], ["e*"]) == [f"{uri}/d/skip-me.cdxj"]
 
 
 def test_lines_keep_their_order(spark, tmp_path):
@@ -313,7 +316,9 @@ def test_lookup(spark, tmp_path):
     writer.write_zipnum(frame(spark, ["com,a)/ 2019 {}", "com,c)/ 2020 {}"]), str(tmp_path / "z"))
     places = [str(tmp_path)]
     assert [r.value for r in lookup.lookup(spark, places, url="http://www.a.com/", sort=True).collect()] == ["com,a)/ 2019 {}", "com,a)/ 2020 {}"]
-    assert lookup.lookup(spark, [str(tmp_path / "none")], key="com,a)/").count() == 0
+    assert lookup.lookup(spark, [str(tmp_path / "none")], key="com,a)/", skip_errors=True).count() == 0
+    with pytest.raises(FileNotFoundError):
+        lookup.lookup(spark, [str(tmp_path / "none")], key="com,a)/")
     put(tmp_path / "broken.idx", "x\ty\tz\t1\t1\n")
     for wrong in ({}, {"key": "a", "url": "b"}, {"url": ""}):
         with pytest.raises(ValueError):
