@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.runtime import materialise
+
 DEFAULT_THRESHOLD = 1000
 #: A list of keys up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 64 << 20
@@ -32,7 +34,8 @@ def excessive_remove(captures: DataFrame, keys: DataFrame, key: str = "surt") ->
     list is broadcast if it is small.  A longer list is joined by shuffle, where its keys
     cannot hold much each, and adaptive execution splits what is left of skew.
     """
-    listed = keys.select(F.col("surt").alias("hg_key")).where("hg_key is not null").distinct()
+    # Stored: its size is asked for before it is joined, and finding it may have taken a count of everything.
+    listed = materialise(keys.select(F.col("surt").alias("hg_key")).where("hg_key is not null").distinct(), "listed")
     size = listed.limit(BROADCAST_KEYS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("hg_key")).alias("b")).first()
     if size.n <= BROADCAST_KEYS and (size.b or 0) <= BROADCAST_BYTES:
         listed = F.broadcast(listed)

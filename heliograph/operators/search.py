@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import timestamps
@@ -102,14 +102,16 @@ def search(
     from_ts: str | None = None,
     to_ts: str | None = None,
     filters: list[str] | None = None,
+    where: Column | None = None,
     sort: bool = False,
     dedupe: bool = False,
     limit: int | None = None,
 ) -> DataFrame:
-    """Captures of a key, restricted by inclusive time bounds and field rules.
+    """Captures of a key, restricted by inclusive time bounds, field rules and a condition.
 
     Arguments are checked at once.  With any restriction a capture must have a payload;
-    with field rules the payload must be a JSON object.  Order of application: filter,
+    with field rules the payload must be a JSON object.  ``where`` is
+    any condition on the captures' columns.  Order of application: filter,
     first per (surt, ts), sort, limit.  ``limit`` 0 or None means all; with a limit and no
     ``sort`` the first rows in source order come out.
     """
@@ -118,7 +120,7 @@ def search(
     rules = field_predicate(filters or [])
     if period is not None or rules is not None:
         found = found.where("json is not null")
-    for condition in (period, rules):
+    for condition in (period, rules, where):
         if condition is not None:
             found = found.where(condition)
     if dedupe:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from heliograph.runtime import delete_path, scratch_path
 
 
-def write_lines(lines: DataFrame, path: str, column: str = "value") -> None:
+def write_lines(lines: DataFrame, path: str, column: str = "value", compression: str = "none") -> None:
     """A folder of text files, in the order of the frame."""
-    lines.select(F.coalesce(column, F.lit("")).alias("value")).write.mode("overwrite").text(path)
+    lines.select(F.coalesce(column, F.lit("")).alias("value")).write.mode("overwrite").text(path, compression=compression)
 
 
 def write_one_file(lines: DataFrame, path: str, column: str = "value") -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import patterns, timestamps
 from heliograph.functions.cdxj import field_text, format_line, sort_key, split_line, surt_of_line
 from heliograph.functions.surt import surt_parts, url_to_surt
+from heliograph.functions.cdxj import payload_is_object
 from heliograph.operators.search import FieldRule, first_per_capture, match_key, search, sort_captures
 
 LINES = [
@@ -150,3 +151,11 @@ def test_pushdown(spark, tmp_path):
     spark.createDataFrame([("a", "1"), ("b", "2")], "surt string, ts string").write.parquet(str(tmp_path / "t"))
     plan = search(spark.read.parquet(str(tmp_path / "t")), "a", "prefix")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(surt,a)" in plan
+
+
+def test_payloads_that_are_exactly_one_object(spark):
+    good = ['{"a":1}', ' {"a":[1,2]} ', '{"a":1,"a":2}', "{}", '{"a":"]}"}', '{"a":{"b":[]}}']
+    bad = ['{"a":1},', '{"a":1}}', '{"a":1}]', '{"a":1}]}', '{"a":1} x', '{"a":1},{"b":2}', '{"a":1},"b":2', "{'a':1}", '{"a":NaN}', "[1]", "", None, '{"a":1']
+    rows = [(x, True) for x in good] + [(x, False) for x in bad]
+    df = spark.createDataFrame(rows, "j string, want boolean")
+    assert df.where(payload_is_object(F.col("j")) != F.col("want")).select("j").collect() == []
