@@ -1,8 +1,10 @@
 """Payload fields: adding, and extracting.
 
 Rewriting a payload has to keep the order and the types of its members, which no
-built-in function does, so both go through Python's JSON in Arrow batches.  Reading
-scalars (``field_column``) stays in the JVM.
+built-in function does.  Constant fields are appended to the text of a payload in the
+JVM where that gives what writing it anew would give, which is nearly always; only the
+other payloads, and those a function changes, go through Python's JSON in Arrow batches.
+Reading scalars (``field_column``) stays in the JVM.
 """
 
 from __future__ import annotations
@@ -10,12 +12,13 @@ from __future__ import annotations
 import importlib.util
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions.cdxj import field_path
+from heliograph.functions.cdxj import field_path, payload_is_object
 
 RowFunction = Callable[[str, str, dict], dict]
 
@@ -92,10 +95,47 @@ def add_fields(lines: DataFrame, fields: dict[str, str] | None = None, function:
             yield batch.append_column("added", pa.array([x for _, x in done], pa.bool_()))
 
     lines = lines.drop("added")
+    if fields:
+        return _with_constants(lines, fields, change, column)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields)
     return lines.mapInArrow(run, schema + ", added boolean")
 
 
+def _with_constants(lines: DataFrame, fields: dict[str, str], change: Callable[[str], tuple[str, bool]], column: str) -> DataFrame:
+    """Lines with the fields appended in the JVM, or changed by Python where that would differ."""
+    spliced = _spliced(F.col(column), fields)
+
+    @F.arrow_udf("struct<line:string,added:boolean>")
+    def changed(texts: pa.Array) -> pa.Array:
+        done = [change(x) if x else (x, False) for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.bool_())], names=["line", "added"])
+
+    rows = lines.withColumn("hg_spliced", spliced)
+    rows = rows.withColumn("hg_changed", changed(F.when(F.col("hg_spliced").isNull(), F.col(column))))
+    line, added = F.coalesce("hg_spliced", "hg_changed.line"), F.col("hg_spliced").isNotNull() | F.col("hg_changed.added")
+    return rows.select(*(line.alias(column) if c == column else F.col(f"`{c}`") for c in lines.columns), F.coalesce(added, F.lit(False)).alias("added"))
+
+
+#: What Python's JSON would write in another way: escapes, fractions, exponents, minus zero.
+REWRITTEN = r"[:,\[]-?[0-9]*[.eE]|[:,\[]-0"
+
+
+def _spliced(line: F.Column, fields: dict[str, str]) -> F.Column:
+    """The line with the fields at the end of its payload; null unless that is known to be what
+    writing the payload anew gives: it is one object, has members but none of these fields,
+    and nothing in it is written otherwise than Python's JSON writes it, white space
+    between its tokens apart."""
+    parts = F.split(line, " ", 3)
+    payload = F.get(parts, F.lit(2))
+    # Without escapes a string ends at the next quote, so white space outside of strings is found.
+    tight = F.regexp_replace(payload, r'("[^"]*")|\s+', "$1")
+    fresh = reduce(lambda a, b: a & b, (~payload.contains(json.dumps(k, ensure_ascii=False)) for k in fields))
+    plain = payload_is_object(payload) & ~payload.contains("\\") & ~tight.rlike(REWRITTEN) & tight.startswith("{") & tight.endswith("}") & (F.length(tight) > 2) & fresh
+    one = F.size(F.json_object_keys(payload)) == F.size(F.array_distinct(F.json_object_keys(payload)))
+    tail = json.dumps(fields, ensure_ascii=False, separators=(",", ":"))[1:]
+    return F.when(plain & one, F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.get(parts, F.lit(1)), F.lit(" "), F.substring(tight, F.lit(1), F.length(tight) - 1), F.lit("," + tail)))
+
+
 def extracted(payload: dict | None, field: str, raw: bool = False, default: str = "") -> str:
     """A field as JSON, or ``raw`` as text; a missing one gives the default, null is ``null``."""
     if payload is None or field not in payload:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heliograph.functions.cdxj import with_parts
 from heliograph.operators import blocklist, excess, merge, pathindex, payload, reports
 from heliograph.operators.blocklist import Blocklist, apply_blocklist
+from heliograph.operators.payload import _spliced, add_fields, parse_line, write_line
 
 
 def lines_of(df):
@@ -203,3 +204,23 @@ def test_reports(captures):
     assert tuple(reports.validation(df).first()) == (4, 3, 3, 3)
     assert reports.percent(1, 3) == 33.3 and reports.percent(1, 0) == 0.0
     assert with_parts(df.select("value")).columns == ["value", "surt", "ts", "json"]
+
+
+def test_spliced_fields_are_what_writing_anew_gives(spark):
+    payloads = [
+        '{"a":1}', '{ "a" : "x  y: z, {1}" , "b":[1, 2,{"c": null}]}', '{"collection":"x","a":1}', '{"a":{"collection":1}}', "{}", '{"a":1.50}', '{"a":-0}', '{"a":1e3}', '{"a":"\\u00e9\\/"}',
+        '{"a":1,"a":2}', '{"a":1},', '{"a":1}]', "[1]", "x", "", '{"a":"é☃"}', '{"a": true, "b": false}', '{"t":"10:05.3"}', '{"a":12345678901234567890123}', '\xa0{"a":1}', '{"a":"1\u2003 2"}', '{"a":1 }', '{"a":"b"\u2003}',
+    ]
+    lines = [f"k)/ 2020 {p}" for p in payloads] + ["k)/ 2020", "k", "", None, 'k)/  {"a":1}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    for fields in ({"collection": "demo"}, {"n": 'quote " and \\', "é": "ü"}):
+        def anew(line):
+            try:
+                surt, ts, payload = parse_line(line)
+                return write_line(surt, ts, (payload or {}) | fields), True
+            except ValueError:
+                return line, False
+
+        want = [anew(x) if x else (x, False) for x in lines]
+        assert [(r.value, r.added) for r in add_fields(df, fields).orderBy("i").collect()] == want
+        assert df.where(_spliced(F.col("value"), fields).isNotNull()).count() >= 8
