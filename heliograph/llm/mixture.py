@@ -5,22 +5,38 @@ Its quota of tokens is so many whole passes over its blocks and a part of one mo
 The block uses of all sources are shared out among output shards by a tree: each
 node draws its left half's exact composition from a multivariate hypergeometric
 distribution, so every shard is a random sample of the mixture and the parts add
-up to the quotas.  Shards draw disjoint runs of permuted blocks and are shuffled
-locally.  The driver sees a row per source and block, never documents.
+up to the quotas.  A shard draws a run of each source's permuted blocks, disjoint from
+those of all others, and is shuffled locally.  There are as many shards as the mixture's
+tokens ask for, and so many blocks that each shard gets many of every source.
+
+The driver sees, per source, one row of sums for each of a fixed number of cells of its
+order, and holds where each shard begins in each source; never documents or blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.runtime import materialise, trimmed_lower
 
+#: Cells of a source's order in which its quota's end is looked for, level by level.
 BLOCK_BITS = 9
-#: A part of a block that holds at most so many documents is looked at one by one.
+#: A cell that holds at most so many documents is looked at one by one.
 FEW = 4096
 ORDER_BITS = 63
+#: Tokens of a shard, which one task shuffles: some 200 MB of text.
+SHARD_TOKENS = 50_000_000
+#: Block uses a shard gets of each source, about.
+BLOCKS_IN_SHARD = 64
+#: The plan has 8 bytes per shard and source and is broadcast; beyond this, shards grow.
+PLAN_BYTES = 256 << 20
+#: numpy draws from populations below 1e9.
+MOST_BLOCKS = 900_000_000
 
 
 def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, float]:
@@ -46,19 +62,31 @@ def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dic
 
 
 def split(composition: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Exact numbers of block uses per shard and source (rows: shards)."""
+    """Exact numbers of block uses per shard and source (rows: shards).
+
+    The tree is walked level by level, all nodes of a level at once; a node's multivariate
+    draw is a row of hypergeometric draws, source by source, of what is left.
+    """
     result = np.zeros((shards, len(composition)), np.int64)
-    nodes = [(0, shards, composition.astype(np.int64))]
-    while nodes:
-        first, count, have = nodes.pop()
-        if count == 1:
-            result[first] = have
-            continue
-        half = count // 2
-        draws = int(round(int(have.sum()) * half / count))
-        rng = np.random.default_rng([seed, first, count])
-        part = rng.multivariate_hypergeometric(have, draws, method="marginals") if have.sum() else have
-        nodes += [(first, half, part), (first + half, count - half, have - part)]
+    first, count, have = np.zeros(1, np.int64), np.array([shards]), composition.astype(np.int64)[None, :]
+    level = 0
+    while len(first):
+        leaf = count == 1
+        result[first[leaf]] = have[leaf]
+        first, count, have = first[~leaf], count[~leaf], have[~leaf]
+        if not len(first):
+            break
+        rng = np.random.default_rng([seed, level])
+        half, total = count // 2, have.sum(axis=1)
+        draws = np.rint(total * (half / count)).astype(np.int64)
+        part = np.zeros_like(have)
+        for s in range(have.shape[1] - 1):
+            total = total - have[:, s]
+            part[:, s] = rng.hypergeometric(have[:, s], total, draws)
+            draws = draws - part[:, s]
+        part[:, -1] = draws
+        first, count, have = np.concatenate([first, first + half]), np.concatenate([half, count - half]), np.concatenate([part, have - part])
+        level += 1
     return result
 
 
@@ -69,7 +97,8 @@ class Mixture:
     Sources compare after trimming and lower-casing; rows of targets that name one source
     add their shares and keep the larger number of repeats.  Documents of other sources,
     of a null source, and without tokens are not used.  Repeated rows are documents of
-    their own with the same fate.
+    their own with the same fate.  A source whose documents are fewer than its blocks leaves
+    some shards without it.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", tokens_col: str = "n_tokens", shards: int | None = None, seed: int = 0):
@@ -91,9 +120,9 @@ class Mixture:
         self.quota = quotas(self.tokens, self.targets)
         self.passes = {s: min(self.targets[s][1], int(q // self.tokens[s])) if self.tokens[s] else 0 for s, q in self.quota.items()}
         self.threshold = self._thresholds()
-        total = sum(self.quota.values())
-        self.shards = shards or int(min(4096, max(8, total // 50_000_000)))
-        self.plan = spark.createDataFrame(self._assign(), "source string, block int, use int, last long, shard int")
+        self.names = sorted(self.targets)
+        most = PLAN_BYTES // (8 * max(1, len(self.names)))
+        self.shards = shards or int(min(most, max(8, -(-sum(self.quota.values()) // SHARD_TOKENS))))
 
     def _thresholds(self) -> dict[str, int]:
         """The place in a source's order up to which documents serve once more."""
@@ -117,7 +146,8 @@ class Mixture:
             counts = {r.source: r["n"] for r in inside.groupBy("source").agg(F.count("*").alias("n")).collect()}
             few = [s for s in cut if counts[s] <= FEW or bits + BLOCK_BITS > ORDER_BITS]
             if few:
-                rows = inside.where(F.col("source").isin(*few)).select("source", "order", "tokens").orderBy("source", "order").collect()
+                # Documents of one place are one row: FEW a source at most, or one where the places are at an end.
+                rows = inside.where(F.col("source").isin(*few)).groupBy("source", "order").agg(F.sum("tokens").alias("tokens")).orderBy("source", "order").collect()
                 for s in few:
                     found[s] = _nearest([(r.order, r.tokens) for r in rows if r.source == s], rest.pop(s), (cut[s] << ORDER_BITS - bits) - 1)
                     cut.pop(s)
@@ -130,31 +160,57 @@ class Mixture:
                 sums[r.source][r.b] = r.t
         return found
 
-    def _assign(self) -> list[tuple[str, int, int, int, int]]:
-        """Which shard gets which block use: at most blocks times uses rows a source."""
-        everything = (1 << ORDER_BITS) - 1
-        names, uses = sorted(self.targets), {}
-        for i, s in enumerate(names):
-            uses[s] = []
-            for use in range(1, self.passes[s] + 2):
-                last = everything if use <= self.passes[s] else self.threshold.get(s, -1)
-                held = [b for b in sorted(self.blocks[s]) if b <= last >> ORDER_BITS - BLOCK_BITS]
-                order = np.random.default_rng([self.seed, i, use]).permutation(len(held))
-                uses[s] += [(s, held[j], use, last) for j in order]
-        parts = split(np.array([len(uses[s]) for s in names]), self.shards, self.seed)
-        rows = []
-        for i, s in enumerate(names):
-            shard_of = np.repeat(np.arange(self.shards), parts[:, i])
-            rows += [(*use, int(shard)) for use, shard in zip(uses[s], shard_of)]
-        return rows
+    def _plan(self) -> tuple[dict[str, int], dict[str, np.ndarray]]:
+        """Per source: bits of its blocks, and where each shard's run of block uses ends."""
+        bits, uses = {}, []
+        each = min(BLOCKS_IN_SHARD, max(1, MOST_BLOCKS // (self.shards * max(1, len(self.names)))))
+        for s in self.names:
+            quota, held = self.quota[s], max(1, self.tokens[s])
+            # So many blocks a pass that the uses of all passes are about ``each`` a shard.
+            wanted = each * self.shards * held / max(quota, 1)
+            bits[s] = int(np.clip(np.ceil(np.log2(max(wanted, 1))), 0, 40))
+            last = self.threshold.get(s, -1)
+            part = (last >> ORDER_BITS - bits[s]) + 1 if last >= 0 else 0
+            uses.append(self.passes[s] * (1 << bits[s]) + part if quota else 0)
+        total = sum(uses)
+        while total > MOST_BLOCKS:  # a source used hardly at all has few of many blocks; halve all
+            bits = {s: max(0, b - 1) for s, b in bits.items()}
+            uses = [-(-n // 2) for n in uses]
+            total = sum(uses)
+        ends = np.cumsum(split(np.array(uses, np.int64), self.shards, self.seed), axis=0) if self.names else np.zeros((self.shards, 0), np.int64)
+        return bits, {s: np.ascontiguousarray(ends[:, i]) for i, s in enumerate(self.names)}
+
+    def _used(self) -> DataFrame:
+        """``documents`` with ``n_uses``: the whole passes, and one more up to the threshold."""
+        passes, last = (F.create_map(*(x for s in self.names for x in (F.lit(s), F.lit(of(s))))) for of in (lambda s: self.passes[s], lambda s: self.threshold.get(s, -1)))
+        if not self.names:
+            return self.documents.limit(0).withColumn("n_uses", F.lit(0))
+        more = (F.col("order") <= last[F.col("source")]).cast("int")
+        return self.documents.withColumn("n_uses", passes[F.col("source")] + more).where("n_uses > 0")
 
     def draws(self) -> DataFrame:
         """Every use of every document: ``id, source, tokens, use, shard``.
 
-        The plan is bounded by sources, blocks and repeats, so it is broadcast.
+        Nothing is shuffled: a task looks up where a document's block lies in the plan.
         """
-        drawn = self.documents.join(F.broadcast(self.plan), ["source", "block"]).where(F.col("order") <= F.col("last"))
-        return drawn.select(F.col("id").alias(self.id_col), "source", "tokens", "use", "shard")
+        bits, ends = self._plan()
+        plan = self.documents.sparkSession.sparkContext.broadcast((bits, ends))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, ends = plan.value
+            for batch in batches:
+                order, use = batch["order"].to_numpy(), batch["use"].to_numpy().astype(np.int64)
+                coded = batch["source"].dictionary_encode()
+                which, shard = coded.indices.to_numpy(zero_copy_only=False), np.zeros(len(order), np.int32)
+                for i, s in enumerate(coded.dictionary.to_pylist()):
+                    mine = which == i
+                    block = (use[mine] - 1) * (1 << bits[s]) + (order[mine] >> ORDER_BITS - bits[s] if bits[s] else 0)
+                    shard[mine] = np.minimum(np.searchsorted(ends[s], block, "right"), len(ends[s]) - 1)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "source", "tokens", "use")), pa.array(shard)], names=["id", "source", "tokens", "use", "shard"])
+
+        uses = self._used().select("id", "source", "tokens", "order", F.explode(F.sequence(F.lit(1), "n_uses")).alias("use"))
+        kind = self.documents.schema["id"].dataType.simpleString()
+        return uses.mapInArrow(place, f"id {kind}, source string, tokens long, use int, shard int").withColumnRenamed("id", self.id_col)
 
     def shuffled(self) -> DataFrame:
         """The draws, each shard in one partition and in random order."""
@@ -162,25 +218,19 @@ class Mixture:
         return self.draws().withColumn("key", key).repartition("shard").sortWithinPartitions("shard", "key").drop("key")
 
     def uses(self) -> DataFrame:
-        """``id, source, n_uses`` of every document that is used."""
-        return self.draws().groupBy(self.id_col, "source").agg(F.count("*").alias("n_uses"))
+        """``id, source, n_uses`` of every document that is used; repeated rows of an id add up."""
+        return self._used().groupBy(F.col("id").alias(self.id_col), "source").agg(F.sum("n_uses").alias("n_uses"))
 
     def shares(self) -> DataFrame:
         """Per target source: what was wanted, what it holds, and its actual share."""
         rows = [(s, share, repeats, self.tokens[s], int(round(self.quota[s]))) for s, (share, repeats) in sorted(self.targets.items())]
         wanted = self.documents.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats int, held_tokens long, quota_tokens long")
-        drawn = self.draws().groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_uses"), F.max("use").alias("most_uses"))
+        drawn = self._used().groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_uses")).alias("tokens"), F.sum("n_uses").alias("n_uses"), F.max("n_uses").alias("most_uses"))
         both = wanted.join(drawn, "source", "left").fillna(0, ["tokens", "n_uses", "most_uses"])
-        whole = F.sum("tokens").over(_all())
+        whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # a row per source
         return both.withColumn("actual_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0)))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))  # a row per source
-
-
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -139,6 +139,39 @@ def p9_shuffled(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shuffled()
 
 
+_P9_QUOTAS = """
+with held as (select trim(lower(source), ' ') as source, sum(length(text)) as held from documents where text is not null group by 1
+), wanted as (select trim(lower(source), ' ') as source, sum(target_share) as weight, max(max_repeats) as repeats from mix_targets where source is not null group by 1
+), caps as (select w.source, weight, repeats, coalesce(held, 0) as held, coalesce(held, 0) * repeats as cap from wanted w left join held h using (source)
+), open as (select *, row_number() over (order by cap / weight, source) as k, (select sum(held) from caps) as whole from caps where weight > 0
+), levels as (
+  -- Sources fill up in order of cap by weight; what is left then is shared by weight.
+  select *, (whole - coalesce(sum(cap) over before, 0)) / (sum(weight) over after) as level from open
+  window before as (order by k rows between unbounded preceding and 1 preceding), after as (order by k rows between current row and unbounded following)
+), last as (select arg_min(level, k) filter (where cap > level * weight) as level from levels)
+select source, repeats as max_repeats, cast(held as bigint) as held, cast(round(coalesce(least(cap, (select level from last) * weight), cap)) as bigint) as quota
+from caps
+"""
+
+
+@query("p9_quotas", _P9_QUOTAS)
+def p9_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """What each source has to give if sizes are counted in characters, which SQL can count."""
+    documents = table(spark, d, "documents").withColumn("n_tokens", F.length("text"))
+    shares = mixture.Mixture(documents, table(spark, d, "mix_targets")).shares()
+    return shares.select("source", "max_repeats", F.col("held_tokens").alias("held"), F.col("quota_tokens").alias("quota"))
+
+
+@query("p9_kept", _P9_QUOTAS.replace("select source, repeats as", "select source, true as in_quota, true as in_cap, repeats as").split(", repeats as max_repeats, cast(held")[0] + " from caps")
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every source's drawn tokens are its quota, up to its longest document, within its cap."""
+    m = _mixture(spark, d)
+    longest = m.documents.groupBy("source").agg(F.max("tokens").alias("longest"))
+    both = m.shares().join(longest, "source", "left")
+    near = F.abs(F.col("tokens") - F.col("quota_tokens")) <= F.coalesce("longest", F.lit(0)) + 1
+    return both.select("source", near.alias("in_quota"), (F.col("most_uses") <= F.col("max_repeats")).alias("in_cap"))
+
+
 # ---------------------------------------------------------------- p10
 
 

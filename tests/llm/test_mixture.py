@@ -77,3 +77,41 @@ def test_same_seed_same_mixture(spark):
     one, two, three = (mix(spark, docs, [("a", 0.3, 1), ("b", 0.7, 3)], seed=s) for s in (1, 1, 2))
     rows = lambda m: sorted(map(tuple, m.draws().collect()))
     assert rows(one) == rows(two) != rows(three)
+
+
+def test_every_shard_is_a_sample_of_the_mixture(spark):
+    docs = [("big", 10)] * 40_000 + [("mid", 20)] * 10_000 + [("tiny", 10)] * 3000
+    m = mix(spark, docs, [("big", 0.5, 1), ("mid", 0.4, 3), ("tiny", 0.1, 2)], shards=20)
+    shards = m.draws().groupBy("shard").pivot("source").agg(F.sum("tokens")).fillna(0).collect()
+    assert len(shards) == 20
+    shares = {r.source: r.tokens for r in m.shares().collect()}
+    for r in shards:
+        for s, whole in shares.items():
+            assert 0.5 < r[s] / (whole / 20) < 1.6, (s, r)
+
+
+def test_more_shards_than_documents_of_a_source(spark):
+    docs = [("a", 10)] * 3000 + [("b", 10)] * 40
+    m = mix(spark, docs, [("a", 0.6, 1), ("b", 0.4, 30)], shards=5000)
+    draws = m.draws().collect()
+    assert len(draws) == m.uses().agg(F.sum("n_uses")).first()[0] and {r.shard for r in draws} <= set(range(5000))
+    assert len({r.shard for r in draws}) > 1500
+    # Uses of a document are spread.
+    by_doc = {}
+    for r in draws:
+        by_doc.setdefault(r.doc_id, []).append(r.shard)
+    again = [x for x in by_doc.values() if len(x) > 5]
+    assert again and sum(len(set(x)) == len(x) for x in again) > 0.8 * len(again)
+
+
+def test_large_splits_are_exact_and_even():
+    parts = split(np.array([64 * 100_000, 64 * 100_000, 1000]), 100_000, 3)
+    assert parts.sum(axis=0).tolist() == [6_400_000, 6_400_000, 1000] and parts.min() >= 0
+    assert abs(parts[:, 0].std() - np.sqrt(32)) < 1  # half of 128 draws each
+
+
+def test_one_id_repeated_does_not_fill_the_driver(spark, monkeypatch):
+    monkeypatch.setattr("heliograph.llm.mixture.FEW", 10)
+    d = spark.range(50_000).selectExpr("7L as doc_id", "'a' as source", "1 as n_tokens").unionByName(spark.range(100).selectExpr("id + 100 as doc_id", "'b' as source", "1000 as n_tokens"))
+    m = Mixture(d, spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 2)], "source string, target_share double, max_repeats int"))
+    assert m.passes["a"] == 0 and {r.n_uses for r in m.uses().where("source = 'a'").collect()} <= {50_000}
