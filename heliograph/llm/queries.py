@@ -113,15 +113,15 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Every text encoded and decoded again."""
     tokenizer = tokens.Tokenizer()
     encoded = tokens.encode_documents(table(spark, d, "documents").select("doc_id", "text"), tokenizer)
-    return encoded.select("doc_id", tokenizer.decode(F.col("ids")).alias("text"))
+    return tokenizer.decode(encoded).select("doc_id", "text")
 
 
 # ---------------------------------------------------------------- p9
 
 
 def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
-    documents = tokens.encode_documents(table(spark, d, "documents").select("doc_id", "source", "text"))
-    return mixture.Mixture(documents.withColumn("n_tokens", F.size("ids")), table(spark, d, "mix_targets"))
+    documents = tokens.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return mixture.Mixture(documents, table(spark, d, "mix_targets"))
 
 
 @query("p9_uses")

@@ -2,7 +2,6 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from heliograph.llm import tokens
 
@@ -12,6 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(os.path.join(FOLDER, "byte_bp
 TEXTS = [
     None, "", " ", "it's", "we'Ll 12345678 ½ ⅷ ٣٤", "x  y\n\n z\t\t", "   hi \x1c\x1d there\u0085x", "<|endoftext|> ok", "日本語のテキスト" * 40, "👨‍👩‍👧👍🏽",
     "\r\n\r\n", "é̈", "ﬁ ﷽ \U0001f600\U00020000", "a" * 2000, "ab" * 300, "-" * 1000, "word " * 500,
+    "a" * 256, "ab" * 128 + "c", "x " + "日本" * 43 + " y", "文字" * 30_000, "".join(chr(97 + i * i % 23) for i in range(100_000)),
 ]
 
 
@@ -33,7 +33,7 @@ def test_ids(spark, expected, learn):
     if learn:
         encoded = tokens.encode_documents(df)
     else:
-        encoded = df.withColumn("ids", tokens.Tokenizer().encode(F.col("text")))
+        encoded = tokens.Tokenizer().encode(df)
     got = {r.doc_id: r.ids for r in encoded.collect()}
     assert [i for i, t in enumerate(texts) if got[i] != expected(t)] == []
 
@@ -56,6 +56,34 @@ def test_other_vocabulary(spark):
 def test_round_trip_and_empty(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id int, text string")
     t = tokens.Tokenizer()
-    got = {r.doc_id: r.back for r in tokens.encode_documents(df, t).select("doc_id", t.decode(F.col("ids")).alias("back")).collect()}
+    got = {r.doc_id: r.back for r in t.decode(tokens.encode_documents(df, t).select("doc_id", "ids"), text_col="back").collect()}
     assert [i for i, x in enumerate(TEXTS) if got[i] != (x or "")] == []
     assert tokens.encode_documents(df.limit(0)).count() == 0
+
+
+def test_counts(spark, expected):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id int, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()}
+    assert [i for i, t in enumerate(TEXTS) if got[i] != len(expected(t))] == []
+
+
+def test_heap_merges_are_the_fold(expected):
+    rng = random.Random(9)
+    ranks = {bytes.fromhex(k): r for k, r in tokens.Tokenizer().ranks.items()}
+    for size in (1, 2, 3, 10, 300):
+        for _ in range(200):
+            word = "".join(rng.choice("abcdeé") for _ in range(size))
+            assert tokens.merged_ids(word.encode(), ranks) == expected(word)
+
+
+def test_long_words_cost_no_square():
+    import time
+
+    ranks = {bytes.fromhex(k): r for k, r in tokens.Tokenizer().ranks.items()}
+    spent = []
+    for size in (50_000, 400_000):
+        word = bytes(97 + i * i * 7 % 23 for i in range(size))
+        start = time.perf_counter()
+        tokens.merged_ids(word, ranks)
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 30 * spent[0]
