@@ -16,11 +16,10 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,10 +60,11 @@ LONGEST_PREFIX = 32
 LONGEST_RUN, LONGEST_DENSE_RUN = 24, 80
 #: A shorter text without a sentence's end is a few words, not a cut sentence.
 FEW_WORDS = 6
-#: Tokens a task looks at together, and letters of a piece of a long text.
-TOKENS_AT_ONCE, PIECE = 300_000, 1 << 20
-#: Bits of the filter of hashes that are looked up: 16 MB, whatever the corpus.
-FILTER_BITS = 27
+#: Letters a task looks at together, and letters of a piece of a long text.
+LETTERS_AT_ONCE, PIECE = 1 << 20, 1 << 20
+#: Bits of the filter of hashes that are looked up, FILTER_SHARE for each: 128 KB to 256 MB.
+#: Beyond some 1e8 lookups it lets more and more through, which costs time and changes no result.
+FEWEST_BITS, MOST_BITS, FILTER_SHARE = 20, 31, 16
 BLOCK_BITS = 15  # of Spark's bitmap functions
 #: Letters two texts must share to be compared as wholes.
 COPY_KEY = 16
@@ -91,18 +91,115 @@ def _mix(a: np.ndarray, b) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def tokens_of(text: str) -> list[str]:
-    """Lower-cased tokens; every number is the token 0, markup and entities are resolved,
-    and letters are composed with their accents."""
+def _clean(text: str) -> str:
+    """Lower-cased, with markup and entities resolved and letters composed with their accents."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = MARKUP.sub(" ", text)
-    return TOKEN.findall(NUMBER.sub("0", unicodedata.normalize("NFC", text.lower())))
+    return unicodedata.normalize("NFC", text.lower())
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of a text, cleaned; every number is the token 0."""
+    return TOKEN.findall(NUMBER.sub("0", _clean(text)))
+
+
+#: Base of the polynomial hash of a word over its letters, and its inverse modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def _letter(code):
+    """A number without pattern for a letter; of one code point or an array of them."""
+    if isinstance(code, int):
+        return _mix_one(code, 0xD6E8FEB86659FD93)
+    return _mix(code.astype(np.uint64), 0xD6E8FEB86659FD93)
+
+
+def _sealed(total, length):
+    """The hash of so many letters from their polynomial's value."""
+    return _mix_one(total, length) if isinstance(total, int) else _mix(total, length.astype(np.uint64))
+
+
+@lru_cache(maxsize=100_000)
 def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+    total, power = 0, 1
+    for c in word:
+        total, power = total + _letter(ord(c)) * power & FULL, power * BASE & FULL
+    return _sealed(total, len(word))
+
+
+OTHER, WORD, DENSE_LETTER, JOINER, END, DIGIT, UNKNOWN = range(7)
+
+
+class Letters:
+    """Classes of letters as ``TOKEN`` has them, looked up once for each that occurs."""
+
+    def __init__(self) -> None:
+        self.classes = np.full(0x110000, UNKNOWN, np.uint8)
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        found = self.classes[codes]
+        new = codes[found == UNKNOWN]
+        if len(new):
+            for c in set(new.tolist()):
+                self.classes[c] = self._class(chr(c))
+            found = self.classes[codes]
+        return found
+
+    @staticmethod
+    def _class(c: str) -> int:
+        if DENSE_ONE.match(c):
+            return DENSE_LETTER
+        if NUMBER.match(c):
+            return DIGIT
+        if c.isalnum():
+            return WORD
+        return JOINER if c in "'’-" else END if c in ENDS + "…" else OTHER
+
+    def scale(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse, from 0 to n."""
+        if len(self.powers) <= n:
+            with np.errstate(over="ignore"):
+                self.powers, self.inverses = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + n // 2, b, np.uint64))]) for b in (BASE, INVERSE))
+        return self.powers, self.inverses
+
+
+class Tokens:
+    """The tokens of many cleaned texts as arrays; the same tokens that ``tokens_of`` gives."""
+
+    def __init__(self, letters: Letters, texts: list[str]):
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(codes)]
+        kind = letters.of(codes)
+        # A run of digits is one 0.
+        digit = kind == DIGIT
+        keep = ~(digit & np.append(False, digit[:-1]))
+        codes, kind, text_of = np.where(digit, np.uint32(48), codes)[keep], np.where(digit, WORD, kind)[keep], text_of[keep]
+        word = kind == WORD
+        joined = (kind == JOINER) & np.append(False, word[:-1]) & np.append(word[1:], False)
+        word |= joined
+        single = (kind == DENSE_LETTER) | (kind == END)
+        first = word & ~np.append(False, word[:-1])
+        self.start = np.flatnonzero(first | single)
+        stop = self.start + 1
+        stop[word[self.start]] = np.flatnonzero(word & ~np.append(word[1:], False)) + 1
+        self.size = stop - self.start
+        self.ends, self.dense = kind[self.start] == END, kind[self.start] == DENSE_LETTER
+        self.text = text_of[self.start]
+        self.place = np.arange(len(self.start)) - np.searchsorted(self.text, self.text)
+        powers, self.inverses = letters.scale(len(codes))
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_letter(codes) * powers[: len(codes)])])
+        self.hashes = self.prefix(np.arange(len(self.start)), self.size)
+
+    def prefix(self, token: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``size`` letters of tokens."""
+        at = self.start[token]
+        with np.errstate(over="ignore"):
+            return _sealed((self.sums[at + size] - self.sums[at]) * self.inverses[at], size)
 
 
 def _unfinished(end: str) -> bool:
@@ -155,11 +252,11 @@ class Tail:
         self.dense = bool(self.tokens) and bool(DENSE_ONE.match(self.tokens[-1]))
 
 
-def _window_keys(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Key of the n tokens up to each place; places too near the start give rubbish."""
-    key = np.full(len(hashes), np.uint64(n))
+def _windows_at(hashes: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    """Key of the n tokens up to each of some places."""
+    key = np.full(len(where), np.uint64(n))
     for back in range(n - 1, -1, -1):
-        key = _mix(key, np.roll(hashes, back))
+        key = _mix(key, hashes[where - back])
     return key
 
 
@@ -211,70 +308,55 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TAILS = "doc_id {id}, source string, key long, kind string, n int, chars long, mark boolean, broken boolean, few boolean, signed boolean, n_tokens long"
 
 
-class _Words:
-    """Hashes of words and of their prefixes, kept while a task runs."""
-
-    def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.ends: list[bool] = []
-        self.dense: list[bool] = []
-        self.prefixes: list[int] = []  # of all words, one after the other
-        self.first: list[int] = []
-        self.sizes: list[int] = []
-
-    def number(self, word: str) -> int:
-        k = self.numbers.get(word)
-        if k is None:
-            k = self.numbers[word] = len(self.hashes)
-            self.hashes.append(_word_hash(word))
-            self.ends.append(word in ENDS or word == "…")
-            self.dense.append(bool(DENSE_ONE.match(word)))
-            self.first.append(len(self.prefixes))
-            self.prefixes += [_word_hash(word[:i]) for i in range(min(len(word) - 1, LONGEST_PREFIX) + 1)]
-            self.sizes.append(len(self.prefixes) - self.first[-1])
-        return k
-
-    def trim(self) -> None:
-        if len(self.hashes) > 500_000:
-            self.__init__()
-
-
 def _count_windows(mask: np.ndarray):
     """Counts, of all windows and word prefixes that pass the filter, those followed by
     more words (``more``) and by a sentence's end (``ended``)."""
-    shift = np.uint64(64 - FILTER_BITS)
+    shift = np.uint64(64 - int(len(mask) * 8).bit_length() + 1)
 
     def wanted(keys: np.ndarray) -> np.ndarray:
         place = (keys >> shift).astype(np.int64)
         return (mask[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
-    def counted(words: _Words, numbers: list[int], starts: list[int], known: list[bool]) -> pa.RecordBatch:
-        number, place, fresh = np.array(numbers), np.array(starts), ~np.array(known)
-        hashes, ends = np.array(words.hashes, np.uint64)[number], np.array(words.ends)[number]
-        followed = np.append(place[1:] > place[:-1], False)
+    def counted(letters: Letters, texts: list[str], firsts: list[int], brought: list[int]) -> pa.RecordBatch | None:
+        t = Tokens(letters, texts)
+        if not len(t.start):
+            return None
+        hashes, ends, dense = t.hashes, t.ends, t.dense
+        fresh = t.place >= np.array(brought)[t.text]
+        place = t.place + np.array(firsts)[t.text]
+        followed = np.append(t.text[1:] == t.text[:-1], False)
         next_ends = np.append(ends[1:], False)
-        run = np.cumsum((place == 0) | np.append(False, ends[:-1]))
-        longest = np.where(np.array(words.dense)[number], LONGEST_DENSE_RUN, LONGEST_RUN)
-        marked = np.bincount(run)[run] <= longest
+        run = np.cumsum((t.place == 0) | np.append(False, ends[:-1]))
+        marked = np.bincount(run)[run] <= np.where(dense, LONGEST_DENSE_RUN, LONGEST_RUN)
         # Of tokens brought along from the piece before, only the last one's follower is new.
         told = followed & marked & (fresh | np.append(fresh[1:], False))
         keys, more = [], []
-        for n in (*WINDOWS, 1):
-            key, ok = _window_keys(hashes, n), told & (place >= n - 1)
-            ok &= wanted(key)
+
+        def looked(where: np.ndarray, n: int) -> np.ndarray:
+            """Counts the windows of n tokens that end at these places; which of them are looked for."""
+            key = _windows_at(hashes, where, n)
+            ok = wanted(key)
             keys.append(key[ok])
-            more.append(~next_ends[ok])
-        prefixes, offsets, sizes = np.array(words.prefixes, np.uint64), np.array(words.first)[number], np.array(words.sizes)[number]
+            more.append(~next_ends[where[ok]])
+            return ok
+
+        looked(np.flatnonzero(told), 1)
+        # Who looks for a window looks for its shorter ones, too, down to two tokens or, for
+        # dense scripts, to DENSE_WINDOWS: where those are not looked for, no longer one is.
+        where = np.flatnonzero(told & (place >= 1))
+        for n in sorted(WINDOWS):
+            where = where[place[where] >= n - 1]
+            where = where[looked(where, n) | dense[where]]
         for n in CONTEXTS:
-            # The word at place i, and its prefixes, after the n tokens before it.
-            ok = fresh & (place >= n)
-            ok[0] = False
-            where = np.flatnonzero(ok)
-            context = _mix(_window_keys(hashes, n)[where - 1], AFTER)
-            size = sizes[where]
+            # The word at a place, and its prefixes, after the n tokens before it; who looks for
+            # a prefix looks for the context alone, too.
+            where = np.flatnonzero(fresh & (place >= n) & (t.place >= n))
+            context = _mix(_windows_at(hashes, where - 1, n), AFTER)
+            ok = wanted(_mix(context, _word_hash("")))
+            where, context = where[ok], context[ok]
+            size = np.minimum(t.size[where] - 1, LONGEST_PREFIX) + 1
             within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            key = _mix(np.repeat(context, size), prefixes[np.repeat(offsets[where], size) + within])
+            key = _mix(np.repeat(context, size), t.prefix(np.repeat(where, size), within))
             ok = wanted(key)
             keys.append(key[ok])
             more.append(np.ones(int(ok.sum()), bool))
@@ -285,32 +367,38 @@ def _count_windows(mask: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(_signed64(unique)), pa.array(going), pa.array(total - going)], names=["key", "more", "ended"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        numbers: list[int] = []
-        starts: list[int] = []
-        known: list[bool] = []
+        letters = Letters()
+        texts: list[str] = []
+        firsts: list[int] = []
+        brought: list[int] = []
+        held = 0
         for batch in batches:
             for text in batch["text"]:
-                for first, brought, found in _pieces(text.as_py() or ""):
-                    numbers += [words.number(t) for t in found]
-                    starts += range(first, first + len(found))
-                    known += [True] * brought + [False] * (len(found) - brought)
-                    if len(numbers) >= TOKENS_AT_ONCE:
-                        yield counted(words, numbers, starts, known)
-                        numbers, starts, known = [], [], []
-                        words.trim()
-        if numbers:
-            yield counted(words, numbers, starts, known)
+                for first, before, piece in _pieces(text.as_py() or ""):
+                    texts.append(piece)
+                    firsts.append(first)
+                    brought.append(before)
+                    held += len(piece)
+                    if held >= LETTERS_AT_ONCE:
+                        if (found := counted(letters, texts, firsts, brought)) is not None:
+                            yield found
+                        texts, firsts, brought, held = [], [], [], 0
+        if texts and (found := counted(letters, texts, firsts, brought)) is not None:
+            yield found
 
     return run
 
 
-def _pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """Place of the first token, how many tokens are from the piece before, and the tokens.
+def _pieces(text: str) -> Iterator[tuple[int, int, str]]:
+    """Place of the first token, how many tokens are from the piece before, and cleaned text.
 
     A long text comes in pieces cut at blanks (or anywhere, without blanks), each with the
     last tokens of the one before, so that no window is lost at a cut.
     """
+    if len(text) <= PIECE:
+        if text:
+            yield 0, 0, _clean(text)
+        return
     at, first, before = 0, 0, []
     while at < len(text):
         end = at + PIECE
@@ -319,20 +407,21 @@ def _pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
             end = blank if blank > 0 else end
         found = tokens_of(text[at:end])
         if found:
-            yield first - len(before), len(before), before + found
+            yield first - len(before), len(before), " ".join(before + found)
             first += len(found)
             before = (before + found)[-max(WINDOWS) - 1 :]
         at = end
 
 
 def _filter(tails: DataFrame) -> np.ndarray:
-    """A bit per hash prefix that is looked up; at most 2 ** 12 rows of 4 KB come here."""
-    place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    bits = tails.where("kind <> 'text'").select(place.alias("place")).groupBy(F.shiftright("place", BLOCK_BITS).alias("block"))
-    rows = bits.agg(F.bitmap_construct_agg(F.col("place") % (1 << BLOCK_BITS)).alias("bits")).collect()
-    mask = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    """A bit per hash prefix that is looked up; at most 2 ** 16 rows of 4 KB come here."""
+    asked = tails.where("kind <> 'text'")
+    bits = int(np.clip(np.ceil(np.log2(max(asked.count(), 1) * FILTER_SHARE)), FEWEST_BITS, MOST_BITS))
+    place = F.shiftrightunsigned("key", 64 - bits)
+    rows = asked.select(place.alias("place")).groupBy(F.shiftright("place", BLOCK_BITS).alias("block"))
+    mask = np.zeros(1 << bits - 3, np.uint8)
     width = 1 << BLOCK_BITS - 3
-    for row in rows:
+    for row in rows.agg(F.bitmap_construct_agg(F.col("place") % (1 << BLOCK_BITS)).alias("bits")).toLocalIterator():
         mask[row.block * width : (row.block + 1) * width] = np.frombuffer(bytes(row.bits), np.uint8)
     return mask
 

@@ -157,7 +157,7 @@ def test_long_texts_in_pieces_count_alike(monkeypatch):
     rng = random.Random(6)
     texts = [". ".join(sentence(rng) for _ in range(40)) + "." for _ in range(6)] + ["", None, "word", "日本語の文。" * 30]
     batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 4], pa.string())], names=["text"]) for i in (0, 4, 8)]
-    everything = np.full(1 << tr.FILTER_BITS - 3, 255, np.uint8)
+    everything = np.full(1 << 17, 255, np.uint8)
 
     def counts():
         total = {}
@@ -171,6 +171,27 @@ def test_long_texts_in_pieces_count_alike(monkeypatch):
     monkeypatch.setattr(tr, "LONGEST_DENSE_RUN", 10**6)
     whole = counts()
     monkeypatch.setattr(tr, "PIECE", 120)
-    monkeypatch.setattr(tr, "TOKENS_AT_ONCE", 10**9)
+    monkeypatch.setattr(tr, "LETTERS_AT_ONCE", 10**9)
     assert counts() == whole
     assert len(whole) > 1000
+
+
+def test_token_arrays_are_the_tokens():
+    rng = random.Random(12)
+    alphabet = "ab é'’- 0٣½_.!…。日本ก\n\t&<"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(400)] + ["", "it's a well-known 12345 thing", "don’t 1-2'3 --x", "e\u0301te\u0301", "\ud800 x"]
+    clean = [tr._clean(t) for t in texts]
+    letters = tr.Letters()
+    for _ in range(2):
+        t = tr.Tokens(letters, clean)
+        want = [tr.TOKEN.findall(tr.NUMBER.sub("0", c)) for c in clean]
+        assert t.hashes.tolist() == [tr._word_hash(w) for words in want for w in words]
+        assert t.text.tolist() == [i for i, words in enumerate(want) for _ in words]
+        assert t.place.tolist() == [i for words in want for i in range(len(words))]
+        assert t.size.tolist() == [len(w) for words in want for w in words]
+        assert t.ends.tolist() == [w in tr.ENDS + "…" for words in want for w in words]
+    import numpy as np
+
+    words = [w for x in want for w in x]
+    some = np.array([i for i, w in enumerate(words) if len(w) > 3])
+    assert t.prefix(some, np.full(len(some), 3)).tolist() == [tr._word_hash(words[i][:3]) for i in some]
