@@ -20,6 +20,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -297,15 +298,15 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for key, kind, n in [(0, "text", 0), *_tail_rows(tail)]:
                 ids.append(i)
-                rows.append((key, kind, n, len(text), tail.mark, tail.broken, tail.few, tail.signed, len(tail.tokens)))
+                rows.append((key, kind, n, len(text), tail.mark, tail.broken, tail.few, tail.signed, len(tail.tokens), _body(text)[0] if kind == "text" else None))
         columns = [batch["doc_id"].take(pa.array(ids, pa.int64())), batch["source"].take(pa.array(ids, pa.int64()))]
         columns.append(pa.array(_signed64(np.array([r[0] for r in rows], np.uint64)), pa.int64()))
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.string())
         columns += [pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "key", "kind", "n", "chars", "mark", "broken", "few", "signed", "n_tokens"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "key", "kind", "n", "chars", "mark", "broken", "few", "signed", "n_tokens", "body"])
 
 
-_TAILS = "doc_id {id}, source string, key long, kind string, n int, chars long, mark boolean, broken boolean, few boolean, signed boolean, n_tokens long"
+_TAILS = "doc_id {id}, source string, key long, kind string, n int, chars long, mark boolean, broken boolean, few boolean, signed boolean, n_tokens long, body string"
 
 
 def _count_windows(mask: np.ndarray):
@@ -413,9 +414,8 @@ def _pieces(text: str) -> Iterator[tuple[int, int, str]]:
         at = end
 
 
-def _filter(tails: DataFrame) -> np.ndarray:
-    """A bit per hash prefix that is looked up; at most 2 ** 16 rows of 4 KB come here."""
-    asked = tails.where("kind <> 'text'")
+def _filter(asked: DataFrame) -> np.ndarray:
+    """A bit per prefix of the hashes in ``key``; at most 2 ** 16 rows of 4 KB come here."""
     bits = int(np.clip(np.ceil(np.log2(max(asked.count(), 1) * FILTER_SHARE)), FEWEST_BITS, MOST_BITS))
     place = F.shiftrightunsigned("key", 64 - bits)
     rows = asked.select(place.alias("place")).groupBy(F.shiftright("place", BLOCK_BITS).alias("block"))
@@ -429,28 +429,35 @@ def _filter(tails: DataFrame) -> np.ndarray:
 def longer_copies(documents: DataFrame, candidates: DataFrame, least: int = COPY_KEY, inside: bool = False) -> DataFrame:
     """``doc_id`` of the candidates whose text goes on in a longer text elsewhere.
 
-    A candidate is compared without a mark of a cut and white space at its end (its body).
-    Bodies have ``least`` letters.  If ``inside``, a longer text must go on inside the last
-    word, and none may show that word whole.
-    Only texts that share the first COPY_KEY letters with a body, or all of a shorter one,
-    are compared.  They and
-    the bodies, each once, are sorted over all partitions: all texts that begin with a body
-    follow it, and any of them decides, so bodies stay open until one that goes on is met
-    or the texts that begin with them are over.  Bodies open at a partition's end, beginnings
-    of its last text all, are held against all texts if the next partition goes on with them.
+    Bodies and texts have ``least`` letters.  If ``inside``, a longer text must go on inside the
+    last word, and none may show that word whole.
     """
     kept = documents.where(F.length("text") >= least).select("doc_id", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     asked = kept.join(candidates.select("doc_id"), "doc_id", "left_semi")
-    mine = asked.mapInArrow(_bodies, f"doc_id {kind}, text string").where(F.length("text") >= least)
-    mine = mine.withColumn("head", F.xxhash64(F.substring("text", 1, COPY_KEY)))
-    sizes = [r[0] for r in mine.select(F.least(F.length("text"), F.lit(COPY_KEY))).distinct().collect()]  # COPY_KEY at most
-    heads = F.array_distinct(F.array(*(F.xxhash64(F.substring("text", 1, k)) for k in sizes or [COPY_KEY])))
-    # The heads are joined without the texts, which would be written once for each of them.
-    beside = kept.select("doc_id", F.explode(heads).alias("head")).join(mine.select("head").distinct(), "head", "left_semi").select("doc_id").distinct()
-    near = kept.join(beside, "doc_id", "left_semi").select("text", F.lit(False).alias("asked"))
-    near = near.union(mine.select("text", F.lit(True))).groupBy("text").agg(F.max("asked").alias("asked"))
-    parts = kept.sparkSession.sparkContext.defaultParallelism
+    bodies = asked.mapInArrow(_bodies, f"doc_id {kind}, body string").where(F.length("body") >= least)
+    return copies_of(kept, bodies).where("within" if inside else "copied").select("doc_id")
+
+
+def copies_of(documents: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``doc_id, copied, within`` of the ``bodies`` (``doc_id, body``: texts without a mark of a cut and
+    white space at their end) that a longer text of ``documents`` goes on with.
+
+    ``copied``: some text goes on with words.  ``within``: some goes on inside the last word, and
+    none shows that word whole.
+    Texts that do not begin like a body are left out first, by a filter of hashed beginnings.
+    The others and the bodies, each once, are sorted over all partitions: all texts that
+    begin with a body follow it, and any of them decides, so bodies stay open until nothing
+    more can be learnt or the texts that begin with them are over.  Bodies open at a
+    partition's end, beginnings of its last text all, are held against all texts if the next
+    partition goes on with them.
+    """
+    texts = documents.where("text <> ''").select("text")
+    heads = bodies.select(F.least(F.length("body"), F.lit(COPY_KEY)).alias("size"), F.xxhash64(F.substring("body", 1, COPY_KEY)).alias("key")).where("size > 0")
+    sizes = [r[0] for r in heads.select("size").distinct().collect()]  # COPY_KEY at most
+    near = texts.mapInArrow(_near(_filter(heads), sorted(sizes)), "text string").select("text", F.lit(False).alias("asked"))
+    near = near.union(bodies.where("body <> ''").select("body", F.lit(True))).groupBy("text").agg(F.max("asked").alias("asked"))
+    parts = documents.sparkSession.sparkContext.defaultParallelism
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, still, seen = TaskContext.get().partitionId(), None, [], {}
@@ -462,10 +469,10 @@ def longer_copies(documents: DataFrame, candidates: DataFrame, least: int = COPY
                 while still and not text.startswith(still[-1]):
                     still.pop()
                 for body in [*still]:
-                    for found in _shown(body, text, inside) - seen[body]:
-                        rows.append((found, body, 0))
-                        seen[body].add(found)
-                    if "found" in seen[body] and (not inside or "whole" in seen[body]):
+                    for what in _shown(body, text) - seen[body]:
+                        rows.append((what, body, 0))
+                        seen[body].add(what)
+                    if len(seen[body]) == len(SHOWN):
                         still.remove(body)
                 if asked:
                     seen = {body: seen[body] for body in still} | {text: set()}
@@ -476,29 +483,50 @@ def longer_copies(documents: DataFrame, candidates: DataFrame, least: int = COPY
             yield _walked([("last", last, 0), *(("open", "", len(body)) for body in still)], part)
 
     walked = materialise(near.repartitionByRange(parts, "text").sortWithinPartitions("text").mapInArrow(walk, "kind string, part int, text string, size long"), "copies")
-    found = walked.where("kind in ('found', 'whole')").select("kind", "text")
+    found = walked.where(F.col("kind").isin(*SHOWN)).select("kind", "text")
     crossing = _crossing(walked.where("kind in ('first', 'last', 'open')").collect())  # two texts a partition, and lengths
     if crossing:
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                met = sorted({(found, body) for text in batch["text"].to_pylist() for body in crossing for found in _shown(body, text, inside)})
+                met = sorted({(what, body) for text in batch["text"].to_pylist() for body in crossing for what in _shown(body, text)})
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in met], pa.string()) for k in (0, 1)], names=["kind", "text"])
 
-        found = found.unionByName(kept.select("text").mapInArrow(held, "kind string, text string"))
-    shown = found.groupBy("text").agg(F.bool_or(F.col("kind") == "whole").alias("whole")) if inside else found
-    if inside:
-        shown = shown.where("not whole")
-    return mine.join(shown, "text", "left_semi").select("doc_id")
+        begin = reduce(lambda x, y: x | y, (F.col("text").startswith(body) for body in crossing))
+        found = found.unionByName(texts.where(begin).mapInArrow(held, "kind string, text string"))
+    told = {what: F.bool_or(F.col("kind") == what) for what in SHOWN}
+    shown = found.groupBy(F.col("text").alias("body")).agg(told["words"].alias("copied"), (told["inside"] & ~told["whole"]).alias("within"))
+    return bodies.join(shown, "body").where("copied or within").select("doc_id", "copied", "within")
+
+
+#: What a text can show of a body: it goes on with words; inside the last word; behind it.
+SHOWN = ("words", "inside", "whole")
 
 
-def _shown(body: str, text: str, inside: bool) -> set[str]:
-    """What a text shows of a body: ``found``, it was cut; ``whole``, its last word was not."""
-    if not inside:
-        return {"found"} if _goes_on(body, text) else set()
+def _shown(body: str, text: str) -> set[str]:
     if len(text) == len(body) or not text.startswith(body):
         return set()
-    return {"found" if body[-1].isalpha() and text[len(body)].isalpha() and not DENSE_ONE.match(body[-1]) else "whole"}
+    inside = body[-1].isalpha() and text[len(body)].isalpha() and not DENSE_ONE.match(body[-1])
+    return {"inside" if inside else "whole"} | ({"words"} if _goes_on(body, text) else set())
+
+
+def _near(mask: np.ndarray, sizes: list[int]):
+    """Texts whose first letters, so many as some body has up to COPY_KEY, are in the filter."""
+    shift = 64 - int(len(mask) * 8).bit_length() + 1
+    bits = mask.tobytes()
+
+    def passes(text: str) -> bool:
+        for size in sizes:
+            place = xxhash.xxh64_intdigest(text[:size].encode("utf-8", "surrogatepass"), 42) >> shift  # as Spark hashes a string
+            if bits[place >> 3] >> (place & 7) & 1:
+                return True
+        return False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([passes(text) for text in batch["text"].to_pylist()], pa.bool_()))
+
+    return run
 
 
 def _crossing(edges: list) -> list[str]:
@@ -514,7 +542,7 @@ def _crossing(edges: list) -> list[str]:
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bodies = [_body(text)[0] for text in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bodies, pa.string())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bodies, pa.string())], names=["doc_id", "body"])
 
 
 def _goes_on(text: str, longer: str) -> bool:
@@ -565,8 +593,8 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     swapped = (F.length("title") > F.length("text")) & F.col("title").rlike("[.!?。！？…]")
     asked = rows.where(~F.coalesce(swapped, F.lit(False))).select("doc_id", "source", "text")
     tails = materialise(asked.mapInArrow(_tails, _TAILS.format(id=rows.schema["doc_id"].dataType.simpleString())), "tails")
-    counts = rows.select("text").mapInArrow(_count_windows(_filter(tails)), "key long, more long, ended long").groupBy("key").agg(F.sum("more").alias("more"), F.sum("ended").alias("ended"))
-    candidates = tails.where("kind = 'text'").drop("key", "kind", "n")
+    counts = rows.select("text").mapInArrow(_count_windows(_filter(tails.where("kind <> 'text'"))), "key long, more long, ended long").groupBy("key").agg(F.sum("more").alias("more"), F.sum("ended").alias("ended"))
+    candidates = tails.where("kind = 'text'").drop("key", "kind", "n", "body")
     looked = tails.where("kind <> 'text'").select("doc_id", "key", "kind", "n").join(counts, "key")
 
     seen = F.col("more") + F.col("ended")
@@ -584,17 +612,18 @@ def truncated_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
         broken = broken | F.coalesce(F.col(f"prefix_{n}") >= common, F.lit(False))
     # A last line of a word or two that often begins sentences is one, else it is a name.
     usual = F.coalesce(F.col("window_2") >= F.greatest(F.lit(2.0), F.col("context_1") * RARE), F.lit(False))
-    copies = longer_copies(rows, candidates.where("not few"), least=1).withColumn("copied", F.lit(True))
     # A few words, or a name, are cut if a copy goes on inside the last word and that is
     # no word elsewhere.
-    within = longer_copies(rows, candidates.where("few or signed"), least=1, inside=True).withColumn("within", F.lit(True))
+    copies = copies_of(rows, tails.where("kind = 'text'").select("doc_id", "body"))
     limits = field_limits(candidates.where("not few")).withColumn("at_limit", F.lit(True))
     # A text without a source may be from any.
     anywhere = limits.select("chars", "mark", F.lit(True).alias("anywhere")).distinct()
     whole = (
-        candidates.join(judged.select("doc_id", "share", "alone", broken.alias("in_word"), usual.alias("usual")), "doc_id", "left").join(copies.distinct(), "doc_id", "left").join(within.distinct(), "doc_id", "left")
+        candidates.join(judged.select("doc_id", "share", "alone", broken.alias("in_word"), usual.alias("usual")), "doc_id", "left").join(copies.distinct(), "doc_id", "left")
         .join(limits, ["source", "chars", "mark"], "left").join(anywhere, ["chars", "mark"], "left")
         .withColumn("at_limit", F.col("at_limit") | (F.col("source").isNull() & F.col("anywhere")))
+        .withColumn("copied", F.col("copied") & ~F.col("few"))
+        .withColumn("within", F.col("within") & (F.col("few") | F.col("signed")))
     )
     share, none = F.col("share"), F.col("share").isNull()
     in_word = F.coalesce("in_word", F.lit(False)) & none
