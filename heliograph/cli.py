@@ -9,7 +9,6 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +18,12 @@ from heliograph.operators import excess, merge, pathindex, payload
 from heliograph.operators.blocklist import apply_blocklist
 from heliograph.operators.search import MATCH_TYPES
 from heliograph.plans import collection, lookup
+from heliograph.runtime import scratch_path, shared_dir
 from heliograph.sinks import kv
 from heliograph.sinks.text import write_one_file
 from heliograph.sinks.zipnum import write_zipnum
 from heliograph.sources import flat, warc, zipnum
+from heliograph.sources.paths import filesystem, join, walk
 
 
 class Failed(Exception):
@@ -43,11 +44,13 @@ def _inputs(paths: list[str]) -> list[str]:
     found = []
     for path in paths:
         if path == "-":
-            with tempfile.NamedTemporaryFile("wb", suffix=".txt", delete=False) as held:
+            path = scratch_path(SparkSession.active(), "input") + ".txt"  # where all executors read it
+            system, inner = filesystem(path)
+            system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(inner) as held:
                 while block := sys.stdin.buffer.read(1 << 20):
                     held.write(block)
-            path = held.name
-        elif not os.path.exists(path):
+        elif walk(path) is None:
             raise Failed(f"no such file: {path}")
         found.append(path)
     return found
@@ -192,10 +195,13 @@ def run_collection(o: argparse.Namespace, spark: SparkSession) -> None:
         blocklist = flat.read_blocklist(spark, o.blocklist)
     elif o.blocklist:
         _say(True, f"no blocklist at {o.blocklist}; going on without")
-    state = os.path.join(o.temp_dir, o.name) if o.incremental or o.keep_temp else tempfile.mkdtemp(prefix="heliograph-")
+    if o.incremental or o.keep_temp:
+        state = join(o.temp_dir or join(shared_dir(spark, lasting=True), "collections"), o.name)
+    else:
+        state = scratch_path(spark, "collection")
     kept = collection.Collection(spark, state, o.name)
     done = kept.update(warc.archive_files([source]), warc.read_warcs)
-    index, report = kept.build(os.path.join(o.output_dir, o.name), blocklist=blocklist, threshold=o.threshold, chunk_size=o.shard_size, compress_level=1 if o.no_compress else 6)
+    index, report = kept.build(os.path.join(o.output_dir, o.name), blocklist=blocklist, threshold=o.threshold, chunk_size=o.shard_size, compress_level=0 if o.no_compress else 6)
     _say(True, f"archives: {done}; blocks: {index.count()}")
     for row in report.collect():
         _say(True, f"{row.stage}: {row.n_captures} captures, {row.removed_percent} % removed")
@@ -301,9 +307,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--shard-size", type=int, default=3000)
     p.add_argument("--collections-dir", default=".")
     p.add_argument("--output-dir", default=".")
-    p.add_argument("--temp-dir", default=tempfile.gettempdir())
+    p.add_argument("--temp-dir", help="where the state of an incremental collection is kept; the session's shared folder by default")
     p.add_argument("--jobs", type=int, help="not needed: Spark decides")
-    p.add_argument("--no-compress", action="store_true", help="blocks stored without compression effort")
+    p.add_argument("--no-compress", action="store_true", help="blocks are stored, not compressed")
     p.add_argument("--keep-temp", action="store_true")
     p.add_argument("--incremental", action="store_true")
     return top

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +45,24 @@ def order_violations(lines: DataFrame, order: list[str], column: str = "value")
         last: dict | None = None
         edges: dict = {}
         for batch in batches:
-            found = []
-            for p, line, task in zip(batch["part"].to_pylist(), batch["line"].to_pylist(), batch["task"].to_pylist()):
+            if not batch.num_rows:
+                continue
+            lines, task = batch["line"], batch["task"][0].as_py()
+            code = batch["part"].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            same = code[1:] == code[:-1]
+            down = pc.fill_null(pc.greater(lines.slice(0, len(code) - 1), lines.slice(1)), False)
+            at = np.flatnonzero(same & down.to_numpy(zero_copy_only=False))
+            found = [("bad", task, None, lines[i].as_py(), lines[i + 1].as_py()) for i in at.tolist()]
+            starts = np.append(0, np.flatnonzero(~same) + 1)
+            for first, end in zip(starts.tolist(), np.append(starts[1:], len(code)).tolist()):
+                p, line = batch["part"][first].as_py(), lines[first].as_py()
                 if last is not None and last["part"] == p:
                     if last["line"] is not None and line is not None and last["line"] > line:
                         found.append(("bad", task, p, last["line"], line))
                 else:
                     edges[p] = [task, line, None]
-                last = {"part": p, "line": line}
-                edges[p][2] = line
+                last = {"part": p, "line": lines[end - 1].as_py()}
+                edges[p][2] = last["line"]
             yield _edges(found)
         yield _edges([("edge", task, p, first, end) for p, (task, first, end) in edges.items()])
 

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 _made: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession, lasting: bool = False) -> str:
     """The session's shared folder; without one, a temporary folder if all executors are
-    on this machine.  RuntimeError on a cluster, where they could not read each other's."""
+    on this machine (``lasting``: one that later sessions find).  RuntimeError on a cluster,
+    where they could not read each other's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and lasting and spark.sparkContext.master.startswith("local"):
+        return "file://" + tempfile.gettempdir()
     if not root:
         root = spark.conf.get("heliograph.local.dir", None)
     if not root:

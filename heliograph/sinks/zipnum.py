@@ -108,8 +108,8 @@ def write_zipnum(
     when complete.  Null lines are left out; without lines the index is empty and there is
     no shard.
     """
-    if chunk_size < 1 or not 1 <= compress_level <= 9:
-        raise ValueError("chunk_size is 1 or more, compress_level 1 to 9")
+    if chunk_size < 1 or not 0 <= compress_level <= 9:
+        raise ValueError("chunk_size is 1 or more, compress_level 0 (stored) to 9")
     output_dir = os.path.abspath(local(output_dir)) if is_local(output_dir) else output_dir.rstrip("/")
     base = base or output_dir.rsplit("/", 1)[-1]
     system, inner = filesystem(output_dir)

@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.surt import url_to_surt
@@ -118,14 +118,15 @@ def _headers(text: bytes) -> tuple[str, dict[str, str]]:
 
 
 def records(file, zipped: bool) -> Iterator[dict]:
-    """The captures of an open archive; ends at a broken record."""
-    data = _Input(file, zipped)
+    """The captures of an open archive; ends at a broken record, with a ``fault`` that says
+    where it begins."""
+    data, start = _Input(file, zipped), 0
     try:
         while data.next_member():
             start = data.start
             version, head = _headers(data.until(b"\r\n\r\n"))
             if not version.startswith("WARC/"):
-                return
+                raise ValueError("no record begins there")
             length = int(head.get("content-length", "0"))
             found = None
             if head.get("warc-type") in CAPTURED and head.get("warc-target-uri"):
@@ -135,8 +136,10 @@ def records(file, zipped: bool) -> Iterator[dict]:
             data.skip(0 if zipped else 4)
             if found:
                 yield found | {"offset": str(start), "length": str(data.position() - start)}
-    except (zlib.error, ValueError, EOFError):
-        return
+        if zipped and data.member is not None and not data.member.eof:
+            raise EOFError("the last record is cut")
+    except (zlib.error, ValueError, EOFError) as e:
+        yield {"fault": f"breaks off at {start}: {e}"}
 
 
 def _capture(data: _Input, head: dict[str, str], length: int) -> dict:
@@ -160,16 +163,19 @@ def _capture(data: _Input, head: dict[str, str], length: int) -> dict:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["url", "ts", "json", "src_path", "src_pos"]
+    names = ["url", "ts", "json", "src_path", "src_pos", "fault"]
     for batch in batches:
         for path in batch["path"].to_pylist():
             system, inner = filesystem(path)
             rows = []
             with system.open_input_stream(inner, compression=None) as file:
                 for number, r in enumerate(records(file, path.endswith(".gz"))):
+                    if "fault" in r:
+                        rows.append((None, None, None, path, number, r["fault"]))
+                        continue
                     fields = {k: r[k] for k in ("url", "mime", "status", "digest", "length", "offset")}
                     payload = json.dumps(fields | {"filename": os.path.basename(inner)}, ensure_ascii=False, separators=(",", ":"))
-                    rows.append((r["url"], r["ts"], payload, path, number))
+                    rows.append((r["url"], r["ts"], payload, path, number, None))
                     if len(rows) == 5000:
                         yield _batch(rows, names)
                         rows = []
@@ -177,18 +183,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.string(),) * 4 + (pa.int64(),)
+    kinds = (pa.string(),) * 4 + (pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def read_warcs(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_warcs(spark: SparkSession, paths: list[str], faults: Observation | bool = False) -> DataFrame:
     """CAPTURE rows of archive files; archives are spread over the tasks one by one.
 
     Records without a target are no captures.  An archive that breaks off gives the
-    records before the break.
+    records before the break.  With ``faults=True`` the breaks come out instead, as ``src_path,
+    fault``; given an observation, their number is observed as ``n_faults``.
     """
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
-    rows = files.mapInArrow(_read, "url string, ts string, json string, src_path string, src_pos long")
-    keyed = rows.withColumn("surt", F.coalesce(url_to_surt(F.col("url")), F.lower("url")))
+    rows = files.mapInArrow(_read, "url string, ts string, json string, src_path string, src_pos long, fault string")
+    if faults is True:
+        return rows.where("fault is not null").select("src_path", "fault")
+    if faults:
+        rows = rows.observe(faults, F.count("fault").alias("n_faults"))
+    keyed = rows.where("fault is null").withColumn("surt", F.coalesce(url_to_surt(F.col("url")), F.lower("url")))
     value = F.concat_ws(" ", "surt", "ts", "json").alias("value")
     return keyed.select(value, "surt", "ts", "json", "src_path", F.lit(0).cast("long").alias("src_block"), "src_pos")

@@ -287,6 +287,8 @@ def test_broken_archives(spark, tmp_path):
         paths.append(str(tmp_path / f"{i}.warc.gz"))
     counts = {os.path.basename(r.src_path)[0]: r["count"] for r in warc.read_warcs(spark, paths).groupBy("src_path").count().collect()}
     assert counts["0"] == counts["4"] == 1 and counts.get("2") is None and counts.get("3") is None
+    faults = {os.path.basename(r.src_path)[0]: r.fault for r in warc.read_warcs(spark, paths, faults=True).collect()}
+    assert set(faults) == {"0", "1", "3"} and faults["1"].startswith(f"breaks off at {len(good)}")
 
 
 def test_collection(spark, tmp_path):
