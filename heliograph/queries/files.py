@@ -17,6 +17,7 @@ from heliograph.operators.search import search
 from heliograph.plans import collection, lookup
 from heliograph.queries.captures import _BLOCKED, _BOTH, _COUNTS, _ENTRIES, _PATTERNS, CAP, J, _captures, _cluster, _entries, _incoming, _shown
 from heliograph.queries.common import query
+from heliograph.queries.quality import _NESTED, _object
 from heliograph.runtime import scratch_path, table
 from heliograph.sinks import kv
 from heliograph.sinks.text import captures_table, write_by_period, write_lines
@@ -78,9 +79,9 @@ def lookup_files(spark: SparkSession, d: str) -> DataFrame:
     return lookup.lookup(spark, [idx, *parts], url="http://vedon.example/", match_type="domain").select("value")
 
 
-@query("search_malformed", """with l as (select line_id, split_part(line, ' ', 1) as surt, split_part(line, ' ', 2) as ts,
+@query("search_malformed", f"""with l as (select line_id, split_part(line, ' ', 1) as surt, split_part(line, ' ', 2) as ts,
   trim(array_to_string(string_split(line, ' ')[3:], ' '), ' \t\n\r') as json from cdxj_lines where line is not null and len(string_split(line, ' ')) >= 2)
-  select line_id from l where starts_with(surt, 'example,') and json_valid(json) and json_type(json) = 'OBJECT' and json_extract_string(json, '$.status') = '200'""")
+  select line_id from l where starts_with(surt, 'example,') and regexp_full_match(json, $json${_object(_NESTED)}$json$, 's') and json_extract_string(json, '$.status') = '200'""")
 def search_malformed(spark: SparkSession, d: str) -> DataFrame:
     """Rules over raw lines: a payload that is broken satisfies none."""
     lines = with_parts(table(spark, d, "cdxj_lines").select("line_id", F.col("line").alias("value"), F.col("line_id").alias("src_pos")))

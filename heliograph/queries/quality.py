@@ -165,11 +165,11 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 )
 def p2_recovered(spark: SparkSession, d: str) -> DataFrame:
     """Every line with a broken payload, glued to the one after it as if its end were lost: what
-    is recovered is the second line's record."""
+    is recovered is the second line's record (a line that begins with a blank has none)."""
     lines = table(spark, d, "cdxj_lines")
     behind = F.lead("line").over(Window.partitionBy("src_path").orderBy("src_pos", "line_id"))
     broken = recover.parse_lines(lines).where("reason = 'json' and not recovered").select("line_id")
-    glued = lines.withColumn("line", F.concat_ws(" ", "line", behind)).join(broken, "line_id", "left_semi")
+    glued = lines.withColumn("line", F.concat_ws(" ", "line", F.when(~behind.startswith(" "), behind))).join(broken, "line_id", "left_semi")
     return recover.parse_lines(glued).where("recovered and reason is null").select("line_id", "surt", "ts", "json")
 
 
