@@ -196,7 +196,8 @@ def zipnum_layout(spark: SparkSession, d: str) -> DataFrame:
     idx = _cluster(spark, d)[0]
     rows, loc = zipnum.read_idx(spark, idx), zipnum.read_loc(spark, idx[:-4] + ".loc")
     order = Window.partitionBy("shard").orderBy("offset")
-    name = F.format_string("demo-%02d.cdx.gz", "shard_num")
+    several = (rows.agg(F.max("shard_num")).first()[0] or 0) > 1
+    name = F.format_string("demo-%02d.cdx.gz", "shard_num") if several else F.lit("demo.cdx.gz")
     placed = rows.withColumn("gap", F.col("offset") != F.coalesce(F.lag(F.col("offset") + F.col("length")).over(order), F.lit(0)))
     placed = placed.withColumn("misnamed", F.col("shard") != name).join(loc.select("shard", "path"), "shard", "left")
     faults = zipnum.read_zipnum(spark, idx, faults=True).count()
