@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 MAX_LENGTH = 1000
 # Shapes of nested quantifiers that are refused.
 DANGEROUS = (
@@ -88,6 +91,18 @@ def to_jvm(pattern: str, unicode: bool = True) -> str:
     return "(?U)" + pattern if unicode and re.search(r"\\[dwsbDWSB]", pattern) else pattern
 
 
+def to_automaton(pattern: str) -> str | None:
+    """The pattern in the dialect of Arrow's matcher; None if no automaton can hold it
+    (references to groups, looking around) or it is too large."""
+    own = re.sub(r"\(\?P<\w+>", "(?:", pattern)
+    own = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", own)
+    try:
+        pc.match_substring_regex(pa.array([""]), own)
+    except pa.ArrowInvalid:
+        return None
+    return own
+
+
 def literal(pattern: str) -> tuple[bool, str] | None:
     """(anchored at the start, text) if the pattern is plain text, else None."""
     anchored = pattern.startswith("^")

@@ -10,16 +10,20 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions.patterns import balanced, literal, to_jvm
+from heliograph.functions.patterns import balanced, literal, to_automaton, to_jvm
 
 log = logging.getLogger(__name__)
 #: Patterns joined to one alternation; longer ones fall out of the JIT's favour.
 CHUNK = 100
-#: From so many unanchored literals on, one automaton scans for all of them.
-AUTOMATON_FROM = 200
+#: From so many expressions, or unanchored literals, on, those that are regular are scanned for
+#: by automata, each of AUTOMATON_SIZE patterns, whose time does not grow with their number.
+SCAN_FROM, AUTOMATON_SIZE = 6, 1000
+#: From so many literals on, they have an automaton of their own.
+LITERALS_FROM = 2000
 
 
 @dataclass
@@ -28,7 +32,8 @@ class Blocklist:
 
     Anchored literals (the usual ``^host,`` patterns) become set lookups of the line's
     first characters, one per distinct length; literals become substring checks; the rest
-    is joined to alternations.
+    is joined to alternations, by the JVM's matcher if they are few, else by one that
+    runs in linear time.
     """
 
     prefixes: dict[int, list[str]] = field(default_factory=lambda: defaultdict(list))
@@ -68,12 +73,22 @@ class Blocklist:
         """Any of them true: the line is blocked.  Cheap ones come first."""
         value = F.col(column)
         found = [F.left(value, F.lit(n)).isin(texts) for n, texts in sorted(self.prefixes.items())]
-        if len(self.literals) < AUTOMATON_FROM:
+        if len(self.literals) < SCAN_FROM:
             found += [value.contains(text) for text in self.literals]
-        for i in range(0, len(self.expressions), CHUNK):
-            found.append(value.rlike("|".join(f"(?:{to_jvm(p, unicode=False)})" for p in self.expressions[i : i + CHUNK])))
+        backtracked = self.expressions if len(self.expressions) < SCAN_FROM else [p for p in self.expressions if to_automaton(p) is None]
+        for i in range(0, len(backtracked), CHUNK):
+            found.append(value.rlike("|".join(f"(?:{to_jvm(p, unicode=False)})" for p in backtracked[i : i + CHUNK])))
         return found
 
+    def scanned(self) -> tuple[list[str], list[str]]:
+        """What Arrow batches are scanned for instead: literals, and alternations."""
+        regular = [] if len(self.expressions) < SCAN_FROM else [x for x in map(to_automaton, self.expressions) if x is not None]
+        own = self.literals if len(self.literals) >= LITERALS_FROM else []
+        if SCAN_FROM <= len(self.literals) < LITERALS_FROM:
+            regular += map(re.escape, self.literals)
+        alternations = ["|".join(f"(?:{x})" for x in regular[i : i + AUTOMATON_SIZE]) for i in range(0, len(regular), AUTOMATON_SIZE)]
+        return own, alternations
+
     def matches(self, column: str = "value") -> F.Column:
         conditions = self.conditions(column)
         return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
@@ -85,8 +100,9 @@ def apply_blocklist(lines: DataFrame, blocklist: Blocklist, column: str = "value
     Null lines stay.
     """
     kept = lines.where(~F.coalesce(blocklist.matches(column), F.lit(False)))
-    if len(blocklist.literals) >= AUTOMATON_FROM:
-        kept = kept.mapInArrow(_automaton(blocklist.literals, column), kept.schema)
+    literals, alternations = blocklist.scanned()
+    if literals or alternations:
+        kept = kept.mapInArrow(_scan(literals, alternations, column), kept.schema)
     return kept
 
 
@@ -98,16 +114,23 @@ def blocklist_report(lines: DataFrame, blocklist: Blocklist, column: str = "valu
     return both.select("n_lines", "n_kept", (F.col("n_lines") - F.col("n_kept")).alias("n_blocked"))
 
 
-def _automaton(literals: list[str], column: str):
+def _scan(literals: list[str], alternations: list[str], column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for text in literals:
-            machine.add_word(text, True)
-        machine.make_automaton()
+        machine = None
+        if literals:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for text in literals:
+                machine.add_word(text, True)
+            machine.make_automaton()
         for batch in batches:
-            clean = [text is None or next(machine.iter(text), None) is None for text in batch[column].to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for alternation in alternations:
+                blocked = pc.fill_null(pc.match_substring_regex(batch[column], alternation), False)
+                batch = batch.filter(pc.invert(blocked))
+            if machine is not None:
+                clean = [text is None or next(machine.iter(text), None) is None for text in batch[column].to_pylist()]
+                batch = batch.filter(pa.array(clean, pa.bool_()))
+            yield batch
 
     return run

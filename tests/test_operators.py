@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -224,3 +225,18 @@ def test_spliced_fields_are_what_writing_anew_gives(spark):
         want = [anew(x) if x else (x, False) for x in lines]
         assert [(r.value, r.added) for r in add_fields(df, fields).orderBy("i").collect()] == want
         assert df.where(_spliced(F.col("value"), fields).isNotNull()).count() >= 8
+
+
+def test_many_expressions_are_scanned_by_automata(spark, monkeypatch):
+    rng = random.Random(21)
+    patterns = [f"^[a-z]+,q{i:x}[a-z]*\\)" for i in range(300)] + [r"(a)b\1", r"x(?=y)", r"(?P<n>zz+)k", "[[:digit:]]{5}$", r"\d-\d\Z", "é[^ ]ü"]
+    lines = ["com,q1f)/", "com,q1fzz)/ 1", "com,r1)/", "abaX", "xaba", "xy", "xz", "1zzzk", "12345", "12345 ", "1-2", "1-2 x", "éaü", "é ü", "", None]
+    lines += ["".join(rng.choice("abcq,)0123xyzk-") for _ in range(12)) for _ in range(300)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    found = Blocklist.of(patterns)
+    assert len(found.scanned()[1]) == 1 and len(found.conditions("value")) == 1  # the two that look back or ahead
+    got = [r.i for r in apply_blocklist(df, found).orderBy("i").collect()]
+    monkeypatch.setattr(blocklist, "SCAN_FROM", 10**6)
+    assert got == [r.i for r in apply_blocklist(df, Blocklist.of(patterns)).orderBy("i").collect()]
+    own = [re.compile(p.replace("[[:digit:]]", "[0-9]")) for p in found.expressions]
+    assert got == [i for i, x in enumerate(lines) if x is None or not any(p.search(x) for p in own)]
