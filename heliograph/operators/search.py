@@ -72,8 +72,9 @@ class FieldRule:
 
 def field_predicate(expressions: list[str], json: str = "json") -> F.Column | None:
     """All rules together; a payload that is no object satisfies none."""
-    rules = [FieldRule.parse(e).predicate(json) for e in expressions]
-    return reduce(lambda a, b: a & b, [payload_is_object(F.col(json)), *rules]) if rules else None
+    # The payload is checked last, for what is left.
+    rules = [F.coalesce(FieldRule.parse(e).predicate(json), F.lit(False)) for e in expressions]
+    return reduce(lambda a, b: a & b, [*rules, payload_is_object(F.col(json))]) if rules else None
 
 
 def sort_captures(captures: DataFrame) -> DataFrame:
