@@ -261,14 +261,17 @@ _WARC = """from (select json_extract_string(json_data, '$.url') as url, ts, json
 @query("warc_files", "select url, ts, status, mime " + _WARC)
 def warc_files(spark: SparkSession, d: str) -> DataFrame:
     """Captures written as archives of HTTP responses, a file per task, and indexed from them."""
-    folder = scratch_path(spark, "archives")
+    found = warc.read_warcs(spark, archived_captures(spark, d, scratch_path(spark, "archives")))
+    return found.select("ts", *(F.get_json_object("json", f"$.{f}").alias(f) for f in ("url", "status", "mime")))
+
+
+def archived_captures(spark: SparkSession, d: str, folder: str) -> list[str]:
     system, inner = filesystem(folder)
     system.create_dir(inner, recursive=True)
     fields = {f: F.get_json_object("json_data", f"$.{f}") for f in ("url", "status", "mime")}
     rows = table(spark, d, "captures").select("ts", *(c.alias(f) for f, c in fields.items())).where("url is not null and mime is not null")
     files = rows.where(F.col("status").rlike("^[1-5][0-9]{2}$")).mapInArrow(_archived(folder), "path string")
-    found = warc.read_warcs(spark, [r.path for r in files.collect()])  # a row per task
-    return found.select("ts", *(F.get_json_object("json", f"$.{f}").alias(f) for f in ("url", "status", "mime")))
+    return [r.path for r in files.collect()]  # a row per task
 
 
 def _archived(folder: str):

@@ -5,7 +5,7 @@ import sys
 import pytest
 
 import __spark_entry__ as contract
-from heliograph.queries import captures, common, files, quality  # noqa: F401
+from heliograph.queries import captures, commands, common, files, quality  # noqa: F401
 from tests.oracle import FOLDER, database, difference
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
