@@ -56,7 +56,7 @@ DENSE_WINDOWS = (8, 6, 5)
 #: Numbers of tokens before a broken word that are looked up with it.
 CONTEXTS = (3, 2, 1)
 LONGEST_PREFIX = 32
-#: Longer runs of tokens without an end mark tell nothing about where sentences end: their
+#: Longer runs of tokens that no end mark closes tell nothing about where sentences end: their
 #: writer uses no marks.
 LONGEST_RUN, LONGEST_DENSE_RUN = 24, 80
 #: A shorter text without a sentence's end is a few words, not a cut sentence.
@@ -328,7 +328,10 @@ def _count_windows(mask: np.ndarray):
         followed = np.append(t.text[1:] == t.text[:-1], False)
         next_ends = np.append(ends[1:], False)
         run = np.cumsum((t.place == 0) | np.append(False, ends[:-1]))
-        marked = np.bincount(run)[run] <= np.where(dense, LONGEST_DENSE_RUN, LONGEST_RUN)
+        # A run is told apart by its length only if no end mark closes it.
+        closed = np.zeros(run[-1] + 1, bool)
+        closed[run[ends]] = True
+        marked = closed[run] | (np.bincount(run)[run] <= np.where(dense, LONGEST_DENSE_RUN, LONGEST_RUN))
         # Of tokens brought along from the piece before, only the last one's follower is new.
         told = followed & marked & (fresh | np.append(fresh[1:], False))
         keys, more = [], []
