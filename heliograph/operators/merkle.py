@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.runtime import materialise, scratch_path
+from heliograph.runtime import discard, materialise, scratch_path
 from heliograph.sinks.commits import Commits
 
 FANOUT_BITS = 8
@@ -203,16 +203,17 @@ class StateStore:
         """
         found, now, leaves, depth, last = self._compared(current)
         changes = materialise(found, "changes")
-        if last is not None and changes.isEmpty():
-            return changes
-        output = process(changes) if process else changes
-        self._publish(now, changes, leaves, depth, last, output)
+        if last is None or not changes.isEmpty():
+            self._publish(now, changes, leaves, depth, last, process(changes) if process else changes)
+        discard(now, leaves)
         return changes
 
     def publish(self, state: DataFrame, output: DataFrame | None = None) -> int:
         """Publishes output, state and tree together; returns the version."""
         found, now, leaves, depth, last = self._compared(state)
-        return self._publish(now, found, leaves, depth, last, output)
+        version = self._publish(now, found, leaves, depth, last, output)
+        discard(now, leaves)
+        return version
 
     def _publish(self, now: DataFrame, changes: DataFrame, leaves: DataFrame, depth: int, last: dict | None, output: DataFrame | None) -> int:
         version = (last["version"] if last else 0) + 1

@@ -58,7 +58,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.hg_path = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes stored frames that nothing reads any more, before the driver exits."""
+    for frame in frames:
+        if path := vars(frame).get("hg_path"):
+            delete_path(frame.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
