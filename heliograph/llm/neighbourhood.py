@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.runtime import materialise, parallelism, scratch_path
+from heliograph.runtime import discard, materialise, parallelism, scratch_path
 from heliograph.sinks.commits import Commits
 from heliograph.sources.paths import filesystem
 
@@ -105,7 +105,9 @@ class SortedRuns:
             pairs = materialise(pairs, "pairs")
             parts = max(parallelism(self.spark), -(-pairs.count() // self.rows_per_range))
             ordered = pairs.repartitionByRange(parts, *PLACE).withColumn("range", F.spark_partition_id())
-        return self._written(ordered.sortWithinPartitions("range", *PLACE).mapInArrow(_write_ranges(self.path, self._folder(key)), _FILES))
+        written = self._written(ordered.sortWithinPartitions("range", *PLACE).mapInArrow(_write_ranges(self.path, self._folder(key)), _FILES))
+        discard(pairs)
+        return written
 
     @staticmethod
     def _written(files: DataFrame) -> list[tuple]:
@@ -194,7 +196,8 @@ class SortedRuns:
             tested = materialise(self.known(key, mine), "tested")
             fresh = tested.where("not known").groupBy(*PLACE).agg(F.min(F.struct("turn", "id")).alias("x")).select(*PLACE, "x.turn", "x.id")
             accepted = materialise(first_come(fresh, self.window), "accepted")
-            alive = materialise(alive.join(accepted.select("id"), "id", "left_semi").unionByName(alive.where(~comparable)), "alive")
+            before, alive = alive, materialise(alive.join(accepted.select("id"), "id", "left_semi").unionByName(alive.where(~comparable)), "alive")
+            discard(tested, accepted, *([before] if before is not rows else []))
         self._add({k: alive.select(F.col(f"a_{k}").alias("a"), F.col(f"b_{k}").alias("b"), "second") for k in self.keys})
         judged = rows.select("id").join(alive.select("id", F.lit(True).alias("accepted")), "id", "left")
         return judged.select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
