@@ -6,6 +6,7 @@ import contextlib
 import os
 import socket
 import ssl
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Protocol
@@ -111,11 +112,59 @@ class Connection:
         self.socket.close()
 
 
+#: Redirections of one command that are followed.
+HOPS = 8
+
+
+class Routed:
+    """Commands for one hash of a cluster of servers, which may move while it is written.
+
+    ``MOVED`` goes on with the server it names, ``ASK`` asks that server for the refused commands
+    only, and after ``TRYAGAIN`` they are sent again.
+    """
+
+    def __init__(self, server: Server):
+        self.link = Connection(server)
+
+    def run(self, commands: list[list[str]]) -> list[object]:
+        answers = self.link.run(commands)
+        for _ in range(HOPS):
+            words = {i: str(a).split(" ") for i, a in enumerate(answers) if isinstance(a, RuntimeError)}
+            again = [i for i, w in words.items() if w[0] in ("MOVED", "ASK", "TRYAGAIN")]
+            if not again:
+                break
+            word = words[again[0]]
+            again = [i for i in again if words[i] == word]
+            wanted = [commands[i] for i in again]
+            if word[0] == "MOVED":
+                home = self._at(word[2])
+                self.link.close()
+                self.link = Connection(home)
+                found = self.link.run(wanted)
+            elif word[0] == "ASK":
+                with contextlib.closing(Connection(self._at(word[2]))) as other:
+                    found = other.run([x for command in wanted for x in (["ASKING"], command)])[1::2]
+            else:
+                time.sleep(0.1)
+                found = self.link.run(wanted)
+            for i, answer in zip(again, found):
+                answers[i] = answer
+        return answers
+
+    def _at(self, place: str) -> Server:
+        host, _, port = place.rpartition(":")
+        return replace(self.link.server, host=host or self.link.server.host, port=int(port), unix_socket=None)
+
+    def close(self) -> None:
+        self.link.close()
+
+
 class ServerSink:
     """Hashes of a key/value server; every partition opens its own connection.
 
-    In a cluster of servers a hash lives on one of them, which the first reply names.
-    Writes are idempotent, so a task that is repeated does no harm.
+    In a cluster of servers a hash lives on one of them, which the first reply names, and
+    later replies if it moves.  Writes are idempotent, so a task that is repeated does no
+    harm.
     """
 
     def __init__(self, server: Server, batch_size: int = BATCH, dry_run: bool = False):
@@ -124,12 +173,9 @@ class ServerSink:
         self.server, self.batch_size, self.dry_run = server, batch_size, dry_run
 
     def _home(self, name: str) -> Server:
-        with contextlib.closing(Connection(self.server)) as link:
-            (answer,) = link.run([["HLEN", name]])
-        if isinstance(answer, RuntimeError) and str(answer).startswith("MOVED "):
-            host, _, port = str(answer).split()[2].rpartition(":")
-            return replace(self.server, host=host or self.server.host, port=int(port))
-        return self.server
+        with contextlib.closing(Routed(self.server)) as link:
+            link.run([["HLEN", name]])
+            return link.link.server
 
     def put(self, entries: DataFrame, name: str, clear: bool = False) -> tuple[int, int]:
         """A server that cannot be reached gives (0, 1)."""
@@ -138,7 +184,7 @@ class ServerSink:
         try:
             home = self._home(name)
             if clear:
-                with contextlib.closing(Connection(home)) as link:
+                with contextlib.closing(Routed(home)) as link:
                     link.run([["DEL", name]])
         except OSError:
             return 0, 1
@@ -146,7 +192,7 @@ class ServerSink:
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sent = failed = 0
-            with contextlib.closing(Connection(home)) as link:
+            with contextlib.closing(Routed(home)) as link:
                 for batch in batches:
                     pairs = list(zip(batch["filename"].to_pylist(), batch["path"].to_pylist()))
                     for i in range(0, len(pairs), batch_size):

@@ -395,6 +395,9 @@ class Fake(socketserver.StreamRequestHandler):
         if w[0] == "HSET":
             if w[2] == "refused":
                 return b"-ERR no\r\n"
+            for word, port in self.server.redirected.get(w[2], [])[:1]:
+                self.server.redirected[w[2]].pop(0)
+                return b"-%s 1 127.0.0.1:%d\r\n" % (word.encode(), port)
             store.setdefault(w[1], {})[w[2]] = w[3]
             return b":1\r\n"
         if w[0] == "DEL":
@@ -412,7 +415,7 @@ def server():
 
     def start(moved=None):
         s = socketserver.ThreadingTCPServer(("127.0.0.1", 0), Fake)
-        s.daemon_threads, s.seen, s.store, s.moved = True, [], {}, moved
+        s.daemon_threads, s.seen, s.store, s.moved, s.redirected = True, [], {}, moved, {}
         threading.Thread(target=s.serve_forever, daemon=True).start()
         made.append(s)
         return s
@@ -448,6 +451,20 @@ def test_server_sink_moved_dry_and_down(spark, server):
         kv.ServerSink(link, batch_size=0)
 
 
+def test_server_sink_follows_a_hash_that_moves(spark, server):
+    old, new = server(), server()
+    port = new.server_address[1]
+    old.redirected = {"b": [("ASK", port)], "c": [("TRYAGAIN", 0)], "e": [("MOVED", port)]}
+    link = kv.Server("127.0.0.1", old.server_address[1])
+    rows = entries(spark, [(x, x.upper()) for x in "abcdefg"]).repartition(1)
+    assert kv.load(rows, kv.ServerSink(link, batch_size=10), "h") == (7, 0)
+    assert {**old.store["h"], **new.store["h"]} == {x: x.upper() for x in "abcdefg"}
+    assert "b" in new.store["h"] and "e" in new.store["h"] and "c" in old.store["h"] | new.store["h"] and ["ASKING"] in new.seen
+    old.redirected = {"z": [("ASK", port)] * 20}
+    new.redirected = {"z": [("MOVED", old.server_address[1])] * 20}
+    assert kv.load(entries(spark, [("z", "Z")]), kv.ServerSink(link), "h") == (0, 1)
+
+
 def test_parquet_sink(spark, tmp_path):
     sink = kv.ParquetSink(str(tmp_path))
     assert kv.load(entries(spark, [("a", "1"), ("b", "2")]), sink, "p:x") == (2, 0)
