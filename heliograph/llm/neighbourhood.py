@@ -82,6 +82,12 @@ class SortedRuns:
             written = self._write(key, rows)
             if not self.files[key]:
                 self.borders[key] = [low for _, _, low, _ in written[1:]]
+            else:  # a range that this run alone fills is cut where its files begin
+                ranges: dict[int, list[tuple]] = defaultdict(list)
+                for _, n, low, _ in written:
+                    ranges[bisect_right(self.borders[key], low)].append((n, low))
+                cuts = [low for files in ranges.values() for n, low in files[1:] if n >= self.rows_per_range // 2]
+                self.borders[key] = sorted(self.borders[key] + cuts)
             self.files[key] += written
             stale += self._merge(key)
         self.version += 1
@@ -97,15 +103,18 @@ class SortedRuns:
         return name
 
     def _write(self, key: str, rows: DataFrame) -> list[tuple]:
-        """Repeated places become one, on the map side first."""
-        pairs = rows.where("a is not null and second is not null").distinct()
+        """Repeated places become one, on the map side first.
+
+        Tasks get quantiles of the places, so a hot key is written by several, and begin a
+        file with each range; the first run's tasks are the ranges.
+        """
+        pairs = materialise(rows.where("a is not null and second is not null").distinct(), "pairs")
+        parts = max(parallelism(self.spark), -(-pairs.count() // self.rows_per_range))
         if self.files[key]:
-            ordered = self._routed(key, pairs, "a long, b long, second long").repartition("range")
-        else:  # the first run's borders are quantiles, so a hot key falls into several ranges
-            pairs = materialise(pairs, "pairs")
-            parts = max(parallelism(self.spark), -(-pairs.count() // self.rows_per_range))
+            ordered = self._routed(key, pairs, "a long, b long, second long").repartitionByRange(parts, *PLACE)
+        else:
             ordered = pairs.repartitionByRange(parts, *PLACE).withColumn("range", F.spark_partition_id())
-        written = self._written(ordered.sortWithinPartitions("range", *PLACE).mapInArrow(_write_ranges(self.path, self._folder(key)), _FILES))
+        written = self._written(ordered.sortWithinPartitions(*PLACE).mapInArrow(_write_ranges(self.path, self._folder(key)), _FILES))
         discard(pairs)
         return written
 
@@ -155,16 +164,28 @@ class SortedRuns:
         for name, _, (a0, b0, s0), (a1, b1, s1) in self.files[key]:
             first, last = bisect_right(self.borders[key], (a0, b0, s0 - self.window)), bisect_right(self.borders[key], (a1, b1, s1 + self.window))
             near += [(r, name) for r in range(first, last + 1)]
-        files = self.spark.createDataFrame(near, "range int, uri string").selectExpr(*(f"cast(null as long) as {c}" for c in ("id", "turn", *PLACE)), "range", "uri")
-        routed = self._routed(key, rows.select("id", "turn", *PLACE), _ROWS).withColumn("uri", F.lit(None).cast("string"))
+        routed = materialise(self._routed(key, rows.select("id", "turn", *PLACE), _ROWS), "routed")
+        # Rows that crowd into a range are spread over several tasks by their hours, each with the range's files.
+        crowded = routed.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > self.rows_per_range).collect()  # a row per task's fill
+        parts = {r.range: -(-r.n // self.rows_per_range) for r in crowded}
+        near = [(r, p, name) for r, name in near for p in range(parts.get(r, 1))]
+        if parts:
+            spread = F.broadcast(self.spark.createDataFrame(list(parts.items()), "range int, parts long"))
+            part = F.pmod(F.xxhash64(F.floor(F.col("second") / 3600)), F.coalesce("parts", F.lit(1))).cast("int")
+            routed_ = routed.join(spread, "range", "left").withColumn("part", part).drop("parts")
+        else:
+            routed_ = routed.withColumn("part", F.lit(0))
+        files = self.spark.createDataFrame(near, "range int, part int, uri string")
+        files = files.selectExpr(*(f"cast(null as long) as {c}" for c in ("id", "turn", *PLACE)), "range", "part", "uri")
         # The files of a range come before its rows.
-        ordered = files.unionByName(routed).repartition("range").sortWithinPartitions("range", F.desc_nulls_last("uri"), *PLACE)
+        ordered = files.unionByName(routed_.withColumn("uri", F.lit(None).cast("string"))).repartition("range", "part")
+        ordered = ordered.sortWithinPartitions("range", "part", F.desc_nulls_last("uri"), *PLACE)
         path, window, read = self.path, self.window, self.rows_read
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, opened = None, {}
             for batch in batches:
-                number = batch["range"].to_numpy()
+                number = batch["range"].to_numpy().astype(np.int64) << 31 | batch["part"].to_numpy()
                 starts = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else []
                 for first, end in zip(starts, np.append(starts[1:], len(number))):
                     part = batch.slice(first, end - first)
@@ -175,7 +196,9 @@ class SortedRuns:
                     if rows.num_rows:
                         yield rows.select(["id", "turn", *PLACE]).append_column("known", pa.array(_in_window(_places(rows), path, opened, window, read)))
 
-        return ordered.mapInArrow(walk, f"{_ROWS}, known boolean")
+        tested = materialise(ordered.mapInArrow(walk, f"{_ROWS}, known boolean"), "tested")
+        discard(routed)
+        return tested
 
     def absorb(self, batch: DataFrame) -> DataFrame:
         """Takes rows in order of (``turn``, ``id``): ``id, accepted`` of every row.
@@ -193,7 +216,7 @@ class SortedRuns:
         for key in self.keys:
             comparable = F.col(f"a_{key}").isNotNull() & F.col("second").isNotNull()
             mine = alive.where(comparable).select("id", "turn", F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "second")
-            tested = materialise(self.known(key, mine), "tested")
+            tested = self.known(key, mine)
             fresh = tested.where("not known").groupBy(*PLACE).agg(F.min(F.struct("turn", "id")).alias("x")).select(*PLACE, "x.turn", "x.id")
             accepted = materialise(first_come(fresh, self.window), "accepted")
             before, alive = alive, materialise(alive.join(accepted.select("id"), "id", "left_semi").unionByName(alive.where(~comparable)), "alive")
