@@ -2,8 +2,8 @@
 
 A state is a set of rows with a unique key.  Its tree has 256-way inner nodes over
 leaves that are equal ranges of the 64-bit key hash.  A node's digest is its number of
-members and two 64-bit sums over them, a leaf's of its rows, an inner node's of its
-children's digests; sums do not depend on order, so they are combined on the map side and
+members and two 64-bit sums (exclusive ors of hashes) over them, a leaf's of its rows, an
+inner node's of its children's digests; such sums do not depend on order, so they are combined on the map side and
 no node's members are ever gathered.  Comparing two states descends only where digests
 differ and extracts the rows of changed leaves.
 
