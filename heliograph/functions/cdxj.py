@@ -50,22 +50,26 @@ def format_line(surt, ts, json) -> F.Column:
     return F.when(bare, F.concat_ws(" ", surt, ts)).otherwise(F.concat_ws(" ", surt, ts, json))
 
 
-def payload_is_object(json) -> F.Column:
-    """Whether a payload is exactly one JSON object.
+def strict_object(json) -> F.Column:
+    """Whether a payload is exactly one JSON object that repeats no name.
 
     Spark's parsers do not look at what stands behind a value, so the payload is parsed as
     the one element of an array; a ``]`` of its own could close that, so where there is one
-    it must also parse as a member of an object.  Payloads that repeat a name, which are
-    allowed, are taken as Spark's parser takes them.
+    it must also parse as a member of an object.
     """
     bare = stripped(json)
     listed = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"x":'), bare, F.lit("}")))
     alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    strict = bare.startswith("{") & listed.isNotNull() & alone & (~bare.contains("]") | member.isNotNull())
+    return F.coalesce(bare.startswith("{") & listed.isNotNull() & alone & (~bare.contains("]") | member.isNotNull()), F.lit(False))
+
+
+def payload_is_object(json) -> F.Column:
+    """Whether a payload is exactly one JSON object.  Payloads that repeat a name, which are
+    allowed, are taken as Spark's parser takes them, whatever stands behind them."""
     names = F.json_object_keys(json)
     repeated = names.isNotNull() & (F.size(F.array_distinct(names)) < F.size(names))
-    return F.coalesce(strict | repeated, F.lit(False))
+    return strict_object(json) | F.coalesce(repeated, F.lit(False))
 
 
 def field_path(name: str) -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions.cdxj import field_path, payload_is_object
+from heliograph.functions.cdxj import field_path, strict_object
 
 RowFunction = Callable[[str, str, dict], dict]
 
@@ -130,10 +130,9 @@ def _spliced(line: F.Column, fields: dict[str, str]) -> F.Column:
     # Without escapes a string ends at the next quote, so white space outside of strings is found.
     tight = F.regexp_replace(payload, r'("[^"]*")|\s+', "$1")
     fresh = reduce(lambda a, b: a & b, (~payload.contains(json.dumps(k, ensure_ascii=False)) for k in fields))
-    plain = payload_is_object(payload) & ~payload.contains("\\") & ~tight.rlike(REWRITTEN) & tight.startswith("{") & tight.endswith("}") & (F.length(tight) > 2) & fresh
-    one = F.size(F.json_object_keys(payload)) == F.size(F.array_distinct(F.json_object_keys(payload)))
+    plain = strict_object(payload) & ~payload.contains("\\") & ~tight.rlike(REWRITTEN) & tight.startswith("{") & tight.endswith("}") & (F.length(tight) > 2) & fresh
     tail = json.dumps(fields, ensure_ascii=False, separators=(",", ":"))[1:]
-    return F.when(plain & one, F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.get(parts, F.lit(1)), F.lit(" "), F.substring(tight, F.lit(1), F.length(tight) - 1), F.lit("," + tail)))
+    return F.when(plain, F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.get(parts, F.lit(1)), F.lit(" "), F.substring(tight, F.lit(1), F.length(tight) - 1), F.lit("," + tail)))
 
 
 def extracted(payload: dict | None, field: str, raw: bool = False, default: str = "") -> str:
