@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.functions.binding import let
 from heliograph.functions.cdxj import field_path, strict_object
 
 RowFunction = Callable[[str, str, dict], dict]
@@ -125,14 +126,21 @@ def _spliced(line: F.Column, fields: dict[str, str]) -> F.Column:
     writing the payload anew gives: it is one object, has members but none of these fields,
     and nothing in it is written otherwise than Python's JSON writes it, white space
     between its tokens apart."""
-    parts = F.split(line, " ", 3)
-    payload = F.get(parts, F.lit(2))
-    # Without escapes a string ends at the next quote, so white space outside of strings is found.
-    tight = F.regexp_replace(payload, r'("[^"]*")|\s+', "$1")
-    fresh = reduce(lambda a, b: a & b, (~payload.contains(json.dumps(k, ensure_ascii=False)) for k in fields))
-    plain = strict_object(payload) & ~payload.contains("\\") & ~tight.rlike(REWRITTEN) & tight.startswith("{") & tight.endswith("}") & (F.length(tight) > 2) & fresh
     tail = json.dumps(fields, ensure_ascii=False, separators=(",", ":"))[1:]
-    return F.when(plain, F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.get(parts, F.lit(1)), F.lit(" "), F.substring(tight, F.lit(1), F.length(tight) - 1), F.lit("," + tail)))
+
+    def of_parts(parts: F.Column) -> F.Column:
+        payload = F.get(parts, F.lit(2))
+        fresh = reduce(lambda a, b: a & b, (~payload.contains(json.dumps(k, ensure_ascii=False)) for k in fields))
+
+        def of_tight(tight: F.Column) -> F.Column:
+            whole = tight.startswith("{") & tight.endswith("}") & (F.length(tight) > 2) & ~tight.rlike(REWRITTEN)
+            appended = F.concat(F.substring(tight, F.lit(1), F.length(tight) - 1), F.lit("," + tail))
+            return F.when(whole & strict_object(payload), F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), appended))
+
+        # Without escapes a string ends at the next quote, so white space outside of strings is found.
+        return F.when(fresh & ~payload.contains("\\"), let(F.regexp_replace(payload, r'("[^"]*")|\s+', "$1"), of_tight))
+
+    return let(F.split(line, " ", 3), of_parts)
 
 
 def extracted(payload: dict | None, field: str, raw: bool = False, default: str = "") -> str:
