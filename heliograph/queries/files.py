@@ -167,11 +167,24 @@ def addfield_assignments(spark: SparkSession, d: str) -> DataFrame:
     return changed.select("capture_id", *(field_column(F.col("json"), f).alias(f) for f in ("collection", "note")))
 
 
+_UPPER = """import json
+
+def addfield(surt, timestamp, payload):
+    if not payload:
+        raise ValueError('nothing to change')
+    mime = payload.get('mime')
+    if mime is None:
+        return payload
+    text = mime if isinstance(mime, str) else json.dumps(mime, ensure_ascii=False, separators=(',', ':'))
+    return payload | {'mime': text.upper()}
+"""
+
+
 @query("addfield_file", f"with {CAP} select capture_id, case when {J('mime')} is not null then upper({J('mime')}) end as mime, (json is not null) as added from cap")
 def addfield_file(spark: SparkSession, d: str) -> DataFrame:
     """A function from a file; it refuses captures without payload, which pass unchanged."""
     path = scratch_path(spark, "function") + ".py"
-    put_text(path, ["def addfield(surt, timestamp, payload):\n    if not payload:\n        raise ValueError('nothing to change')\n    return payload | {'mime': payload['mime'].upper()}\n"])
+    put_text(path, [_UPPER])
     changed = with_parts(add_fields(_captures(spark, d), function=load_function(filesystem(path)[1])))
     return changed.select("capture_id", field_column(F.col("json"), "mime").alias("mime"), "added")
 

@@ -54,8 +54,10 @@ def matching(pattern: str) -> list[str]:
 
 
 def put_text(path: str, text) -> None:
-    """Writes pieces of text; the file appears under its name when complete."""
+    """Writes pieces of text; the file appears under its name when complete, in a folder made if missing."""
     system, inner = filesystem(path)
+    if folder := posixpath.dirname(inner):
+        system.create_dir(folder, recursive=True)
     with system.open_output_stream(inner + ".tmp") as out:
         for piece in text:
             out.write(piece.encode())

@@ -2,9 +2,12 @@ import os
 import subprocess
 import sys
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as contract
+from heliograph import runtime
 from heliograph.queries import captures, commands, common, files, quality  # noqa: F401
 from tests.oracle import FOLDER, database, difference
 
@@ -40,3 +43,20 @@ def test_contract():
 def test_works_without_the_training_data_package():
     code = "import sys; sys.modules['heliograph.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(q.startswith('p6') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+ODD = ['{"mime":"a/b"}', '{"url":"x"}', '{"mime":null}', '{"mime":5,"n":true}', '{"mime":["a",1]}', None]
+
+
+@pytest.fixture
+def odd_payloads(tmp_path):
+    """Captures with and without a mime type, and a shared folder where nothing has been written yet."""
+    rows = [{"capture_id": i, "surt_key": f"a,b{i})/", "ts": "20200101000000", "json_data": x} for i, x in enumerate(ODD)]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "captures.parquet")
+    return str(tmp_path)
+
+
+def test_addfield_file_in_a_new_folder(spark, odd_payloads, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{odd_payloads}/shared")
+    sql = common.ORACLES["addfield_file"]
+    assert difference(spark, database(odd_payloads), files.addfield_file, sql, odd_payloads) == ([], [])
