@@ -43,12 +43,12 @@ class Blocklist:
 
     @classmethod
     def of(cls, lines: Iterable[str]) -> Blocklist:
-        """From lines of text; blank lines and ``#`` comments are no patterns, and an
-        invalid pattern is skipped with a warning."""
+        """From lines of text; blank lines and ``#`` comments are no patterns, white space
+        in a pattern counts, and an invalid pattern is skipped with a warning."""
         found = cls()
         for line in lines:
-            pattern = line.strip()
-            if not pattern or pattern.startswith("#"):
+            pattern = line.rstrip("\r\n")
+            if not pattern.strip() or pattern.lstrip().startswith("#"):
                 continue
             pattern = balanced(pattern)
             try:

@@ -60,3 +60,14 @@ def test_addfield_file_in_a_new_folder(spark, odd_payloads, monkeypatch):
     monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{odd_payloads}/shared")
     sql = common.ORACLES["addfield_file"]
     assert difference(spark, database(odd_payloads), files.addfield_file, sql, odd_payloads) == ([], [])
+
+
+def test_blocklist_file_in_a_new_folder(spark, tmp_path, monkeypatch):
+    """A blank at the end of a pattern is a part of it."""
+    keys = ["example,q,m)/calendario", "example,q,m)/calendario2", "test,five)/", "test,six)/", "a,b)/ads/"]
+    rows = [{"capture_id": i, "surt_key": x, "ts": "20200101000000", "json_data": None} for i, x in enumerate(keys)]
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema([("capture_id", pa.int64()), ("surt_key", pa.string()), ("ts", pa.string()), ("json_data", pa.string())])), tmp_path / "captures.parquet")
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    assert [r.capture_id for r in files.blocklist_file(spark, str(tmp_path)).orderBy("capture_id").collect()] == [1, 3]
+    sql = common.ORACLES["blocklist_file"]
+    assert difference(spark, database(tmp_path), files.blocklist_file, sql, str(tmp_path)) == ([], [])
